@@ -22,7 +22,7 @@ RULES: dict[str, str] = {
     "min_words": "n_words < 50",
     "repeated_windows": "100 * n_repeat_words > 50 * n_words",
     "symbols": "10 * n_symbols > 3 * n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
+    "duplicate_lines": "100 * n_dup_lines > 60 * n_lines",
     "shouting": "n_letters > 0 AND 100 * n_upper > 60 * n_letters",
     "exclamations": "100 * n_bangs > 50 * n_words",
     "word_length": "word_chars < 2 * n_words OR word_chars > 20 * n_words",
