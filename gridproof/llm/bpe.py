@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -163,7 +163,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 col = part.column(part.schema.get_field_index(ids))
-                counts = pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                counts = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 yield _with(part, decoded, pa.array(v.decode(flat, counts), pa.string()))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_bpe, q_packing, q_quality, q_secrets
+from . import q_bpe, q_langid, q_packing, q_quality, q_secrets, q_toxicity
 
-_MODULES = (q_packing, q_bpe, q_quality, q_secrets)
+_MODULES = (q_packing, q_bpe, q_quality, q_toxicity, q_secrets, q_langid)
 
 
 def queries() -> dict:

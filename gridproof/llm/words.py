@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters of text held as Python words at one time, and words remembered, per task.
 CHARS_AT_ONCE = 2_000_000
@@ -18,7 +19,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = C
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(text))
-        ends = np.cumsum([0 if n is None else n for n in pa.compute.binary_length(col).to_pylist()])
+        ends = np.cumsum([0 if n is None else n for n in pc.binary_length(col).to_pylist()])
         start = 0
         while start < batch.num_rows:
             stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + chars, "right"))
