@@ -31,7 +31,7 @@ from .common import id_hash
 from .words import slices
 
 BUCKETS = 1 << 18
-PER_CLASS = 2000
+PER_CLASS = 3000
 THRESHOLD = 0.7
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -108,11 +108,14 @@ class Model:
         return out
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.3, batch: int = 32, decay: float = 1e-3, least_texts: int = 8, seed: int = 3) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 1.0, batch: int = 32, bias: float = -9.0, decay: float = 1e-4, least_texts: int = 8, seed: int = 3) -> Model:
     """Adagrad on the noisy-or likelihood of the document labels."""
-    model, seen, bias_seen = Model(np.zeros(BUCKETS), -6.0), np.full(BUCKETS, 1e-2), 1e-2
-    rng, y, buckets = np.random.default_rng(seed), np.array(labels), Features()
+    model, seen, bias_seen = Model(np.zeros(BUCKETS), bias), np.full(BUCKETS, 1e-2), 1e-2
+    rng, y, features = np.random.default_rng(seed), np.array(labels), Features()
     bags = [sentences([x], features) for x in texts]
+    # a feature of fewer texts would only mark the texts it was seen in
+    seen_in = np.bincount(np.concatenate([np.unique(b[0]) for b in bags] or [np.zeros(0, np.int64)]), minlength=BUCKETS)
+    bags = [(b[0][(some := seen_in[b[0]] >= least_texts)], b[1][some], b[2]) for b in bags]
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
