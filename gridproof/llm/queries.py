@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_bpe, q_langid, q_packing, q_quality, q_secrets, q_toxicity
+from . import q_bpe, q_langid, q_packing, q_quality, q_secrets, q_substrings, q_toxicity
 
-_MODULES = (q_packing, q_bpe, q_quality, q_toxicity, q_secrets, q_langid)
+_MODULES = (q_packing, q_bpe, q_quality, q_toxicity, q_secrets, q_langid, q_substrings)
 
 
 def queries() -> dict:
