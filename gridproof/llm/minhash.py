@@ -6,16 +6,16 @@
    key are candidates. A candidate pair is estimated from its signatures: equal two-bit lanes are
    counted by bit counts and corrected for the lanes that are equal by chance (one in four).
 3. Candidates that may reach the threshold are confirmed on their full sets, and the links so found
-   give components. To make no pair twice over, confirmation goes in rounds: first each member of a
-   band with the band's least class; then, in bands that still hold several components, the best
-   estimates across them; then all that are left across components. Links within a component can
-   change nothing, so none is lost that matters: the components are those of all candidates.
+   give components, in two rounds: first each member of a band with the band's least class; then,
+   in bands that still hold several components, all pairs across components, in tiles of bounded
+   size. Links within a component can change nothing, so none is lost that matters: the components
+   are those of all candidates.
 
 A pair of similarity 0.75 shares no band with a chance of 5e-6, and fails the estimate with one of
 3e-6.
 
 Scale: hot classes collapse before anything is joined; band keys cross the shuffle as two numbers; a
-band of many components is compared in tiles of bounded size; the members of a class with very many
+band of several components is compared in tiles inside tasks, which return links alone; the members of a class with very many
 candidates are dealt into 256 groups, each with its own copy of that one text. Texts are shuffled
 once, and only those of candidates go further.
 
@@ -44,9 +44,8 @@ SIGNATURE = [f"s{k}" for k in range(HASHES * LANE_BITS // 64)]
 #: Equal lanes below which a pair of similarity 0.75 falls with a chance of 3e-6: 104 - 4.5 * 4.4.
 LEAST_LANES = 84
 PERCENT = 75
-TILE = 1500
+TILE = 600
 GROUPS = 256
-BEST = 4
 
 
 def shingle_sets(texts: list[str], hashes: WordHashes, n: int = WORDS) -> Iterator[tuple[np.ndarray, bytes | None]]:
@@ -150,42 +149,73 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, n: int =
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _across(members: DataFrame, best: int | None) -> DataFrame:
-    """Pairs (a, b) of a band's members in different components whose estimate may reach the threshold.
+def _estimates(table: pa.Table) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Rows of the two tiles of a group, and for blocks of the first which pairs may reach the threshold.
 
-    Bands are compared in tiles; ``best``: for each member the highest estimates of a tile alone."""
-    size = members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    size = written(size.select("band", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "mixed-bands")
-    kind = members.schema["id"].dataType.simpleString()
-    dealt = members.join(size, "band").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    dealt = dealt.select("band", "id", "root", "tile", *SIGNATURE, other)
-    dealt = dealt.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, tile, low = table["id"].to_numpy(), table["tile"].to_numpy(), table["low"][0].as_py()
-        sig = np.stack([table[s].to_numpy() for s in SIGNATURE], axis=1).view(np.uint64)
-        _, root = np.unique(table["root"].to_numpy(), return_inverse=True)
-        left = np.flatnonzero(tile == low)
-        right = np.flatnonzero(tile == table["high"][0].as_py())
-        ones = np.uint64(sum(1 << k for k in range(0, 64, LANE_BITS)))
-        a, b = [], []
-        for at in range(0, len(left), 200):
-            rows = left[at : at + 200]
+    Pairs within a component or of one id are left out."""
+    ids, tile = table["id"].to_numpy(), table["tile"].to_numpy()
+    sig = np.stack([table[s].to_numpy() for s in SIGNATURE], axis=1).view(np.uint64)
+    root = table["root"].to_numpy()
+    left, right = np.flatnonzero(tile == table["low"][0].as_py()), np.flatnonzero(tile == table["high"][0].as_py())
+    ones = np.uint64(sum(1 << k for k in range(0, 64, LANE_BITS)))
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(left), 100):
+            rows = left[at : at + 100]
             x = sig[rows][:, None, :] ^ sig[right][None, :, :]
             lanes = HASHES - np.bitwise_count((x | (x >> np.uint64(1))) & ones).sum(axis=2, dtype=np.int64)
-            lanes[root[rows][:, None] == root[right][None, :]] = 0
-            lanes[ids[rows][:, None] == ids[right][None, :]] = 0
-            hit = lanes >= LEAST_LANES
-            if best is not None and lanes.shape[1] > best:
-                hit &= lanes >= np.partition(lanes, -best, axis=1)[:, -best][:, None]
-            i, j = np.nonzero(hit)
-            a.append(ids[rows][i])
-            b.append(ids[right][j])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).cast(pa.schema([("a", table.schema.field("id").type), ("b", table.schema.field("id").type)]))
+            yield rows, (lanes >= LEAST_LANES) & (root[rows][:, None] != root[right][None, :]) & (ids[rows][:, None] != ids[right][None, :])
+
+    return left, right, blocks()
+
+
+def _may_link(table: pa.Table) -> pa.Table:
+    """The rows of a group that are in a pair which may reach the threshold."""
+    _, right, blocks = _estimates(table)
+    some = np.zeros(table.num_rows, bool)
+    for rows, hit in blocks:
+        some[rows] |= hit.any(axis=1)
+        some[right] |= hit.any(axis=0)
+    return table.filter(pa.array(some))
+
 
-    return dealt.groupBy("band", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+def _across(members: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """Confirmed links (a, b) between different components of a band, compared in tiles.
+
+    Of the links of a document to one other component, one is returned for each group."""
+    mixed = members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    mixed = written(mixed.select("band", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "mixed-bands")
+    dealt = members.join(mixed, "band").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("band", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "id", "root", *SIGNATURE)
+    near = written(dealt.groupBy("band", "low", "high").applyInArrow(_may_link, dealt.schema), "may-link")
+    kind = members.schema["id"].dataType.simpleString()
+
+    def exact(table: pa.Table) -> pa.Table:
+        ids, root = table["id"].to_numpy(), table["root"].to_numpy()
+        sets = [s for s, _ in shingle_sets(table["text"].to_pylist(), WordHashes(), n)]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        _, right, blocks = _estimates(table)
+        a, b = [], []
+        for rows, hit in blocks:
+            for i, mask in zip(rows.tolist(), hit, strict=True):
+                j = right[mask]
+                # sets whose sizes differ too much can't be similar enough
+                j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
+                if not len(j):
+                    continue
+                flat = np.concatenate([sets[k] for k in j.tolist()])
+                at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+                common = np.add.reduceat(sets[i][at] == flat, np.cumsum(size[j]) - size[j], dtype=np.int64)
+                j = j[100 * common >= percent * (size[i] + size[j] - common)]
+                _, first = np.unique(root[j], return_index=True)
+                a += [ids[i]] * len(first)
+                b += ids[j[first]].tolist()
+        kinds = table.schema.field("id").type
+        return pa.table({"a": pa.array(a, kinds), "b": pa.array(b, kinds)})
+
+    whole = near.join(texts, "id").select("band", "low", "high", "tile", "id", "root", *SIGNATURE, "text")
+    return whole.groupBy("band", "low", "high").applyInArrow(exact, f"a {kind}, b {kind}").distinct()
 
 
 def links(docs: DataFrame, book: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, n: int = WORDS) -> DataFrame:
@@ -206,18 +236,10 @@ def links(docs: DataFrame, book: DataFrame, text: str = "text", doc_id: str = "d
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(near, "id").groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     texts = written(texts.drop("h"), "candidate-texts")
     found = written(confirm(tried, texts, percent, n), "confirmed")
-    roots = components(found)
-    for best in (BEST, None):
-        roots = written(roots, "roots")
-        now = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        more = written(_across(now, best).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
-        new = written(confirm(more, texts, percent, n), "confirmed")
-        tried, found = tried.unionByName(more), found.unionByName(new)
-        if not new.isEmpty():
-            roots = components(found)
-    return roots
+    roots = written(components(found), "roots")
+    now = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    more = written(_across(now, texts, percent, n), "confirmed")
+    return roots if more.isEmpty() else components(found.unionByName(more))
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, n: int = WORDS) -> DataFrame:
