@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_bpe, q_langid, q_minhash, q_packing, q_quality, q_secrets, q_substrings, q_toxicity
+from . import q_bpe, q_langid, q_minhash, q_packing, q_quality, q_secrets, q_substrings, q_toxicity, q_training_order, q_vectors
 
-_MODULES = (q_packing, q_bpe, q_quality, q_toxicity, q_secrets, q_langid, q_minhash, q_substrings)
+_MODULES = (q_packing, q_bpe, q_quality, q_toxicity, q_training_order, q_vectors, q_secrets, q_langid, q_minhash, q_substrings)
 
 
 def queries() -> dict:
