@@ -1,8 +1,68 @@
-"""The corpus pipeline; its stages are added as their operators land."""
+"""The corpus pipeline: toxicity, near-duplicates, repeated passages, secrets, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
+last return the columns of ``documents``. ``run`` writes each stage's rows as Parquet into the
+shared folder and reads them again for the next.
+
+Defined cases, beside those of the operators: a null text passes all filters and stays null until
+it is packed as an empty one; rows with a null id are never taken for copies; of rows that share an
+id one stays, the one with the least text; a document whose words all repeat elsewhere stays with
+an empty text; n_chars follows the text where a stage changes it."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gridproof.llm import minhash, packing, secrets, substrings, toxicity
+from gridproof.llm.common import table, written
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the multiple-instance model predicts toxic go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    return toxicity.clean(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that with the least id."""
+    gone = minhash.groups(docs).where("NOT kept").select("doc_id").distinct()
+    left = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+    left = left.withColumn("__one", one).where("__one = 1").drop("__one")
+    return left.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that occur elsewhere go."""
+    done = substrings.cut(docs, n_words="__n_words", n_removed="__n_removed")
+    return done.withColumn("n_chars", _chars(done, F.col("__n_removed") > 0)).select(*docs.columns)
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live-looking credentials of few owners are replaced by a mark."""
+    done = secrets.redact(docs.withColumn("__text", F.col("text")))
+    return done.withColumn("n_chars", _chars(done, F.col("text") != F.col("__text"))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces of windows of several lengths."""
+    return packing.pack(docs, public_tokenizers.path(VOCABULARY))
+
+
+def _chars(docs: DataFrame, changed: Column) -> Column:
+    return F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+
+
+STAGES = [("toxicity", drop_toxic), ("minhash", drop_copies), ("substrings", drop_passages), ("secrets", hide_secrets), ("packing", pack)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -178,6 +178,7 @@ def cut(docs: DataFrame, text: str = "text", target: int = TARGET, start: int |
     """The documents without the words of repeated windows, with the numbers of words and of words removed.
 
     Where something is removed, the words left are joined by single blanks; other texts stay as they are."""
+    docs = docs.drop(ROW, SPANS)
     found = repeated(docs, text, target, start)
     schema = T.StructType([*(f for f in docs.schema if f.name not in (n_words, n_removed)), T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType())])
 
