@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: documents are bags of sentences.
 
 A sentence's score is a logistic function of the distinct hashed words and word beginnings in it; a document's score is
-the noisy-or of its sentences, so one sentence can make it toxic. Sentence weights are trained from
+the noisy-or of its sentences and of a leak they share, so one sentence can make it toxic. Sentence weights are trained from
 document labels alone, by the gradient of the noisy-or, on a bounded sample (``per_class`` labelled
 documents of each class, chosen by a hash of their ids). The trained sentences then locate the
 passages that made a document toxic.
@@ -93,8 +93,13 @@ class Model:
     def scores(self, texts: list[str], features: Features) -> np.ndarray:
         """Noisy-or of the sentences: 1 - prod(1 - p)."""
         bucket, sentence, text = sentences(texts, features)
-        z = self.sentence_logits(bucket, sentence, len(text))
-        return -np.expm1(-np.bincount(text, np.logaddexp(0, z), len(texts)))
+        return -np.expm1(-self.misses(self.sentence_logits(bucket, sentence, len(text)), text, len(texts)))
+
+    def misses(self, z: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+        """-log of the chance that no sentence is toxic: the bias once for each text, and what a
+        sentence has beyond it. So a text isn't toxic for its many sentences without a telling word."""
+        base = np.logaddexp(0, self.bias)
+        return base + np.bincount(text, np.maximum(np.logaddexp(0, z) - base, 0), n)
 
     def locate(self, text: str, features: Features, least: float = 0.5) -> list[dict]:
         """Sentences whose own score reaches ``least``: start, end, score."""
@@ -108,15 +113,28 @@ class Model:
         return out
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 1.0, batch: int = 32, bias: float = -9.0, decay: float = 1e-4, least_texts: int = 8, seed: int = 3) -> Model:
-    """Adagrad on the noisy-or likelihood of the document labels."""
-    model, seen, bias_seen = Model(np.zeros(BUCKETS), bias), np.full(BUCKETS, 1e-2), 1e-2
-    rng, y, features = np.random.default_rng(seed), np.array(labels), Features()
+def telling(bags: list[tuple], y: np.ndarray, least_texts: int, least_z: float) -> np.ndarray:
+    """Features seen in ``least_texts`` texts and more often in toxic ones, by ``least_z`` standard errors.
+
+    Others would only mark the texts they were seen in."""
+    own = [np.unique(b[0]) for b in bags]
+    seen = [np.bincount(np.concatenate([x for x, t in zip(own, y, strict=True) if t == k] or [np.zeros(0, np.int64)]), minlength=BUCKETS) for k in (0, 1)]
+    n = np.maximum(np.bincount(y, minlength=2)[:2], 1)
+    p = (seen[0] + seen[1]) / n.sum()
+    error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n[0] + 1 / n[1]))
+    return (seen[0] + seen[1] >= least_texts) & (seen[1] / n[1] - seen[0] / n[0] >= least_z * error)
+
+
+def train(texts: list[str], labels: list[int], epochs: int = 12, steps: int = 2000, rate: float = 0.5, batch: int = 32, bias: float = -5.0, decay: float = 1e-4, least_texts: int = 4, least_z: float = 4.0, seed: int = 3) -> Model:
+    """Adagrad on the noisy-or likelihood of the document labels, for ``epochs`` or about ``steps`` batches at least.
+
+    ``bias`` is the leak's logit and is not trained."""
+    model, seen = Model(np.zeros(BUCKETS), bias), np.full(BUCKETS, 1e-2)
+    rng, y, features = np.random.default_rng(seed), np.array(labels, np.int64), Features()
     bags = [sentences([x], features) for x in texts]
-    # a feature of fewer texts would only mark the texts it was seen in
-    seen_in = np.bincount(np.concatenate([np.unique(b[0]) for b in bags] or [np.zeros(0, np.int64)]), minlength=BUCKETS)
-    bags = [(b[0][(some := seen_in[b[0]] >= least_texts)], b[1][some], b[2]) for b in bags]
-    for _ in range(epochs):
+    some = telling(bags, y, least_texts, least_z)
+    bags = [(b[0][some[b[0]]], b[1][some[b[0]]], b[2]) for b in bags]
+    for _ in range(max(epochs, batch * steps // max(len(texts), 1))):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
@@ -126,16 +144,13 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 1
             sentence = np.concatenate([bags[k][1] + f for k, f in zip(rows, first, strict=True)])
             text = np.repeat(np.arange(len(rows)), n)
             z = model.sentence_logits(bucket, sentence, len(text))
-            miss = np.bincount(text, np.logaddexp(0, z), len(rows))  # -log(1 - p)
+            miss = model.misses(z, text, len(rows))
             slope = np.where(y[rows] > 0, -1 / np.maximum(np.expm1(np.minimum(miss, 30)), 1e-3), 1.0)
-            g = slope[text] / (1 + np.exp(-z))
+            g = slope[text] * (z >= model.bias) / (1 + np.exp(-z))
             words, where = np.unique(bucket, return_inverse=True)
             gw = np.bincount(where, g[sentence]) + decay * model.weights[words]
             seen[words] += gw * gw
             model.weights[words] -= rate * gw / np.sqrt(seen[words])
-            gb = g.sum()
-            bias_seen += gb * gb
-            model.bias -= rate * 0.2 * gb / np.sqrt(bias_seen)
     return model
 
 

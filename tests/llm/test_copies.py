@@ -5,10 +5,15 @@ import random
 import numpy as np
 
 from gridproof.llm import components, minhash, substrings, vectors
+from gridproof.llm.common import written as stored_as
 
 from . import brute
 
 
+def stored(df):
+    return stored_as(df, "input")
+
+
 def near(spark, rows):
     df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, component_id int, key string")
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in minhash.groups(df).collect())
@@ -60,7 +65,7 @@ def test_passages(spark):
         at, n = r.randrange(len(w) + 1), r.choice((20, 34, 35, 36, 70, 80))
         start = r.randrange(80 - n + 1)
         rows.append((100 + k, "\n".join(w[:at] + shared[start : start + n] + w[at:])))
-    df = spark.createDataFrame([(*x, 3, "s") for x in rows], "doc_id long, text string, n_words int, __spans string").repartition(3).coalesce(2)
+    df = stored(spark.createDataFrame([(*x, 3, "s") for x in rows], "doc_id long, text string, n_words int, __spans string").repartition(3))
     for start in (None, 9):
         got = sorted((x.doc_id or -1, x.n_words, x.n_removed, x.text or "") for x in substrings.cut(df.drop("n_words"), start=start).collect())
         want = []

