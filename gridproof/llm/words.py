@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,14 +64,11 @@ class WordPool:
         """Flat ids of the texts, given as their words, and ids per text."""
         if len(self.index) > self.keep:
             self._clear()
-        new: dict[str, None] = {}
-        index = self.index
-        for words in split:
-            new.update((w, None) for w in set(words) if w not in index)
+        new = set(chain.from_iterable(split)).difference(self.index)
         if new:
             self._add(list(new))
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((index[w] for words in split for w in words), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         lengths = self.lengths[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         bounds = np.concatenate([[0], np.cumsum(counts)])
