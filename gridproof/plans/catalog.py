@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import q_metrics
+
 Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (q_metrics,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.SQLS.items()}
