@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_metrics
+from . import q_metrics, q_series
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (q_metrics,)
+_MODULES = (q_metrics, q_series)
 
 
 def queries() -> dict[str, Query]:
