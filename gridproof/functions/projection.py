@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: WGS84, and the north polar stereographic projection true at 70 N, centred on 45 W.
 A, FLATTENING = 6378137.0, 1 / 298.257223563
@@ -60,7 +61,7 @@ def equal_area(lat: Column, lon: Column, lat0: float = 90.0, lon0: float = 0.0)
     return k * F.cos(p) * F.sin(o) * r, k * (F.sin(p) * math.cos(q) - F.cos(p) * F.cos(o) * math.sin(q)) * r
 
 
-@F.pandas_udf("azimuth double, metres double")
+@F.pandas_udf(T.StructType([T.StructField("azimuth", T.DoubleType()), T.StructField("metres", T.DoubleType())]))
 def geodesic(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.DataFrame:
     """Azimuth at the first point and distance to the second; missing where any coordinate is."""
     b = A * (1 - FLATTENING)
