@@ -13,6 +13,7 @@ from gridproof.operators import forecast as FC
 from gridproof.operators import grid as G
 from gridproof.operators import metrics as M
 from gridproof.operators import points as P
+from gridproof.operators import similarity as S
 
 from . import validate as R
 from . import views as V
@@ -93,21 +94,17 @@ QUERIES["g11_moments"] = lambda s, d: G.local_moments(V.field_li(s, d), 11, _SIG
 def _ssim_rows(spark, sf_dir):
     f = V.field_li(spark, sf_dir)
     x, y = (f.where(f"dataset = '{n}'").select("date", "channel", "i", "j", F.col("value").alias(c)) for n, c in (("N", "x"), ("R", "y")))
-    return x.join(y, ["date", "channel", "i", "j"]).withColumn("value", F.lit(1.0))
+    return x.join(y, ["date", "channel", "i", "j"])
 
 
 def m21(spark, sf_dir):
-    rows = _ssim_rows(spark, sf_dir)
-    x, y = F.col("x"), F.col("y")
-    m = G.local_moments(rows, 11, 10 / 3.0, keys=("date", "channel"), mx=x, my=y, mxx=x * x, myy=y * y, mxy=x * y)
-    ssim, cs = M.ssim_of(*[F.col(c) for c in ("mx", "my", "mxx", "myy", "mxy")], reach=50.0)
-    return m.groupBy("date", "channel").agg(F.round(F.avg(ssim), 6).alias("ssim"), F.round(F.avg(cs), 6).alias("cs"))
+    return S.ssim(_ssim_rows(spark, sf_dir), ["date", "channel"], 20, 20, reach=50.0).withColumns({c: F.round(c, 6) for c in ("ssim", "cs")})
 
 
 QUERIES["m21_ssim"] = m21
 _S3 = 2 * ((11 - 1) / (2 * (10 / 3.0))) ** 2
 SQLS["m21_ssim"] = sql(
-    "SELECT date, channel, round(avg((2 * mx * my + c1) / (mx * mx + my * my + c1) * cs), 6) AS ssim, round(avg(cs), 6) AS cs FROM (SELECT *, (2 * (mxy - mx * my) + c2) / (mxx - mx * mx + myy - my * my + c2) AS cs FROM mom CROSS JOIN (SELECT 0.25::DOUBLE AS c1, 2.25::DOUBLE AS c2)) GROUP BY ALL",
+    "SELECT date, channel, round(avg((2 * mx * my + c1) / (mx * mx + my * my + c1) * cs), 6) AS ssim, round(avg(cs), 6) AS cs FROM (SELECT *, (2 * (mxy - mx * my) + c2) / (mxx - mx * mx + myy - my * my + c2) AS cs FROM mom CROSS JOIN (SELECT 0.25::DOUBLE AS c1, 2.25::DOUBLE AS c2)) WHERE i BETWEEN 5 AND 14 AND j BETWEEN 5 AND 14 GROUP BY ALL",
     V.FIELD_LI, "xy AS (SELECT a.date, a.channel, a.i, a.j, a.value AS x, b.value AS y FROM field_li a JOIN field_li b ON a.dataset = 'N' AND b.dataset = 'R' AND a.date = b.date AND a.i = b.i AND a.j = b.j)",
     f"mom AS (SELECT a.date, a.channel, a.i, a.j, sum(b.x * w) / sum(w) AS mx, sum(b.y * w) / sum(w) AS my, sum(b.x * b.x * w) / sum(w) AS mxx, sum(b.y * b.y * w) / sum(w) AS myy, sum(b.x * b.y * w) / sum(w) AS mxy FROM xy a JOIN xy b ON a.date = b.date AND abs(a.i - b.i) <= 5 AND abs(a.j - b.j) <= 5 CROSS JOIN LATERAL (SELECT exp(-((a.i - b.i) ** 2 + (a.j - b.j) ** 2) / {_S3}) AS w) GROUP BY ALL)",
 )
@@ -169,7 +166,7 @@ SQLS["g05_regrid"] = sql("SELECT dataset, date, channel, dst_i AS i, dst_j AS j,
 
 
 def z06_projection(spark, sf_dir):
-    p = V.part_pt(spark, sf_dir).where("lat < 89.9")
+    p = V.part_pt(spark, sf_dir)
     x, y = J.to_polar(F.col("lat"), F.col("lon"))
     lat, lon = J.from_polar(F.col("x"), F.col("y"))
     return p.select("q", x.alias("x"), y.alias("y")).withColumns({"lat": lat, "lon": lon}).select("q", *[F.round(c, 4).alias(c) for c in ("x", "y")], *[F.round(c, 6).alias(c) for c in ("lat", "lon")])
@@ -177,7 +174,7 @@ def z06_projection(spark, sf_dir):
 
 QUERIES["z06_projection"] = z06_projection
 _T = f"(tan(pi() / 4 - radians(lat) / 2) / pow((1 - {J.ECC} * sin(radians(lat))) / (1 + {J.ECC} * sin(radians(lat))), {J.ECC / 2}))"
-SQLS["z06_projection"] = sql(f"SELECT q, round({J.SCALE} * {_T} * sin(radians(lon + 45)), 4) AS x, round(-{J.SCALE} * {_T} * cos(radians(lon + 45)), 4) AS y, round(lat, 6) AS lat, round(CASE WHEN lon = 180 THEN -180 ELSE lon END, 6) AS lon FROM part_pt WHERE lat < 89.9", V.PART_PT)
+SQLS["z06_projection"] = sql(f"SELECT q, round({J.SCALE} * {_T} * sin(radians(lon + 45)), 4) AS x, round(-{J.SCALE} * {_T} * cos(radians(lon + 45)), 4) AS y, round(lat, 6) AS lat, round(CASE WHEN lon = 180 THEN -180 ELSE lon END, 6) AS lon FROM part_pt", V.PART_PT)
 
 
 def g04_area(spark, sf_dir):
@@ -219,4 +216,4 @@ def v03_resume(spark, sf_dir):
 QUERIES |= {"v02_run": v02_run, "v03_resume": v03_resume}
 SQLS |= {"v02_run": sql(_RUN, *_EV), "v03_resume": sql(_RUN, *_EV)}
 _query("v01_range", lambda s, d: R.in_range(V.field_ev(s, d), "2024-01-03", "2024-01-09"), "SELECT dataset, date, channel, i, j, round(value, 9) AS value FROM field_ev WHERE date >= DATE '2024-01-03' AND date < DATE '2024-01-09'", V.FIELD_EV)
-_query("v05_availability", lambda s, d: R.missing_dates(V.field_ev(s, d).where("j < 3 AND i < 2"), V.field_ev(s, d).select("date").distinct()), "SELECT dataset, date FROM (SELECT DISTINCT dataset FROM field_ev WHERE j < 3 AND i < 2) CROSS JOIN (SELECT DISTINCT date FROM field_ev) ANTI JOIN (SELECT DISTINCT dataset, date FROM field_ev WHERE j < 3 AND i < 2) USING (dataset, date)", V.FIELD_EV, cols=())
+_query("v05_availability", lambda s, d: R.missing_dates(V.field_ev(s, d).where("value > 190"), V.field_ev(s, d).select("date").distinct()), "SELECT dataset, date FROM (SELECT DISTINCT dataset FROM field_ev WHERE value > 190) CROSS JOIN (SELECT DISTINCT date FROM field_ev) ANTI JOIN (SELECT DISTINCT dataset, date FROM field_ev WHERE value > 190) USING (dataset, date)", V.FIELD_EV, cols=())

@@ -75,7 +75,7 @@ _query("x09_lookup", lambda s, d: V.table(s, d, "embeddings").select("vec_id", F
 _query("x10_component", lambda s, d: V.table(s, d, "embeddings").select("vec_id", X.component(F.col("embedding").cast("array<double>"), 3).alias("value"), X.component(F.col("embedding").cast("array<double>"), 99, -1.0).alias("beyond")), "SELECT vec_id, round(embedding[4]::DOUBLE, 9) AS value, -1.0::DOUBLE AS beyond FROM embeddings")
 _HOUR = "date_trunc('hour', ts)"
 _query("x13_nearest", lambda s, d: X.nearest_time(V.track_ev(s, d), V.track_ev(s, d).select("buoy_id", F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("at")), ["buoy_id"]), f"SELECT q.buoy_id, q.at, arg_min(t.ts, (abs(epoch_us(t.ts) - epoch_us(q.at)), t.ts)) AS nearest FROM (SELECT DISTINCT buoy_id, CAST({_HOUR} AS TIMESTAMP) AS at FROM track_ev) q JOIN track_ev t USING (buoy_id) GROUP BY ALL", V.TRACK_EV, cols=())
-_query("x16_anti", lambda s, d: X.availability(ev(s, d)).join(X.availability(ev(s, d)).where("dayofmonth(date) % 2 = 0").select("date").distinct(), "date", "left_anti"), "SELECT DISTINCT dataset, date FROM field_ev WHERE day(date) % 2 <> 0", V.FIELD_EV, cols=())
+_query("x16_anti", lambda s, d: X.availability(ev(s, d)).join(X.availability(ev(s, d)).where("date < DATE'2024-01-12'").select("date").distinct(), "date", "left_anti"), "SELECT DISTINCT dataset, date FROM field_ev WHERE date >= DATE '2024-01-12'", V.FIELD_EV, cols=())
 
 ser = V.series_li
 _SPAN = "(SELECT combo, unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date FROM series_li GROUP BY combo)"
@@ -115,7 +115,7 @@ _query("c13_over", lambda s, d: A.global_temporal(M.applied(X.combos(ev(s, d), 2
 _query("c14_pairs", lambda s, d: C.pair_lookup(C.of_several(A.average(_mae(s, d))), ["view", "click"], ["click", "signup", "error"]), "SELECT 'mae' AS metric, combo, r AS row, c AS col, round(avg(value), 9) AS value FROM metric JOIN (VALUES ('view', 'click'), ('view', 'signup'), ('view', 'error'), ('click', 'signup'), ('click', 'error')) t(r, c) ON combo IN (r || '|' || c, c || '|' || r) GROUP BY ALL", *_EV)
 _query("c16_scatter", lambda s, d: C.scatter_stats(_vectors(s, d).select("combo", (F.col("u1") - F.col("u2")).alias("u"), (F.col("v1") - F.col("v2")).alias("v")), "combo"), "SELECT combo, round(avg(u1 - u2), 9) AS mean_u, round(avg(v1 - v2), 9) AS mean_v, round(r, 9) AS radius, round(greatest(15.0, 1.1 * max(greatest(abs(u1 - u2), abs(v1 - v2))), 1.1 * r), 9) AS reach FROM vecs JOIN (SELECT combo, sqrt(stddev_pop(u1 - u2) ^ 2 + stddev_pop(v1 - v2) ^ 2) AS r FROM vecs GROUP BY combo) USING (combo) GROUP BY combo, r", V.VEC_EV, _VEC, cols=("mean_u", "mean_v", "radius", "reach"))
 _query("c17_hist", lambda s, d: C.histogram(V.vec_ev(s, d).select(F.col("u").alias("value")), 100.0), "SELECT least(floor((u + 100) / 4.0), 49)::INT AS bin, round(count(*) / ((SELECT count(*) FROM vec_ev WHERE u BETWEEN -100 AND 100) * 4.0), 9) AS density FROM vec_ev WHERE u BETWEEN -100 AND 100 GROUP BY 1", V.VEC_EV, cols=("density",))
-_query("c18_on_times", lambda s, d: C.on_times(ev(s, d).select("date").distinct(), A.mean_of(A.partial(ev(s, d).where("dayofmonth(date) % 3 > 0"), "dataset", "date"))), "SELECT dataset, date, round(v, 9) AS value FROM (SELECT DISTINCT date FROM field_ev) CROSS JOIN (SELECT DISTINCT dataset FROM field_ev WHERE day(date) % 3 > 0) LEFT JOIN (SELECT dataset, date, avg(value) AS v FROM field_ev WHERE day(date) % 3 > 0 GROUP BY ALL) USING (dataset, date)", V.FIELD_EV)
+_query("c18_on_times", lambda s, d: C.on_times(ev(s, d).select("date").distinct(), A.mean_of(A.partial(ev(s, d).where("value > 150"), "dataset", "date"))), "SELECT dataset, date, round(v, 9) AS value FROM (SELECT DISTINCT date FROM field_ev) CROSS JOIN (SELECT DISTINCT dataset FROM field_ev WHERE value > 150) LEFT JOIN (SELECT dataset, date, avg(value) AS v FROM field_ev WHERE value > 150 GROUP BY ALL) USING (dataset, date)", V.FIELD_EV)
 
 _uv = lambda s, d: V.table(s, d, "events").select("event_id", (F.col("value") - 100).alias("u"), (F.col("user_id") % 37 - 18).cast("double").alias("v"), (F.col("event_id") % 900 - 450).cast("double").alias("lon"), (F.col("event_id") % 80).cast("double").alias("lat"))
 _UV = "uv AS (SELECT event_id, value - 100 AS u, (user_id % 37 - 18)::DOUBLE AS v, (event_id % 900 - 450)::DOUBLE AS lon, (event_id % 80)::DOUBLE AS lat FROM events)"
