@@ -217,3 +217,18 @@ def test_catalog(spark):
     two = spark.createDataFrame([("a", D1), ("b", D1)], "path string, date date")
     with pytest.raises(Exception, match="several files"):
         catalog.one_file_a_date(two).collect()
+
+
+def test_similarity(spark):
+    from gridproof.operators import similarity as S
+
+    n = 33
+    cells = spark.range(n * n).select(F.lit(1).alias("k"), F.floor(F.col("id") / n).cast("int").alias("i"), (F.col("id") % n).cast("int").alias("j"))
+    x = F.pmod(F.xxhash64("i", "j"), F.lit(100)).cast("double") / 100
+    same = cells.withColumns({"x": x, "y": x})
+    assert abs(S.ssim(same, ["k"], n, n).first().ssim - 1) < 1e-9
+    assert abs(S.ms_ssim(same, ["k"], n, n, window=3).first().value - 1) < 1e-9
+    other = cells.withColumns({"x": x, "y": 1 - x})
+    assert S.ms_ssim(other, ["k"], n, n, window=3).first().value < 0.2
+    with pytest.raises(ValueError):
+        S.ms_ssim(same, ["k"], n, n)
