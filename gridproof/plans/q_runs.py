@@ -184,7 +184,9 @@ def g04_area(spark, sf_dir):
 
 
 QUERIES["g04_area"] = g04_area
-_query("g10d_outline", lambda s, d: G.outline(V.field_li(s, d).select("i", "j").distinct().withColumns({"lat": 70 + F.col("i") * 0.2, "lon": F.col("j") * 0.4 + 10})), "SELECT o::INT AS ring_order, i, j, round(70 + i * 0.2::DOUBLE, 9) AS lat, round(j * 0.4::DOUBLE + 10, 9) AS lon FROM (SELECT DISTINCT i, j FROM field_li) JOIN (SELECT unnest(range(77)) AS o) ON i = CASE WHEN o <= 19 THEN 0 WHEN o <= 38 THEN o - 19 WHEN o <= 57 THEN 19 ELSE 76 - o END AND j = CASE WHEN o <= 19 THEN o WHEN o <= 38 THEN 19 WHEN o <= 57 THEN 57 - o ELSE 0 END", V.FIELD_LI, cols=("lat", "lon"))
+_LATTICE = "lattice AS (SELECT (s_suppkey - m)::INT AS i, n_nationkey::INT AS j, (70 + (s_suppkey - m) * 0.01::DOUBLE) AS lat, n_nationkey * 0.4::DOUBLE + 10 AS lon FROM supplier CROSS JOIN nation CROSS JOIN (SELECT min(s_suppkey) AS m FROM supplier)), size AS (SELECT max(i) AS h, max(j) AS w FROM lattice)"
+_lattice = lambda s, d: G.mesh(V.table(s, d, "supplier").crossJoin(F.broadcast(V.table(s, d, "supplier").agg(F.min("s_suppkey").alias("m")))).select((F.col("s_suppkey") - F.col("m")).cast("int").alias("i"), (F.lit(70) + (F.col("s_suppkey") - F.col("m")) * 0.01).alias("lat")), V.table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("j"), (F.col("n_nationkey") * 0.4 + 10).alias("lon")))
+_query("g10d_outline", lambda s, d: G.outline(_lattice(s, d)), "SELECT o::INT AS ring_order, i, j, round(lat, 9) AS lat, round(lon, 9) AS lon FROM size CROSS JOIN LATERAL (SELECT unnest(range(2 * (h + w) + 1)) AS o) JOIN lattice ON i = CASE WHEN o <= w THEN 0 WHEN o <= w + h THEN o - w WHEN o <= 2 * w + h THEN h ELSE 2 * (w + h) - o END AND j = CASE WHEN o <= w THEN o WHEN o <= w + h THEN w WHEN o <= 2 * w + h THEN 2 * w + h - o ELSE 0 END", _LATTICE, cols=("lat", "lon"))
 _query("g02_mesh", lambda s, d: G.mesh(V.grid_pt(s, d).select(F.col("k").alias("i"), "lat"), V.table(s, d, "nation").select(F.col("n_nationkey").alias("j"), (F.col("n_nationkey") * 2.0).alias("lon"))), "SELECT k AS i, n_nationkey AS j, round(lat, 9) AS lat, n_nationkey * 2.0::DOUBLE AS lon FROM grid_pt CROSS JOIN nation", V.GRID_PT, cols=("lat", "lon"))
 
 # sources
