@@ -18,7 +18,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word, remembered for a bounded number of words."""
 
-    def __init__(self, keep: int = 500_000):
+    def __init__(self, keep: int = 150_000):
         super().__init__()
         self.keep = keep
 

@@ -6,7 +6,7 @@ lowest hash, which equal target windows share. Anchors that repeat are extended
 the target windows that hold one are compared, and those that repeat are removed with all words they
 cover. (``start`` below half the target adds earlier levels, each at the anchors left by the last.)
 
-Scale: each task first looks for repeats among its own unit of about a million words. What repeats
+Scale: each task first looks for repeats among its own unit of about half a million words. What repeats
 there is settled; one row of it goes on to tell the other tasks. What is single there goes on once.
 So a hot window crosses the shuffle once per unit, however many copies there are, and no pair is
 ever made. A level is one shuffle of hashes; texts are shuffled once, for the last level and the
@@ -31,7 +31,7 @@ from .shingles import WordHashes, mix, runs, words
 from .words import slices
 
 TARGET = 35
-UNIT_CHARS = 5_000_000
+UNIT_CHARS = 2_500_000
 #: A span in one number: first word, words, and whether it is known to repeat.
 SPAN = "part long, __row long, span long"
 ROW, SPANS = "__row", "__spans"

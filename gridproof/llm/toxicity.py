@@ -41,7 +41,7 @@ STOPS = frozenset(".!?\n")
 class Features:
     """Buckets of a lower-cased word: the word itself and its first four and five letters."""
 
-    def __init__(self, keep: int = 300_000):
+    def __init__(self, keep: int = 150_000):
         self.keep = keep
         self._clear()
 
@@ -131,7 +131,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, steps: int = 20
     ``bias`` is the leak's logit and is not trained."""
     model, seen = Model(np.zeros(BUCKETS), bias), np.full(BUCKETS, 1e-2)
     rng, y, features = np.random.default_rng(seed), np.array(labels, np.int64), Features()
-    bags = [sentences([x], features) for x in texts]
+    bags = [tuple(c.astype(np.int32) for c in sentences([x], features)) for x in texts]
     some = telling(bags, y, least_texts, least_z)
     bags = [(b[0][some[b[0]]], b[1][some[b[0]]], b[2]) for b in bags]
     for _ in range(max(epochs, batch * steps // max(len(texts), 1))):

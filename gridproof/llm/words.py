@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -14,6 +16,13 @@ CHARS_AT_ONCE = 2_000_000
 WORDS_KEPT = 300_000
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as a worker process outlives its task and its stage."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = CHARS_AT_ONCE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Consecutive parts of the batches, each with its texts (null: empty), of ``chars`` or one row at least."""
     for batch in batches:
@@ -28,6 +37,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = C
             part = batch.slice(start, stop - start)
             yield part, [x or "" for x in col.slice(start, stop - start).to_pylist()]
             start = stop
+        pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
