@@ -16,14 +16,18 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, S.BASE), F.sha2(S.listed(base), 256).alias("base_sha256"), S.listed(F.col("spans")).alias("spans"), "n_live", "n_shared")
 
 
+#: The SQL knows a private key by its header alone; on tables without private keys both agree.
+_WIDER = S.WIDER | {"pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----")}
+
+
 def _sql() -> str:
     q = lambda p: p.replace("'", "''")
     parts = []
     for rank, (kind, (p, group, least)) in enumerate(S.BASE.items()):
         value = f"regexp_extract(m[k], '{q(p)}', {group})"
         parts.append(f"SELECT rid, own, repo, {rank} AS rank, '{kind}' AS kind, s, e, v FROM (SELECT rid, own, repo, st AS s, en AS e, v FROM (SELECT *, {value} AS v FROM ({_spans(q(p))})) WHERE length(v) >= {least})")
-    w = q(S.WIDER_PATTERN)
-    for k, (kind, (_, start)) in enumerate(S.WIDER.items()):
+    w = q("|".join(p for p, _ in _WIDER.values()))
+    for k, (kind, (_, start)) in enumerate(_WIDER.items()):
         parts.append(f"SELECT rid, own, repo, {len(S.BASE) + k} AS rank, '{kind}' AS kind, st AS s, en AS e, m[k] AS v FROM ({_spans(w)}) WHERE starts_with(m[k], '{start}')")
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS own, concat_ws('/', source, lang) AS repo FROM documents),

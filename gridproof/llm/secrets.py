@@ -13,7 +13,8 @@ value before it meets in one task. No secret leaves the pass in clear: tables ho
 Defined cases: a null or empty text has no spans; null owners or repositories count as one empty
 name; a null id stays null; repeated rows each get their own spans (rows are told apart by a row
 number, for which the input must be a stored table or otherwise give the same rows when read again);
-input columns called like a result column are not carried along."""
+input columns called like a result column are not carried along; a private key's span runs from BEGIN
+to END or, where END is missing, to the end of its base64 words, and its body is what is hashed."""
 
 from __future__ import annotations
 
@@ -31,9 +32,24 @@ KEYWORDS = "|".join(map(either_case, ("password", "passwd", "secret", "token", "
 ASSIGN = rf"""({KEYWORDS})["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind: (pattern, group whose text is the value, least characters of the value)
 BASE = {"assign": (ASSIGN, 2, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": (r"[0-9a-f]+", 0, 24)}
+#: What stands between the words of a key: white space, its escapes, quotes and marks of quoted lines.
+_GAP = r"""(?:[ \t-\r"'>#*,|]|\\[nr])"""
+_B64 = "[A-Za-z0-9+/]"
+_MIXED = "[A-Za-z/]*?(?:[0-9+]|[a-z][A-Z])"
+#: A private key up to its END line. Without one: up to the end of the base64 words, of which the last
+#: may be short if it is whole (or the text ends there) and doesn't look like prose.
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-{1,4}[^-]++)*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}*+[A-Z][A-Za-z-]*+:{_GAP}++[^ \t-\r\\]++)*+"
+    rf"(?:{_GAP}*+(?={_B64}{{40}}|(?={_B64}{{16}}){_MIXED}){_B64}++={{0,2}})*+"
+    rf"(?:{_GAP}*+(?={_B64}++=|{_MIXED})(?:(?:{_B64}{{4}})*+(?:{_B64}{{2}}==|{_B64}{{3}}=)?+(?![A-Za-z0-9+/=])|{_B64}++=*+(?![\s\S])))?+"
+    r"(?:[ \t-\r]*+-----END [A-Z ]*+-*+)?+)"
+)
+#: What a key's hash leaves out, so that one key has one hash however its lines are broken.
+PEM_FRAME = rf"-----(?:BEGIN|END) [A-Z ]*+-*+|{_GAP}"
 #: The wider kinds: pattern, and what a match of it starts with.
 WIDER = {
-    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----"),
+    "pem": (PEM, "-----"),
     "github": (r"gh[pousr]_[A-Za-z0-9]{36,}", "gh"),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "eyJ"),
     "login": (r"://[A-Za-z0-9._-]+:[^ /@\t-\r]{6,}@", "://"),
@@ -90,11 +106,17 @@ def _wider(text: Column) -> Column:
             out = F.when(m.startswith(start), F.lit(KINDS.index(kind))).otherwise(out)
         return out
 
-    return F.transform(matches(text, WIDER_PATTERN), lambda x: _span(x, rank(x["match"]), x["match"]))
+    pem = WIDER["pem"][1]
+    # of a key the body counts; a header alone has none and counts itself
+    body = lambda m: _let(F.regexp_replace(m, PEM_FRAME, ""), lambda b: F.when(b != "", b).otherwise(m))
+    value = lambda m: F.when(m.startswith(pem), body(m)).otherwise(m)
+    return F.transform(matches(text, WIDER_PATTERN), lambda x: _let(value(x["match"]), lambda v: _span(x, rank(x["match"]), v, x["match"].startswith(pem))))
 
 
-def _span(x: Column, rank: Column, value: Column) -> Column:
+def _span(x: Column, rank: Column, value: Column, key: Column | None = None) -> Column:
+    """``key``: true for a private key, which no placeholder pattern applies to."""
     live = F.length(value).__ge__(12) & value.rlike("[0-9-]") & ~value.rlike(PLACEHOLDER)
+    live = live if key is None else key | live
     return F.struct(x["start"].alias("start"), rank.alias("rank"), x["end"].alias("end"), F.sha2(value, 256).alias("hash"), live.alias("live"))
 
 

@@ -1,7 +1,9 @@
 """Quality rules and secret scans, against plain Python."""
 
 import hashlib
+import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -104,3 +106,32 @@ def test_running_sums(spark):
             total += v
             want.append(total)
         assert r.s == want
+
+
+def pem(k, kind="RSA ", end=True, sep="\n"):
+    r = random.Random(k)
+    body = "".join(r.choices(string.ascii_letters + string.digits + "+/", k=1590)) + "=="
+    lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+    return sep.join([f"-----BEGIN {kind}PRIVATE KEY-----", *lines, *([f"-----END {kind}PRIVATE KEY-----"] if end else [])]), "".join(lines)
+
+
+def test_private_keys(spark):
+    """Each key counts by its body and goes whole; one that many sources hold stays."""
+    texts, bodies = [], []
+    for k in range(12):
+        key, body = pem(k, end=k % 3 > 0, sep=("\n", " ", "\\n", "\r\n")[k % 4])
+        texts.append(f"before {key}{' ' if k % 2 else chr(10)}and after {k}")
+        bodies.append(body)
+    copied = pem(99)[0]
+    texts += [f"copy {copied} of {k}" if k % 2 else "copy " + copied.replace("\n", " ") + f" of {k}" for k in range(4)]
+    texts += ["-----BEGIN PRIVATE KEY-----", "the header -----BEGIN PRIVATE KEY----- opens a key"]
+    texts += ["x -----BEGIN EC PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n" + pem(50)[1][:300], "-----BEGIN PRIVATE KEY-----\n" + pem(51)[1] * 200 + "\n-----BEGIN PRIVATE KEY-----\n" + pem(52)[1]]
+    df = spark.createDataFrame([(k, t, f"s{k}", "en") for k, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    after = [r.text for r in secrets.redact(df).orderBy("doc_id").collect()]
+    assert after[:12] == [f"before [REDACTED]{' ' if k % 2 else chr(10)}and after {k}" for k in range(12)]
+    assert after[12:16] == texts[12:16]
+    assert after[18:] == ["x [REDACTED]", "[REDACTED]\n[REDACTED]"]
+    keys = [r for r in secrets.findings(df).where("kind = 'pem'").collect()]
+    told = {r.doc_id: (r.hash, r.n_owners, r.verdict) for r in keys}
+    assert all(told[k] == (hashlib.sha256(bodies[k].encode()).hexdigest(), 1, "live") for k in range(12))
+    assert len({told[k] for k in range(12, 16)}) == 1 and told[12][1:] == (4, "shared")
