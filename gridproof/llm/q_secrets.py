@@ -16,7 +16,9 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, S.BASE), F.sha2(S.listed(base), 256).alias("base_sha256"), S.listed(F.col("spans")).alias("spans"), "n_live", "n_shared")
 
 
-#: The SQL knows a private key by its header alone; on tables without private keys both agree.
+#: The SQL knows a private key by its header alone, and tells live and shared values by narrower rules than
+#: the operator; both agree on tables without private keys and without values that these rules differ on.
+_PLACEHOLDER = r"(?i)example|change_?me|placeholder|your|dummy|xxxx|0000|1234|abcd"
 _WIDER = S.WIDER | {"pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----")}
 
 
@@ -34,7 +36,7 @@ WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
 a AS ({" UNION ALL ".join(parts)}),
 o AS (SELECT v, count(DISTINCT own) AS n_owners, count(DISTINCT (own, repo)) AS n_repos FROM a GROUP BY v),
 j AS (SELECT a.*, n_owners >= 3 OR n_repos >= 5 AS shared,
-             length(a.v) >= 12 AND regexp_matches(a.v, '[0-9-]') AND NOT regexp_matches(a.v, '{S.PLACEHOLDER}') AS live FROM a JOIN o USING (v)),
+             length(a.v) >= 12 AND regexp_matches(a.v, '[0-9-]') AND NOT regexp_matches(a.v, '{_PLACEHOLDER}') AS live FROM a JOIN o USING (v)),
 g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
              string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (rank < {len(S.BASE)}) AS base,
              string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans,

@@ -3,7 +3,7 @@
 ``scan`` finds candidate spans in whole texts: regular expressions give the matches, the pieces
 between them give the positions in code points. ``ownership`` aggregates the hashes of the candidate
 values by distinct repositories and owners; a value that many owners hold is a copied example, one
-that few owners hold and that doesn't look like a placeholder is a live-looking credential.
+that few owners hold and that isn't a placeholder is a live-looking credential, of whatever length.
 ``findings`` gives one row per span with that verdict; ``redact`` rewrites the texts.
 
 Scale: the texts are read in a narrow pass; only spans (hash, owner, repository) are shuffled, and
@@ -56,7 +56,20 @@ WIDER = {
 }
 WIDER_PATTERN = "|".join(p for p, _ in WIDER.values())
 KINDS = (*BASE, *WIDER)
-PLACEHOLDER = r"(?i)example|change_?me|placeholder|your|dummy|xxxx|0000|1234|abcd"
+
+
+def _runs_from(letters: str, least: int = 4) -> str:
+    """Pattern of the beginnings of ``letters``, from ``least`` characters on."""
+    out = ""
+    for c in reversed(letters[least:]):
+        out = f"(?:{c}{out})?"
+    return letters[:least] + out
+
+
+_HEX, _ALPHABET = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+_COUNTING = f"(?:{_HEX})+{_runs_from(_HEX, 0)}|{_runs_from(_HEX)}|(?:1234567890)+{_runs_from('1234567890', 0)}|{_runs_from('1234567890')}|{_runs_from(_ALPHABET)}"
+#: Words that mark a placeholder where they are the whole value or stand between other than letters and digits.
+PLACEHOLDER = rf"(?i)(?:^|[^A-Za-z0-9])(?:examples?|change_?me|placeholder|your|dummy|x{{4,}}|0{{4,}}|{_COUNTING})(?:[^A-Za-z0-9]|$)|^AKIA[A-Z0-9]*EXAMPLE$"
 SPAN = "array<struct<start:int,rank:int,end:int,hash:string,live:boolean>>"
 
 
@@ -92,11 +105,20 @@ def matches(text: Column, pattern: str) -> Column:
     return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none))
 
 
+def _live(value: Column, kind: str) -> Column:
+    """True for a value that may be a credential. A private key always may; of a login its password counts."""
+    if kind == "pem":
+        return F.lit(True)
+    if kind == "login":
+        value = F.regexp_extract(value, "^://[^:]*:(.*)@$", 1)
+    return ~value.rlike(PLACEHOLDER)
+
+
 def _candidates(text: Column, kind: str) -> Column:
     pattern, group, least = BASE[kind]
     value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
     kept = F.filter(matches(text, pattern), lambda x: F.length(value(x["match"])) >= least)
-    return F.transform(kept, lambda x: _span(x, F.lit(KINDS.index(kind)), value(x["match"])))
+    return F.transform(kept, lambda x: _span(x, F.lit(KINDS.index(kind)), value(x["match"]), _live(value(x["match"]), kind)))
 
 
 def _wider(text: Column) -> Column:
@@ -106,17 +128,20 @@ def _wider(text: Column) -> Column:
             out = F.when(m.startswith(start), F.lit(KINDS.index(kind))).otherwise(out)
         return out
 
+    def told(m: Column, v: Column) -> Column:
+        out = F.lit(False)
+        for kind, (_, start) in WIDER.items():
+            out = F.when(m.startswith(start), _live(v, kind)).otherwise(out)
+        return out
+
     pem = WIDER["pem"][1]
     # of a key the body counts; a header alone has none and counts itself
     body = lambda m: _let(F.regexp_replace(m, PEM_FRAME, ""), lambda b: F.when(b != "", b).otherwise(m))
     value = lambda m: F.when(m.startswith(pem), body(m)).otherwise(m)
-    return F.transform(matches(text, WIDER_PATTERN), lambda x: _let(value(x["match"]), lambda v: _span(x, rank(x["match"]), v, x["match"].startswith(pem))))
+    return F.transform(matches(text, WIDER_PATTERN), lambda x: _let(value(x["match"]), lambda v: _span(x, rank(x["match"]), v, told(x["match"], v))))
 
 
-def _span(x: Column, rank: Column, value: Column, key: Column | None = None) -> Column:
-    """``key``: true for a private key, which no placeholder pattern applies to."""
-    live = F.length(value).__ge__(12) & value.rlike("[0-9-]") & ~value.rlike(PLACEHOLDER)
-    live = live if key is None else key | live
+def _span(x: Column, rank: Column, value: Column, live: Column) -> Column:
     return F.struct(x["start"].alias("start"), rank.alias("rank"), x["end"].alias("end"), F.sha2(value, 256).alias("hash"), live.alias("live"))
 
 
@@ -138,12 +163,15 @@ def ownership(found: DataFrame, owner: Column, repository: Column) -> DataFrame:
     return one.groupBy("hash").agg(F.sum("n").alias("n_spans"), F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def judged(found: DataFrame, owner: Column, repository: Column, shared_owners: int = 3, shared_repositories: int = 5) -> DataFrame:
+def judged(found: DataFrame, owner: Column, repository: Column, shared_owners: int = 3, shared_repositories: int | None = None) -> DataFrame:
     """One row per span of ``found``: row, start, rank, end, and the verdict.
 
-    verdict: ``shared`` for a value of many owners or repositories, else ``live`` or ``dull``."""
+    verdict: ``shared`` for a value of many owners, else ``live`` or ``dull``. Repositories of few
+    owners make a value shared only if ``shared_repositories`` is given."""
     owned = ownership(found, owner, repository)
-    shared = (F.col("n_owners") >= shared_owners) | (F.col("n_repositories") >= shared_repositories)
+    shared = F.col("n_owners") >= shared_owners
+    if shared_repositories is not None:
+        shared = shared | (F.col("n_repositories") >= shared_repositories)
     one = found.select("row", F.explode("spans").alias("s")).select("row", "s.start", "s.rank", "s.end", "s.hash", "s.live")
     verdict = F.when(F.col("shared"), "shared").when(F.col("live"), "live").otherwise("dull")
     # the few spans of each value meet its one row; a hot value's side is split by the adaptive plan
