@@ -119,6 +119,12 @@ def similarity(lanes: Column) -> Column:
     return (lanes / HASHES - chance) / (1 - chance)
 
 
+def _check(percent: int) -> None:
+    """Bands and least lanes are made for PERCENT: below it most pairs would be lost unseen."""
+    if percent < PERCENT:
+        raise ValueError(f"percent={percent}: the bands and the estimate are made for {PERCENT} or more")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, n: int = WORDS) -> DataFrame:
     """Of pairs (a, b) of ids, those whose full shingle sets reach the threshold. ``texts``: id, text."""
     group = F.pmod(F.xxhash64("b"), F.lit(GROUPS)).cast("int")
@@ -220,6 +226,7 @@ def _across(members: DataFrame, texts: DataFrame, percent: int, n: int) -> DataF
 
 def links(docs: DataFrame, book: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, n: int = WORDS) -> DataFrame:
     """node, root of the components of the classes' ids. ``book``: the table of ``signed``, as stored."""
+    _check(percent)
     classes = book.where("id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in SIGNATURE])
     classes = written(classes.drop("key"), "classes")
     banded = classes.select("id", F.explode("bands").alias("band"))
@@ -243,7 +250,10 @@ def links(docs: DataFrame, book: DataFrame, text: str = "text", doc_id: str = "d
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, n: int = WORDS) -> DataFrame:
-    """Per row: id, n_shingles, component_id (least id reachable; null ids: null), kept."""
+    """Per row: id, n_shingles, component_id (least id reachable; null ids: null), kept.
+
+    ``percent``: PERCENT or more, for which the bands and the estimate are made."""
+    _check(percent)
     book = written(signed(docs, text, doc_id, n), "signatures")
     # copies of a text are linked with the least id of their class, and ids with their own
     lead = book.where("id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("id").alias("lead"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from gridproof.llm import components, minhash, substrings, vectors
 from gridproof.llm.common import written as stored_as
@@ -122,3 +123,12 @@ def test_components(spark):
         up[b] = a
     got = dict(tuple(x) for x in components.components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {i: find(i) for a, b in links if a != b for i in (a, b)}
+
+
+def test_least_percent(spark):
+    """The fixed bands and lanes would lose most pairs below their similarity, so that is refused."""
+    df = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="percent=50"):
+        minhash.groups(df, percent=50)
+    with pytest.raises(ValueError, match="percent=74"):
+        minhash.links(df, df, percent=74)
