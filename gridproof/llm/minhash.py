@@ -240,7 +240,8 @@ def links(docs: DataFrame, book: DataFrame, text: str = "text", doc_id: str = "d
     tried = written(stars.select("a", "b"), "pairs")
     near = members.select("id").distinct()
     # a text of another class under the same id is the same node, and counts as well
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(near, "id").groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    # rows without words link nothing and have no set to compare
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^ \t-\r]")).join(near, "id").groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     texts = written(texts.drop("h"), "candidate-texts")
     found = written(confirm(tried, texts, percent, n), "confirmed")
     roots = written(components(found), "roots")
@@ -261,6 +262,11 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent:
     roots = links(docs, book, text, doc_id, percent, n)
     known = written(lead.join(roots.withColumnRenamed("node", "lead"), "lead", "left").select("key", F.coalesce("root", "lead").alias("root")), "class-roots")
     rows = written(book.select("id", "key", "n_shingles").join(known, "key", "left"), "rows")
+    # rows without words belong to the node of their id as well
+    blank = written(rows.where("key IS NULL AND id IS NOT NULL").select("id").distinct(), "blank-ids")
+    if not blank.isEmpty():
+        own = rows.where("root IS NOT NULL").join(blank, "id").groupBy("id").agg(F.min("root").alias("own"))
+        rows = written(rows.join(own, "id", "left").withColumn("root", F.coalesce("root", "own")).drop("own"), "rows")
     # rows of one id with different texts join the components of these texts
     twice = rows.where("root IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
     twice = written(twice.select("a", "b"), "shared-ids")

@@ -132,3 +132,12 @@ def test_least_percent(spark):
         minhash.groups(df, percent=50)
     with pytest.raises(ValueError, match="percent=74"):
         minhash.links(df, df, percent=74)
+
+
+def test_rows_without_words(spark):
+    """Ids of a band of several components that also have null, empty and blank rows."""
+    r = random.Random(6)
+    shared = [f"p{k}" for k in range(60)]
+    texts = [shared + [f"v{k}-{j}" for j in range(r.randrange(25))] for k in range(60)]
+    rows = [(1000 - k, " ".join(t)) for k, t in enumerate(texts)]
+    near(spark, rows + [(1000 - k, x) for k in range(60) for x in (None, "", " \n")])
