@@ -16,13 +16,9 @@ packed once each; other input columns, whatever their names, are not carried alo
 
 from __future__ import annotations
 
-import itertools
-import os
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,61 +27,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import WordPool, slices
+from .wordbpe import vocabulary
+from .words import parts
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 UNIT = 1_000_000
-WORDS_HELD = 800_000
 STEP_TOKENS = 1 << 18
-WORD = re.compile(r"[^ \t\n\r]+")
-
-
-@lru_cache(2)
-def library(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.no_truncation()
-    found.no_padding()
-    return found
-
-
-def halves(word: str) -> list[str]:
-    """A word in lower case, its last mark apart, where these are tokens of their own anyway."""
-    if "<|" in word:
-        return [word]
-    if word.isascii():
-        word = word.lower()
-    return [word[:-1], word[-1]] if len(word) > 1 and word[-1] in ".,!?" and (word[-2].isalpha() or "0" <= word[-2] <= "9") else [word]
-
-
-def library_words(path: str):
-    """Encoder of distinct words by the tokenizers library, for lower-case vocabularies that drop white space."""
-
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in library(path).encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
-
-    parts = WordPool(encode, WORDS_HELD)
-    return lambda words: parts.texts([halves(w) for w in words])
-
-
-@lru_cache(1)
-def word_pool(path: str) -> WordPool:
-    """The words that a worker process knows, kept from task to task."""
-    return WordPool(library_words(path), WORDS_HELD)
 
 
 def token_rows(batches: Iterator[pa.RecordBatch], path: str, text: str = "text", end_id: int = END_ID) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Parts of the batches with each text's ids, the end id included."""
-    pool = word_pool(path)
-    for part, texts in slices(batches, text):
-        ids, counts = pool.texts([WORD.findall(x) for x in texts])
-        ends = np.cumsum(counts)
-        yield part, [np.append(ids[b - n : b], end_id).astype("<u4") for n, b in zip(counts, ends, strict=True)]
+    encode = vocabulary(path).encode
+    for part in parts(batches, text):
+        ids = encode(part.column(part.schema.get_field_index(text)))
+        yield part, [np.append(x, end_id).astype("<u4") for x in ids]
 
 
 class Packer:

@@ -23,24 +23,28 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = CHARS_AT_ONCE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Consecutive parts of the batches, each with its texts (null: empty), of ``chars`` or one row at least."""
+def parts(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = CHARS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of the batches, of about ``chars`` bytes of text or one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = batch.column(batch.schema.get_field_index(text))
-        ends = np.cumsum([0 if n is None else n for n in pc.binary_length(col).to_pylist()])
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + chars, "right"))
             stop = min(max(stop, start + 1), batch.num_rows)
-            part = batch.slice(start, stop - start)
-            yield part, [x or "" for x in col.slice(start, stop - start).to_pylist()]
+            yield batch.slice(start, stop - start)
             start = stop
         pa.default_memory_pool().release_unused()
     give_back()
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = CHARS_AT_ONCE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """``parts``, each with its texts (null: empty)."""
+    for part in parts(batches, text, chars):
+        yield part, [x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]
+
+
 def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """pool[starts[k] : starts[k] + lengths[k]] for each k, one after the other."""
     ends = np.cumsum(lengths)
