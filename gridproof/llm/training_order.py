@@ -10,8 +10,10 @@ any slot with one seek.
 Scale: a first pass counts sequences per task (one number each; the table of these, 16 bytes per
 input task, is what the second pass needs to number its sequences), the second makes and shuffles
 the sequences once. A shard is written under a name of its own for each attempt and then moved, so
-a task that runs again replaces it with the same bytes. The input must be a stored table or
-otherwise give the same rows when read again.
+a task that runs again replaces it with the same bytes. The texts are encoded once more to be counted
+rather than stored: ids, shuffle and shards at once would take over three times the input's disk. The
+input must be a stored table or otherwise give the same rows when read again; a task that makes more
+or fewer sequences than were counted is an error, so no slot is filled twice or left out.
 
 Defined cases: a null or empty text is the end id alone; a null id stays null in ``doc_ids``;
 repeated rows are materialised once each; the last sequence of each task is filled up with the pad
@@ -27,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,13 +37,16 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 from .shingles import mix
-from .words import slices
+from .words import parts
 
 SEQUENCE = 1024
 SHARD = 4096
 END_ID = PAD_ID = 50256
 DTYPE = np.dtype("<u2")
 ROUNDS = 4
+#: The published split rule without its look ahead, and two characters in a row that it may matter for.
+SHORT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+SPACES = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]{2}"
 
 
 class Order:
@@ -75,34 +81,48 @@ class Order:
 
 
 @lru_cache(2)
-def encoding(path: str):
+def encoding(path: str, pattern: str | None = None):
     """The ranks file as an encoding of ordinary text."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def encoded(path: str, texts: pa.Array) -> Iterator[list[int]]:
+    """Ids of each text (null: empty).
+
+    The published split rule looks ahead from runs of white space, which keeps the library from its
+    fast matcher. Texts without two white space characters in a row need no such look."""
+    texts = pc.fill_null(texts, "")
+    runs = pc.match_substring_regex(texts, SPACES)
+    whole, short = encoding(path).encode_ordinary, encoding(path, SHORT).encode_ordinary
+    for x, far in zip(texts, runs.to_pylist(), strict=True):
+        yield (whole if far else short)(x.as_py())
 
 
 def _counts(docs: DataFrame, path: str, text: str, length: int) -> DataFrame:
     """task, n: ids of each task's texts, in sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = encoding(path).encode_ordinary, 0
-        for _, texts in slices(batches, text):
-            total += sum(len(encode(x)) + 1 for x in texts)
+        total = 0
+        for part in parts(batches, text):
+            total += sum(len(x) + 1 for x in encoded(path, part.column(0)))
         if total:
             yield pa.RecordBatch.from_pydict({"task": [TaskContext.get().partitionId()], "n": [-(-total // length)]})
 
     return docs.select(text).mapInArrow(run, "task long, n long")
 
 
-def _sequences(docs: DataFrame, path: str, text: str, doc_id: str, length: int, first: dict[int, int], order: Order, shard: int) -> DataFrame:
+def _sequences(docs: DataFrame, path: str, text: str, doc_id: str, length: int, spans: dict[int, tuple[int, int]], order: Order, shard: int) -> DataFrame:
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number = encoding(path).encode_ordinary, first.get(TaskContext.get().partitionId(), 0)
+        task = TaskContext.get().partitionId()
+        start, stop = spans.get(task, (0, 0))
+        number = start
         rest, owners = np.zeros(0, DTYPE), []  # ids not yet in a sequence; (document, ids left) behind them
 
         def cut(ids: np.ndarray, n: int, id_type: pa.DataType) -> pa.RecordBatch:
@@ -120,6 +140,8 @@ def _sequences(docs: DataFrame, path: str, text: str, doc_id: str, length: int,
                 docs_of.append((own, length - room))
             numbers = np.arange(number, number + n)
             number += n
+            if number > stop:
+                raise RuntimeError(f"task {task} makes more than the {stop - start} sequences counted: the input changed between the passes")
             data = [ids[k * length : (k + 1) * length].tobytes() for k in range(n)]
             slot = order.slot(numbers)
             return pa.RecordBatch.from_arrays(
@@ -128,10 +150,10 @@ def _sequences(docs: DataFrame, path: str, text: str, doc_id: str, length: int,
             )
 
         id_type = pa.int64()
-        for part, texts in slices(batches, text, 1_000_000):
+        for part in parts(batches, text, 1_000_000):
             col = part.column(part.schema.get_field_index(doc_id))
             id_type = col.type
-            own = [np.array([*encode(x), END_ID], DTYPE) for x in texts]
+            own = [np.array([*x, END_ID], DTYPE) for x in encoded(path, part.column(part.schema.get_field_index(text)))]
             owners += [[i, len(x)] for i, x in zip(col.to_pylist(), own, strict=True)]
             rest = np.concatenate([rest, *own])
             if n := len(rest) // length:
@@ -139,6 +161,8 @@ def _sequences(docs: DataFrame, path: str, text: str, doc_id: str, length: int,
                 rest = rest[n * length :]
         if len(rest):
             yield cut(np.concatenate([rest, np.full(length - len(rest), PAD_ID, DTYPE)]), 1, id_type)
+        if number < stop:
+            raise RuntimeError(f"task {task} makes fewer than the {stop - start} sequences counted: the input changed between the passes")
 
     schema = f"slot long, shard long, number long, n_tokens long, ids_crc32 long, doc_ids array<{kind}>, ids binary"
     return docs.select(doc_id, text).mapInArrow(run, schema)
@@ -156,14 +180,14 @@ def materialise(docs: DataFrame, path: str, folder: str | None = None, text: str
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/training-order-{uuid.uuid4().hex}"
     counts = sorted(tuple(r) for r in _counts(docs, path, text, length).collect())  # a row per input task
-    first, total = {}, 0
+    spans, total = {}, 0
     for task, n in counts:
-        first[task] = total
+        spans[task] = total, total + n
         total += n
     order, shards = Order(total, key), -(-total // shard)
-    rows = _sequences(docs, path, text, doc_id, length, first, order, shard)
-    parts = max(1, min(partitions, shards))
-    dealt = rows.repartitionById(parts, F.floor(F.col("shard") * parts / max(shards, 1)).cast("int")).sortWithinPartitions("slot")
+    rows = _sequences(docs, path, text, doc_id, length, spans, order, shard)
+    ranges = max(1, min(partitions, shards))
+    dealt = rows.repartitionById(ranges, F.floor(F.col("shard") * ranges / max(shards, 1)).cast("int")).sortWithinPartitions("slot")
     stride = length * DTYPE.itemsize
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

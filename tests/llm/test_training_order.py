@@ -1,7 +1,10 @@
+import random
+import re
 import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -55,3 +58,19 @@ def test_query(spark, sf_dir):
     from gridproof.llm.q_training_order import op5_training_order
 
     assert op5_training_order(spark, sf_dir).count() == len(done)
+
+
+def test_short_rule_is_the_whole_rule():
+    r = random.Random(11)
+    stock = "aAeé ßç \t\n\r\x0b\x0c\x1c\x1f\x85  　'sstd'll,.;!?0129½²٣日本\U0001d4b3\U0001f600́-_"
+    texts = ["", " ", "a ", " a", "\n", "a\nb", "don't", *("".join(r.choice(stock) for _ in range(r.randint(1, 30))) for _ in range(20000))]
+    e = O.encoding(PATH)
+    assert list(O.encoded(PATH, pa.array([None, *texts], pa.string()))) == [[], *map(e.encode_ordinary, texts)]
+    assert e.encode_ordinary("a\x85b") != [] and sum(bool(re.search(r"\s\s", x)) for x in texts) < len(texts)
+
+
+@pytest.mark.parametrize("counted", [{0: (0, 1)}, {0: (0, 400)}, {}])
+def test_counts_that_differ_are_an_error(spark, counted):
+    df = spark.createDataFrame([(1, "long text " * 500)], "doc_id long, text string").coalesce(1)
+    with pytest.raises(Exception, match="sequences counted"):
+        O._sequences(df, PATH, "text", "doc_id", 16, counted, O.Order(400, 1), 100).collect()
