@@ -31,6 +31,8 @@ from .words import WordPool, gather, slices
 #: Fixed value: the published split rule of byte-level BPE, white space spelled as the Unicode property.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 NEVER = np.iinfo(np.int64).max
+#: Symbols from which a word is merged by itself.
+LONG = 1000
 
 
 def byte_letters() -> list[str]:
@@ -86,14 +88,27 @@ class ByteBpe:
             counts[k] = 1
         return done[0].astype(np.int32), counts
 
+    def rank(self, key: np.ndarray) -> np.ndarray:
+        """Ranks of pairs by binary search (no pair: NEVER)."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER)
+
     def merge(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge rounds over symbols and the word each belongs to; both ordered by word."""
+        """Merge rounds over symbols and the word each belongs to; both ordered by word.
+
+        Words over LONG symbols go one by one, as a round over all of a word for each rank in it
+        would take the square of its length."""
         ended = []
+        n = np.bincount(word) if len(word) else np.zeros(0, np.int64)
+        stop, short = np.cumsum(n), np.ones(len(sym), bool)
+        for k in np.flatnonzero(n > LONG).tolist():
+            own = slice(stop[k] - n[k], stop[k])
+            done = self.merge_long(sym[own])
+            ended.append((done, np.full(len(done), k, word.dtype)))
+            short[own] = False
+        sym, word = sym[short], word[short]
         while len(sym) > 1:
-            key = (sym[:-1] << 32) | sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.ranks[at], NEVER)
-            rank = np.append(rank, NEVER)
+            rank = np.append(np.where(word[:-1] == word[1:], self.rank((sym[:-1] << 32) | sym[1:]), NEVER), NEVER)
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(sym))))
             if (over := least == NEVER).any():
@@ -116,6 +131,51 @@ class ByteBpe:
         order = np.argsort(of, kind="stable")
         return out[order], of[order]
 
+    def merge_long(self, sym: np.ndarray) -> np.ndarray:
+        """The symbols of one word after all merges.
+
+        Symbols stay where they are, linked to the next one and the one before. Ranks are taken in
+        blocks from the lowest up, a round for each rank in a block; a round touches the block's
+        candidates, and only pairs beside a merge are searched again."""
+        sym, n = sym.copy(), len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.append(self.rank((sym[:-1] << 32) | sym[1:]), NEVER)
+        while len(live := np.flatnonzero(rank < NEVER)):
+            size = min(len(live), max(256, len(live) // 64)) - 1
+            limit = np.partition(rank[live], size)[size]
+            block = live[rank[live] <= limit]
+            while len(block):
+                r = rank[block]
+                least = r.min()
+                if least > limit:
+                    break
+                at = np.unique(block[r == least])
+                # of pairs that follow one another, as in a run of one letter, each second one is left
+                place = np.arange(len(at))
+                start = np.append(True, after[at[:-1]] != at[1:])
+                at = at[(place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0]
+                gone = after[at]
+                sym[at] = self.merged[least]
+                rank[gone] = NEVER
+                after[at] = after[gone]
+                inner = after[at] < n
+                before[after[at[inner]]] = at[inner]
+                left = before[at]
+                near = np.unique(np.append(at, left[left >= 0]))
+                ends = after[near] >= n
+                rank[near] = np.where(ends, NEVER, self.rank((sym[near] << 32) | sym[np.where(ends, 0, after[near])]))
+                block = np.append(block[r > least], near[rank[near] <= limit])
+        return sym[self._chain(after)]
+
+    @staticmethod
+    def _chain(after: np.ndarray) -> np.ndarray:
+        """The places from 0 on along the links."""
+        out, at, links = [], 0, after.tolist()
+        while at < len(links):
+            out.append(at)
+            at = links[at]
+        return np.array(out, np.int64)
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The texts of rows of ``counts`` ids; bytes that are no UTF-8 become U+FFFD."""
         lengths = self.n_bytes[ids]

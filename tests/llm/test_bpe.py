@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -53,3 +54,17 @@ def test_query(spark, sf_dir, library):
         text = library.decode(ids, skip_special_tokens=False)
         want.add((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert {tuple(r) for r in op2_bpe(spark, sf_dir).collect()} == want
+
+
+def test_long_words(library):
+    r, v = random.Random(9), bpe.vocabulary(PATH)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(r.choices(base64, k=80_000)), "".join(r.choices("etaoinshr", k=20_000)), "".join(r.choices("01234567", k=5000)), "ab" * 4000 + "a", "=" * 5001, "日本語" * 900, "x" * bpe.LONG, "the" * 1500]
+    for text in texts:
+        start = time.process_time()
+        ids, counts = v.encode([text])
+        took = time.process_time() - start
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert took < 3, took
+    ids, counts = v.encode(["short", texts[0], "w", texts[4], "end"])
+    assert ids.tolist() == [i for x in ("short", texts[0], "w", texts[4], "end") for i in library.encode(x, add_special_tokens=False).ids]
