@@ -5,8 +5,11 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from gridproof.llm import components, minhash, substrings, vectors
 from gridproof.llm.common import written as stored_as
+from gridproof.llm.sidecar import chosen, put
 
 from . import brute
 
@@ -57,7 +60,7 @@ def test_estimate(spark):
         assert abs(p.e - common / (792 - common)) < 0.17
 
 
-def test_passages(spark):
+def test_passages(spark, monkeypatch):
     r = random.Random(9)
     shared = [f"s{k}" for k in range(80)]
     rows = list(brute.CASES)
@@ -67,13 +70,35 @@ def test_passages(spark):
         start = r.randrange(80 - n + 1)
         rows.append((100 + k, "\n".join(w[:at] + shared[start : start + n] + w[at:])))
     df = stored(spark.createDataFrame([(*x, 3, "s") for x in rows], "doc_id long, text string, n_words int, __spans string").repartition(3))
-    for start in (None, 9):
-        got = sorted((x.doc_id or -1, x.n_words, x.n_removed, x.text or "") for x in substrings.cut(df.drop("n_words"), start=start).collect())
+    monkeypatch.setattr(substrings, "UNIT_CHARS", 2000)
+    for start in (None, 9, 18, 5, 35):
+        out = substrings.cut(df, start=start)
+        assert out.columns == ["doc_id", "text", "__spans", "n_words", "n_removed"]
+        got = sorted((x.doc_id or -1, x.n_words, x.n_removed, x.text or "") for x in out.collect())
         want = []
         for (i, t), (w, gone) in zip(rows, brute.cut([t for _, t in rows]), strict=True):
             want.append((i or -1, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t or ""))
         assert got == sorted(want)
     assert substrings.cut(df.where("false")).count() == 0
+    assert substrings.levels() == [9, 18, 35] and substrings.levels(35, 18) == [18, 35] and substrings.levels(8) == [8]
+
+
+def test_passages_ends_early(spark, monkeypatch):
+    """Without a repeated anchor the first level is the last."""
+    df = stored(spark.createDataFrame([(k, " ".join(f"a{k}-{j}" for j in range(90))) for k in range(4)], "doc_id long, text string"))
+    monkeypatch.setattr(substrings, "_next", None)
+    assert {(r.n_words, r.n_removed) for r in substrings.cut(df).collect()} == {(90, 0)}
+
+
+def test_changed_input_is_an_error(spark):
+    """A table that gives tasks other rows on the second reading is never answered wrongly."""
+    df = stored(spark.createDataFrame([(k, "same words " * 40) for k in range(6)], "doc_id long, text string").coalesce(1))
+    left = substrings.repeated(df)
+    places = put(spark.range(1).select(F.lit(5).cast("long").alias("row")), "side")
+    for path, rows in ((left, df.limit(4)), (places, df), (places, df.where("doc_id < 3"))):
+        with pytest.raises(Exception, match="input changed"):
+            chosen(rows.coalesce(1), path).collect()
+    assert chosen(df, left).count() == 6 and chosen(df, left, keep=False).count() == 0
 
 
 def test_vectors(spark):
