@@ -6,22 +6,28 @@
    key are candidates. A candidate pair is estimated from its signatures: equal two-bit lanes are
    counted by bit counts and corrected for the lanes that are equal by chance (one in four).
 3. Candidates that may reach the threshold are confirmed on their full sets, and the links so found
-   give components, in two rounds: first each member of a band with the band's least class; then,
-   in bands that still hold several components, all pairs across components, in tiles of bounded
-   size. Links within a component can change nothing, so none is lost that matters: the components
-   are those of all candidates.
+   give components, in two rounds: first each member of a band with the band's least class; then, in
+   bands that still hold several components, all pairs across components are estimated, in tiles of
+   bounded size. A tile returns a forest over the members that may be linked; the trees of all bands
+   join to clusters, and within a cluster each pair is confirmed once, in tiles again. Links within a
+   component can change nothing, so none is lost that matters: the components are those of all
+   candidates.
 
 A pair of similarity 0.75 shares no band with a chance of 5e-6, and fails the estimate with one of
 3e-6.
 
 Scale: hot classes collapse before anything is joined; band keys cross the shuffle as two numbers; a
-band of several components is compared in tiles inside tasks, which return links alone; the members of a class with very many
-candidates are dealt into 256 groups, each with its own copy of that one text. Texts are shuffled
-once, and only those of candidates go further.
+tile holds a bounded number of members and of shingles and returns a row per member at most, so no
+pair is written. Only the texts of candidates leave their task, once (``sidecar``); they are shuffled
+once for each head they are confirmed with and once for their cluster. Clusters of very many tiles
+are confirmed by band instead, so that no text meets all others of a large cluster. The members of a
+class with very many candidates are dealt into 256 groups, each with its own copy of that one text.
 
 Defined cases: null or empty texts and those without words have no shingles and are linked with
 nothing; null ids are linked with nothing and kept; rows that share an id are one node, whatever
-their texts; repeated rows are each returned; other input columns are not carried along."""
+their texts; repeated rows are each returned; other input columns are not carried along by
+``groups``, and all of them, whatever their names, by ``representatives``; the input must be a stored
+table or otherwise give each task the same rows when read again, else an error is raised."""
 
 from __future__ import annotations
 
@@ -33,9 +39,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .components import components
 from .shingles import WordHashes, mix, runs, words
+from .sidecar import Places, chosen, ends, put
+from .vectors import link
 from .words import slices
 
 WORDS = 5
@@ -44,7 +52,10 @@ SIGNATURE = [f"s{k}" for k in range(HASHES * LANE_BITS // 64)]
 #: Equal lanes below which a pair of similarity 0.75 falls with a chance of 3e-6: 104 - 4.5 * 4.4.
 LEAST_LANES = 84
 PERCENT = 75
-TILE = 600
+#: Members of a tile at most, and about their shingles at most.
+TILE, TILE_SHINGLES = 500, 2_000_000
+#: Tiles from which a cluster is confirmed by band.
+MANY_TILES = 16
 GROUPS = 256
 
 
@@ -73,11 +84,11 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = WORDS) -> DataFrame:
-    """id, key (digest of the words), n_shingles, bands, and the signature's numbers."""
+    """row (number of the row), id, key (digest of the words), n_shingles, bands, and the signature's numbers."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (a, b) = WordHashes(), _multipliers()
+        hashes, places, (a, b) = WordHashes(), Places(), _multipliers()
         shift = np.arange(0, 64, LANE_BITS, dtype=np.uint64)
         number = np.arange(BANDS, dtype=np.uint64)
         for part, texts in slices(batches, text):
@@ -97,10 +108,10 @@ def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int =
                 low = (m >> np.uint64(20)) & np.uint64((1 << LANE_BITS) - 1)
                 lanes.append((low.reshape(len(SIGNATURE), -1) << shift).sum(axis=1, dtype=np.uint64).view(np.int64))
             sig = np.array(lanes)
-            cols = [part.column(part.schema.get_field_index(doc_id)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(sig[:, k]) for k in range(len(SIGNATURE)))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "key", "n_shingles", "bands", *SIGNATURE])
+            cols = [pa.array(places.take(part.num_rows)), part.column(part.schema.get_field_index(doc_id)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(sig[:, k]) for k in range(len(SIGNATURE)))]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "id", "key", "n_shingles", "bands", *SIGNATURE])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"id {kind}, key binary, n_shingles long, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE))
+    return docs.select(doc_id, text).mapInArrow(run, f"row long, id {kind}, key binary, n_shingles long, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE))
 
 
 def equal_lanes(left: str, right: str) -> Column:
@@ -175,103 +186,164 @@ def _estimates(table: pa.Table) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[
     return left, right, blocks()
 
 
-def _may_link(table: pa.Table) -> pa.Table:
-    """The rows of a group that are in a pair which may reach the threshold."""
+def _forest(table: pa.Table) -> pa.Table:
+    """For each member of a group in a pair that may reach the threshold: itself and the head of its tree."""
     _, right, blocks = _estimates(table)
-    some = np.zeros(table.num_rows, bool)
+    some, label = np.zeros(table.num_rows, bool), np.arange(table.num_rows)
     for rows, hit in blocks:
-        some[rows] |= hit.any(axis=1)
-        some[right] |= hit.any(axis=0)
-    return table.filter(pa.array(some))
+        i, j = np.nonzero(hit)
+        some[rows[i]] = some[right[j]] = True
+        link(label, rows[i], right[j])
+    at = np.flatnonzero(some)
+    ids = table["id"].combine_chunks()
+    return pa.table({"a": ids.take(pa.array(at)), "b": ids.take(pa.array(label[at]))})
+
+
+def _tiles(sizes: DataFrame) -> Column:
+    """Tiles for ``n`` members of ``shingles`` shingles in all."""
+    return F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int")
+
+
+def _dealt(members: DataFrame, group: str) -> DataFrame:
+    """Members with ``tiles``, dealt to each pair of tiles (low, high) of their group that has their own."""
+    out = members.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return out.select(F.col(group).alias("group"), F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "id", "root", *SIGNATURE)
+
+
+def _exact(table: pa.Table, percent: int, n: int) -> pa.Table:
+    """Confirmed links of a group that join different components, as many as join them."""
+    table = table.combine_chunks()
+    ids = table["id"].to_numpy()
+    _, comp = np.unique(table["root"].to_numpy(), return_inverse=True)
+    sets = [s for s, _ in shingle_sets(table["text"].to_pylist(), WordHashes(), n)]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, right, blocks = _estimates(table)
+    a, b = [], []
+    for rows, hit in blocks:
+        for i, mask in zip(rows.tolist(), hit, strict=True):
+            j = right[mask]
+            # sets whose sizes differ too much can't be similar enough
+            j = j[(comp[j] != comp[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
+            if not len(j):
+                continue
+            flat = np.concatenate([sets[k] for k in j.tolist()])
+            at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+            common = np.add.reduceat(sets[i][at] == flat, np.cumsum(size[j]) - size[j], dtype=np.int64)
+            j = j[100 * common >= percent * (size[i] + size[j] - common)]
+            _, first = np.unique(comp[j], return_index=True)
+            a += [ids[i]] * len(first)
+            b += ids[j[first]].tolist()
+            comp[np.isin(comp, comp[j])] = comp[i]
+    kind = table.schema.field("id").type
+    return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
 
 
 def _across(members: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
-    """Confirmed links (a, b) between different components of a band, compared in tiles.
-
-    Of the links of a document to one other component, one is returned for each group."""
-    mixed = members.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    mixed = written(mixed.select("band", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "mixed-bands")
-    dealt = members.join(mixed, "band").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("band", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "id", "root", *SIGNATURE)
-    near = written(dealt.groupBy("band", "low", "high").applyInArrow(_may_link, dealt.schema), "may-link")
+    """Confirmed links (a, b) between different components of a band.
+
+    ``members``: band, id, root, size (shingles) and signature; ``texts``: id, text."""
     kind = members.schema["id"].dataType.simpleString()
+    mixed = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    mixed = written(mixed.select("band", _tiles(mixed).alias("tiles")), "mixed-bands")
+    by_band = _dealt(members.join(mixed, "band"), "band")
+    forest = written(by_band.groupBy("group", "low", "high").applyInArrow(_forest, f"a {kind}, b {kind}").distinct(), "may-link")
+    clusters = written(components(forest).select(F.col("node").alias("id"), F.col("root").alias("cluster")), "clusters")
+    own = members.select("id", "root", "size", *SIGNATURE).dropDuplicates(["id", *SIGNATURE]).join(clusters, "id")
+    sized = own.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    sized = written(sized.select("cluster", _tiles(sized).alias("tiles")), "cluster-tiles")
+    near = _dealt(own.join(sized.where(F.col("tiles") <= MANY_TILES), "cluster"), "cluster")
+    large = clusters.join(sized.where(F.col("tiles") > MANY_TILES), "cluster").select("id")
+    near = near.withColumn("by", F.lit("cluster")).unionByName(by_band.join(large, "id").withColumn("by", F.lit("band")))
+    whole = near.join(texts, "id")
+    exact = whole.groupBy("by", "group", "low", "high").applyInArrow(lambda t: _exact(t, percent, n), f"a {kind}, b {kind}")
+    out = written(exact.distinct(), "confirmed")
+    discard(mixed, forest, clusters, sized)
+    return out
 
-    def exact(table: pa.Table) -> pa.Table:
-        ids, root = table["id"].to_numpy(), table["root"].to_numpy()
-        sets = [s for s, _ in shingle_sets(table["text"].to_pylist(), WordHashes(), n)]
-        size = np.fromiter(map(len, sets), np.int64, len(sets))
-        _, right, blocks = _estimates(table)
-        a, b = [], []
-        for rows, hit in blocks:
-            for i, mask in zip(rows.tolist(), hit, strict=True):
-                j = right[mask]
-                # sets whose sizes differ too much can't be similar enough
-                j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
-                if not len(j):
-                    continue
-                flat = np.concatenate([sets[k] for k in j.tolist()])
-                at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
-                common = np.add.reduceat(sets[i][at] == flat, np.cumsum(size[j]) - size[j], dtype=np.int64)
-                j = j[100 * common >= percent * (size[i] + size[j] - common)]
-                _, first = np.unique(root[j], return_index=True)
-                a += [ids[i]] * len(first)
-                b += ids[j[first]].tolist()
-        kinds = table.schema.field("id").type
-        return pa.table({"a": pa.array(a, kinds), "b": pa.array(b, kinds)})
 
-    whole = near.join(texts, "id").select("band", "low", "high", "tile", "id", "root", *SIGNATURE, "text")
-    return whole.groupBy("band", "low", "high").applyInArrow(exact, f"a {kind}, b {kind}").distinct()
+def _texts(docs: DataFrame, book: DataFrame, members: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """id, text: the different texts of the members' ids. A text of another class under the same id is the same
+    node and counts as well; rows without words link nothing."""
+    rows = book.where("id IS NOT NULL AND key IS NOT NULL").join(members.select("id").distinct(), "id").groupBy("id", "key").agg(F.min("row").alias("row"))
+    side = put(rows.select("row").unionByName(ends(book)), "candidates")
+    out = written(chosen(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), side), "candidate-texts")
+    discard(side)
+    return out
 
 
 def links(docs: DataFrame, book: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, n: int = WORDS) -> DataFrame:
     """node, root of the components of the classes' ids. ``book``: the table of ``signed``, as stored."""
     _check(percent)
-    classes = book.where("id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in SIGNATURE])
+    classes = book.where("id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in SIGNATURE])
     classes = written(classes.drop("key"), "classes")
     banded = classes.select("id", F.explode("bands").alias("band"))
     shared = written(banded.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("band", "head"), "bands")
     members = banded.join(shared, "band").select("band", "head", "id")
-    sign = classes.select("id", F.struct(*SIGNATURE).alias("sig"))
-    members = written(members.join(sign, "id").select("band", "head", "id", "sig.*"), "members")
+    # an id may name classes of several texts; each of them is a member
+    members = written(members.join(classes.drop("bands"), "id").select("band", "head", "id", "size", *SIGNATURE), "members")
 
+    sign = classes.select("id", F.struct(*SIGNATURE).alias("sig"))
     stars = members.where("head <> id").select(F.col("head").alias("a"), F.col("id").alias("b"), F.struct(*SIGNATURE).alias("y")).dropDuplicates(["a", "b"])
     stars = stars.join(sign.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").where(equal_lanes("x", "y") >= LEAST_LANES)
     tried = written(stars.select("a", "b"), "pairs")
-    near = members.select("id").distinct()
-    # a text of another class under the same id is the same node, and counts as well
-    # rows without words link nothing and have no set to compare
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^ \t-\r]")).join(near, "id").groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
-    texts = written(texts.drop("h"), "candidate-texts")
+    texts = _texts(docs, book, members, text, doc_id)
     found = written(confirm(tried, texts, percent, n), "confirmed")
     roots = written(components(found), "roots")
     now = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    more = written(_across(now, texts, percent, n), "confirmed")
-    return roots if more.isEmpty() else components(found.unionByName(more))
-
+    more = _across(now, texts, percent, n)
+    discard(classes, shared, members, tried, texts)
+    if more.isEmpty():
+        return roots
+    return written(components(found.unionByName(more)), "roots")
 
-def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, n: int = WORDS) -> DataFrame:
-    """Per row: id, n_shingles, component_id (least id reachable; null ids: null), kept.
 
-    ``percent``: PERCENT or more, for which the bands and the estimate are made."""
+def _grouped(docs: DataFrame, text: str, doc_id: str, percent: int, n: int) -> DataFrame:
+    """Per row, as stored: row, id, n_shingles, component, kept."""
     _check(percent)
     book = written(signed(docs, text, doc_id, n), "signatures")
     # copies of a text are linked with the least id of their class, and ids with their own
     lead = book.where("id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("id").alias("lead"))
-    lead = written(lead, "leads")
     roots = links(docs, book, text, doc_id, percent, n)
-    known = written(lead.join(roots.withColumnRenamed("node", "lead"), "lead", "left").select("key", F.coalesce("root", "lead").alias("root")), "class-roots")
-    rows = written(book.select("id", "key", "n_shingles").join(known, "key", "left"), "rows")
+    known = lead.join(roots.withColumnRenamed("node", "lead"), "lead", "left").select("key", F.coalesce("root", "lead").alias("root"))
+    rows = written(book.select("row", "id", "key", "n_shingles").join(known, "key", "left"), "rows")
+    discard(book, roots)
     # rows without words belong to the node of their id as well
-    blank = written(rows.where("key IS NULL AND id IS NOT NULL").select("id").distinct(), "blank-ids")
-    if not blank.isEmpty():
-        own = rows.where("root IS NOT NULL").join(blank, "id").groupBy("id").agg(F.min("root").alias("own"))
-        rows = written(rows.join(own, "id", "left").withColumn("root", F.coalesce("root", "own")).drop("own"), "rows")
+    blank = rows.where("key IS NULL AND id IS NOT NULL").select("id").distinct()
+    own = written(rows.where("root IS NOT NULL").join(blank, "id").groupBy("id").agg(F.min("root").alias("own")), "blank-ids")
+    if not own.isEmpty():
+        rows = rows.join(own, "id", "left").withColumn("root", F.coalesce("root", "own")).drop("own")
     # rows of one id with different texts join the components of these texts
     twice = rows.where("root IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
     twice = written(twice.select("a", "b"), "shared-ids")
     if not twice.isEmpty():
-        merged = written(components(twice).select(F.col("node").alias("root"), F.col("root").alias("top")), "merged")
+        merged = components(twice).select(F.col("node").alias("root"), F.col("root").alias("top"))
         rows = rows.join(merged, "root", "left").withColumn("root", F.coalesce("top", "root"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
-    return rows.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return rows.select("row", "id", "n_shingles", component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, n: int = WORDS) -> DataFrame:
+    """Per row: id, n_shingles, component_id (least id reachable; null ids: null), kept.
+
+    ``percent``: PERCENT or more, for which the bands and the estimate are made."""
+    return _grouped(docs, text, doc_id, percent, n).select(F.col("id").alias(doc_id), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, n: int = WORDS) -> DataFrame:
+    """One row of each component, that of the least id, with all columns; rows with a null id all stay.
+
+    Of rows that share this id the one with the least text stays (null: last), the first of equal ones.
+    No text is shuffled but those of rows that share an id."""
+    rows = written(_grouped(docs, text, doc_id, percent, n), "grouped")
+    stay = rows.where("kept AND id IS NOT NULL")
+    twice = stay.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    side = put(stay.join(twice, "id").select("row").unionByName(ends(rows)), "shared-ids")
+    of = chosen(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), side, number="row")
+    of = of.select("row", "id", F.struct(F.col("text").isNull().alias("null"), "text", "row").alias("rank"))
+    # the rank of a row of null text is least among such rows alone
+    best = of.groupBy("id").agg(F.min("rank").alias("best")).select("best.row")
+    gone = rows.where("NOT kept").select("row").unionByName(stay.join(twice, "id").select("row").join(best, "row", "left_anti"))
+    drop = put(gone.unionByName(ends(rows)), "copies")
+    discard(rows, side)
+    return chosen(docs, drop, keep=False)

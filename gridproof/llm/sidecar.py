@@ -20,6 +20,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import shared_dir
 
@@ -78,8 +79,11 @@ class Beside:
             raise RuntimeError(f"task {self.places.task} met {self.places.next - self.places.start} rows and {told - self.places.start} before: the input changed between two passes")
 
 
-def chosen(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
-    """The rows of ``docs`` that the side table at ``path`` lists (or, without ``keep``, the others)."""
+def chosen(docs: DataFrame, path: str, keep: bool = True, number: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that the side table at ``path`` lists (or, without ``keep``, the others).
+
+    ``number``: name of a further column with the row number."""
+    schema = docs.schema if number is None else T.StructType([*docs.schema, T.StructField(number, T.LongType())])
 
     def run(batches):
         places = Places()
@@ -90,7 +94,9 @@ def chosen(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
                 lo, hi = beside.of(rows)
                 listed = np.zeros(len(rows) + 1, bool)
                 listed[beside.row[lo:hi] - rows[0]] = True
+                if number is not None:
+                    batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows)], schema.names)
                 yield batch.filter(pa.array(listed[:-1] == keep))
         beside.close()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)

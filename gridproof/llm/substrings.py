@@ -11,7 +11,7 @@ Scale: each task first looks for repeats among the texts it has met so far. What
 settled; one row of it, and one more if it was single in an earlier unit, tell the other tasks. So a
 hot window crosses the shuffle at most three times per task, however many copies there are, and no
 pair is ever made. A level is one shuffle of hashes; no text is shuffled, as the anchors that are
-left go back to the tasks of their texts (``sidecar``). The last level compares 128 bits. A level
+left go back to the tasks of their texts (``sidecar``). The last level compares 95 bits. A level
 whose anchors all are single ends the work.
 
 Defined cases: a null text has no words, an empty one neither; texts shorter than a window lose
@@ -39,7 +39,7 @@ TARGET = 35
 START = 9
 UNIT_CHARS = 2_500_000
 #: A span in one number: first word, words, and whether it is known to repeat.
-SPAN = "part long, more long, row long, span long"
+SPAN = "part long, more int, row long, span long"
 #: Row number of what only tells that a hash occurs.
 NOWHERE = -1
 
@@ -61,7 +61,7 @@ def unpack(span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(part: np.ndarray, more: np.ndarray, row: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(more.view(np.int64)), pa.array(row), pa.array(span)], ["part", "more", "row", "span"])
+    return pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array((more >> np.uint64(33)).astype(np.int32)), pa.array(row), pa.array(span)], ["part", "more", "row", "span"])
 
 
 class Settler:
@@ -76,7 +76,7 @@ class Settler:
     def settle(self, h: np.ndarray, more: np.ndarray, row: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
         """Rows for the windows of a unit: one for each hash that is new to the task, marked if it repeats
         in the unit; one that goes nowhere for a hash that was single and now repeats; and the settled
-        ones, under keys of their own."""
+        ones, under keys of their places."""
         order = np.argsort(h, kind="stable")
         s = h[order]
         new = np.append(True, s[1:] != s[:-1])[: len(s)]
@@ -92,7 +92,8 @@ class Settler:
         if self.merge and len(rest):
             cut = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (f[1:] != f[:-1] + 1)))
             r, f, n = r[cut], f[cut], np.diff(np.append(cut, len(rest)))
-        own = mix(r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + f.astype(np.uint64))
+        # settled rows need no key; a few hundred places share one, which packs well
+        own = mix(r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (f >> 8).astype(np.uint64))
         nowhere = np.full(len(tell), NOWHERE)
         return _rows(
             np.concatenate([h[lead], h[tell], own]), np.concatenate([more[lead], more[tell], np.zeros(len(own), np.uint64)]), np.concatenate([row[lead], nowhere, r]),
@@ -158,7 +159,7 @@ def _first(docs: DataFrame, text: str, length: int, k: int, target: int) -> Data
 
 
 def _more(unit: Unit, place: np.ndarray, length: int, target: int) -> np.ndarray:
-    """The second 64 bits of windows of the last level; earlier ones go without, as the next level looks again."""
+    """More bits of windows of the last level; earlier ones go without, as the next level looks again."""
     return runs(mix(unit.h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), target)[place] if length == target else np.zeros(len(place), np.uint64)
 
 

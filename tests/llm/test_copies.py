@@ -48,6 +48,37 @@ def test_near_groups(spark):
     near(spark, [(1000 - k, " ".join(t)) for k, t in enumerate(texts)])
 
 
+def test_near_tiles(spark, monkeypatch):
+    """Bands and clusters of many tiles give the same groups, by cluster and by band."""
+    r = random.Random(14)
+    shared = [f"p{k}" for k in range(60)]
+    texts = [shared + [f"v{k}-{j}" for j in range(r.randrange(25))] for k in range(90)]
+    rows = [(1000 - k, " ".join(t)) for k, t in enumerate(texts)]
+    monkeypatch.setattr(minhash, "TILE", 7)
+    near(spark, rows)
+    monkeypatch.setattr(minhash, "MANY_TILES", 1)
+    near(spark, rows)
+    monkeypatch.setattr(minhash, "TILE_SHINGLES", 200)
+    near(spark, rows)
+
+
+def test_representatives(spark):
+    rows = [*brute.CASES, (1, None), (77, "only one text of this id"), (77, None), (77, "another text of this id")]
+    names = ["doc_id", "text", "row", "id", "kept", "__one", "task"]
+    df = stored(spark.createDataFrame([(*x, k, k, k, k, k) for k, x in enumerate(rows)], "doc_id long, text string, row int, id int, kept int, __one int, task int").repartition(3))
+    out = minhash.representatives(df)
+    assert out.columns == names
+    got = [tuple(x) for x in out.collect()]
+    assert all(x[2:] == (x[2],) * 5 and x[:2] == rows[x[2]] for x in got)
+    want, seen = [], set()
+    for (i, _, root), (_, text) in sorted(zip(brute.near(rows), rows, strict=True), key=lambda x: (x[1][1] is None, x[1][1] or "")):
+        if i is None or i == root and i not in seen:
+            seen.add(i)
+            want.append((i, text))
+    assert sorted((x[:2] for x in got), key=str) == sorted(want, key=str)
+    assert minhash.representatives(df.where("false")).count() == 0
+
+
 def test_estimate(spark):
     from pyspark.sql import functions as F
 
