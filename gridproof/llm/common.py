@@ -25,6 +25,19 @@ def id_hash(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression takes it, whatever its letters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` or, if a column is called so, one like it that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 

@@ -1,8 +1,8 @@
 """Connected components of links, by alternating large and small stars.
 
 Each round links every node to the least node known near it; rounds go on until no link changes.
-Tables of a round are written to the shared folder, so a lost executor costs one round and plans
-stay short, and both sides of a join are plain shuffles, which the adaptive plan splits where a
+Tables of a round are written to the shared folder and deleted when the next ones are there, so a
+lost executor costs one round and plans stay short, and both sides of a join are plain shuffles, which the adaptive plan splits where a
 node has very many links. Links stay on the executors; the driver sees two numbers a round."""
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _state(links: DataFrame) -> tuple:
@@ -26,9 +26,11 @@ def components(links: DataFrame) -> DataFrame:
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, "large")
+        discard(edges, least)
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         moved = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        discard(large, least)
         before, state = state, _state(edges)
         if state == before:
             break

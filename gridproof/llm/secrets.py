@@ -13,7 +13,7 @@ value before it meets in one task. No secret leaves the pass in clear: tables ho
 Defined cases: a null or empty text has no spans; null owners or repositories count as one empty
 name; a null id stays null; repeated rows each get their own spans (rows are told apart by a row
 number, for which the input must be a stored table or otherwise give the same rows when read again);
-input columns called like a result column are not carried along; a private key's span runs from BEGIN
+``redact`` carries all input columns along, whatever their names, the others none; a private key's span runs from BEGIN
 to END or, where END is missing, to the end of its base64 words, and its body is what is hashed."""
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import quoted, text_or_empty, written
 
 
 def either_case(word: str) -> str:
@@ -147,8 +147,8 @@ def _span(x: Column, rank: Column, value: Column, live: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``row`` (number of the row), the ``keep`` columns, and ``spans`` sorted by start and kind."""
-    df = docs.select(F.monotonically_increasing_id().alias("row"), *keep, text_or_empty(text).alias("__t"))
-    t = F.col("__t")
+    df = docs.select(F.monotonically_increasing_id().alias("row"), *keep, text_or_empty(text).alias("scanned"))
+    t = F.col("scanned")
     spans = F.concat(*[_candidates(t, k) for k in BASE], _wider(t))
     return df.select("row", *keep, F.sort_array(spans).cast(SPAN).alias("spans"))
 
@@ -180,11 +180,17 @@ def judged(found: DataFrame, owner: Column, repository: Column, shared_owners: i
 
 def findings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: Column | None = None, repository: Column | None = None, **limits: int) -> DataFrame:
     """doc_id, kind, start, end, hash, n_owners, n_repositories, verdict: a row per span."""
-    own, repo = _owners(owner, repository)
-    found = written(scan(docs.withColumns({"__own": own, "__repo": repo}), text, (doc_id, "__own", "__repo")), "secret-spans")
+    found = _found(docs, F.col(doc_id).alias("id"), text, owner, repository)
     kind = F.get(F.array(*map(F.lit, KINDS)), F.col("rank"))
-    one = judged(found, F.col("__own"), F.col("__repo"), **limits).join(found.select("row", doc_id), "row")
-    return one.select(doc_id, kind.alias("kind"), "start", "end", "hash", "n_owners", "n_repositories", "verdict")
+    one = judged(found, F.col("own"), F.col("repo"), **limits).join(found.select("row", "id"), "row")
+    return one.select(F.col("id").alias(doc_id), kind.alias("kind"), "start", "end", "hash", "n_owners", "n_repositories", "verdict")
+
+
+def _found(docs: DataFrame, carried: Column, text: str, owner: Column | None, repository: Column | None) -> DataFrame:
+    """The stored scan: row, the ``carried`` column, own, repo, spans; under names of its own, so that no column of ``docs`` clashes."""
+    own, repo = _owners(owner, repository)
+    rows = docs.select(carried, F.col(text).alias("text"), own.alias("own"), repo.alias("repo"))
+    return written(scan(rows, "text", (rows.columns[0], "own", "repo")), "secret-spans")
 
 
 def _owners(owner: Column | None, repository: Column | None) -> tuple[Column, Column]:
@@ -194,12 +200,11 @@ def _owners(owner: Column | None, repository: Column | None) -> tuple[Column, Co
 
 def counted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: Column | None = None, repository: Column | None = None, **limits: int) -> DataFrame:
     """Per document: its spans and how many of them are live-looking or shared."""
-    own, repo = _owners(owner, repository)
-    found = written(scan(docs.withColumns({"__own": own, "__repo": repo}), text, (doc_id, "__own", "__repo")), "secret-spans")
+    found = _found(docs, F.col(doc_id).alias("id"), text, owner, repository)
     of = lambda v: F.count(F.when(F.col("verdict") == v, 1)).alias(f"n_{v}")
-    told = judged(found, F.col("__own"), F.col("__repo"), **limits).groupBy("row").agg(of("live"), of("shared"))
+    told = judged(found, F.col("own"), F.col("repo"), **limits).groupBy("row").agg(of("live"), of("shared"))
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return found.join(told, "row", "left").select(doc_id, "spans", n("n_live"), n("n_shared"))
+    return found.join(told, "row", "left").select(F.col("id").alias(doc_id), "spans", n("n_live"), n("n_shared"))
 
 
 def listed(spans: Column) -> Column:
@@ -208,19 +213,27 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["rank"]), x["start"], x["end"])), ",")
 
 
-def redact(docs: DataFrame, text: str = "text", verdicts: tuple[str, ...] = ("live",), mark: str = "[REDACTED]", owner: Column | None = None, repository: Column | None = None, **limits: int) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", verdicts: tuple[str, ...] = ("live",), mark: str = "[REDACTED]", owner: Column | None = None, repository: Column | None = None, changed: str | None = None, **limits: int) -> DataFrame:
     """The documents with each span of a given verdict replaced by ``mark``; other columns unchanged.
 
-    Overlapping spans become one mark. A null text stays null."""
-    own, repo = _owners(owner, repository)
-    found = written(scan(docs.withColumns({"__own": own, "__repo": repo}), text, ("__own", "__repo")), "secret-spans")
-    bad = judged(found, F.col("__own"), F.col("__repo"), **limits).where(F.col("verdict").isin(*verdicts))
-    bad = bad.groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__bad"))
+    ``changed``: name of a further column that tells where something was replaced. Overlapping spans
+    become one mark. A null text stays null. The scan's table holds the documents, so each is read once
+    more in place; only those with spans are shuffled to their verdicts."""
+    found = _found(docs, F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("doc"), text, owner, repository)
+    bad = judged(found, F.col("own"), F.col("repo"), **limits).where(F.col("verdict").isin(*verdicts))
+    bad = bad.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("bad"))
     # spans that touch or overlap what came before lengthen the last cut
     step = lambda a, x: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["end"] >= x["start"]), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.get(a, F.size(a) - 1)["start"].alias("start"), F.greatest(F.get(a, F.size(a) - 1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(a, F.array(x)))
-    cuts = F.aggregate(F.col("__bad"), F.array().cast("array<struct<start:int,end:int>>"), step)
-    t = F.col(text)
+    cuts = F.aggregate(F.col("bad"), F.array().cast("array<struct<start:int,end:int>>"), step)
+    t = F.col("doc")[text]
     piece = lambda c, x, k: F.substring(t, F.coalesce(F.get(c, k - 1)["end"], F.lit(0)) + 1, x["start"] - F.coalesce(F.get(c, k - 1)["end"], F.lit(0)))
     done = _let(cuts, lambda c: F.concat(F.array_join(F.transform(c, lambda x, k: F.concat(piece(c, x, k), F.lit(mark))), ""), F.substring(t, F.get(c, F.size(c) - 1)["end"] + 1, F.length(t))))
-    joined = docs.withColumn("__row", F.monotonically_increasing_id()).join(bad, "__row", "left")
-    return joined.withColumn(text, F.when(F.col("__bad").isNotNull(), done).otherwise(t)).select(*docs.columns)
+    some = F.size("spans") > 0
+
+    def of(rows: DataFrame, new: Column, hit: Column) -> DataFrame:
+        cols = [(new if c == text else F.col("doc")[c]).alias(c) for c in docs.columns]
+        return rows.select(*cols, *([hit.alias(changed)] if changed else []))
+
+    hit = F.col("bad").isNotNull()
+    marked = of(found.where(some).select("row", "doc").join(bad, "row", "left"), F.when(hit, done).otherwise(t), hit)
+    return of(found.where(~some), t, F.lit(False)).union(marked)

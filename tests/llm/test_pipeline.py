@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, each on what the stage before it kept."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -78,5 +79,20 @@ def test_empty(spark, sf_dir):
         assert after.count() == 0, name
 
 
+def test_clashing_columns(spark, sf_dir):
+    """Further columns stay as they are, also where an operator uses such a name itself."""
+    names = ["__one", "__row", "__spans", "__text", "__bad", "__n_words", "n_words", "n_removed", "row", "spans", "bad", "doc", "own", "repo", "changed", "task", "scanned", "id", "kept", "text_"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plain, extra = docs, docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    plain, extra = written(plain, "documents"), written(extra, "documents")
+    for name, stage in P.STAGES[:-1]:
+        plain, extra = written(stage(spark, plain, sf_dir), name), written(stage(spark, extra, sf_dir), name)
+        assert extra.columns == [*docs.columns, *names], name
+        got = extra.collect()
+        assert rows(plain) == sorted((tuple(r[c] for c in docs.columns) for r in got), key=str), name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in names), name
+    assert P.STAGES[-1][1](spark, extra, sf_dir).count() == P.STAGES[-1][1](spark, plain, sf_dir).count()
+
+
 def test_run(spark, sf_dir):
     assert P.run(spark, sf_dir).count() > 0
