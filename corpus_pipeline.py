@@ -12,11 +12,11 @@ an empty text; n_chars follows the text where a stage changes it."""
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridproof.llm import minhash, packing, secrets, substrings, toxicity
-from gridproof.llm.common import table, written
+from gridproof.llm.common import discard, quoted, table, unused, written
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -29,23 +29,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the least id."""
-    gone = minhash.groups(docs).where("NOT kept").select("doc_id").distinct()
-    left = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    left = left.withColumn("__one", one).where("__one = 1").drop("__one")
-    return left.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    return minhash.representatives(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that occur elsewhere go."""
-    done = substrings.cut(docs, n_words="__n_words", n_removed="__n_removed")
-    return done.withColumn("n_chars", _chars(done, F.col("__n_removed") > 0)).select(*docs.columns)
+    total, gone = unused(docs, "n_words"), unused(docs, "n_removed")
+    done = substrings.cut(docs, n_words=total, n_removed=gone)
+    return _counted(docs, done, F.col(gone) > 0)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials of few owners are replaced by a mark."""
-    done = secrets.redact(docs.withColumn("__text", F.col("text")))
-    return done.withColumn("n_chars", _chars(done, F.col("text") != F.col("__text"))).select(*docs.columns)
+    changed = unused(docs, "changed")
+    return _counted(docs, secrets.redact(docs, changed=changed), F.col(changed))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +50,10 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(VOCABULARY))
 
 
-def _chars(docs: DataFrame, changed: Column) -> Column:
-    return F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+def _counted(docs: DataFrame, done: DataFrame, changed: Column) -> DataFrame:
+    """The columns of ``docs`` with n_chars after the text where it changed."""
+    n = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", n).select(*map(quoted, docs.columns))
 
 
 STAGES = [("toxicity", drop_toxic), ("minhash", drop_copies), ("substrings", drop_passages), ("secrets", hide_secrets), ("packing", pack)]
@@ -62,7 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
