@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridproof.functions.projection import EARTH_KM, from_polar, to_polar
 from gridproof.functions.scalars import unit_sphere
@@ -92,34 +95,37 @@ def conservative_weights(src: tuple[float, float, int], dst: tuple[float, float,
     return out
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int = 1, reach: float = 0.05) -> DataFrame:
+#: Cubes of the nearest search are 2 ** -level wide; the finest ones span about 1.5 km of the Earth.
+FINEST = 12
+
+
+def nearest(points: DataFrame, queries: DataFrame, k: int = 1) -> DataFrame:
     """query, point, d, rank: the k nearest by chord distance on the unit sphere; ties by point.
 
-    points: point, lat, lon; queries: query, lat, lon. Both sides fall into cubes as wide as the
-    reach, and a query looks into the cubes about its own; what is within the reach is then certain.
-    Queries that found fewer than k are asked again with twice the reach, until it spans the sphere."""
-    spark = points.sparkSession
+    points: point, lat, lon; queries: query, lat, lon. The space is cut into cubes of several levels.
+    The finest cube about a query that holds k points bounds the distance of its k-th neighbour by the
+    cube's diagonal, and all points within it lie in the cubes of twice that width about the query's
+    own. So one join of equality on cubes finds all candidates, in as many cubes as the points' density
+    there asks for, and the plan doesn't grow. Where the coarsest cube has fewer than k points, the
+    query meets all points within reach of the next ones, up to the whole sphere."""
     xyz = lambda df, name: df.select(name, *[c.alias(a) for a, c in zip("xyz", unit_sphere(F.col("lat"), F.col("lon")), strict=True)])
+    cube = lambda a: F.floor(F.col(a) * F.pow(F.lit(2.0), F.col("level"))).cast("int")
+    cubes = ("level", "cx", "cy", "cz")
+    at_level = lambda df: df.withColumns({f"c{a}": cube(a) for a in "xyz"})
+    levels = lambda lo: F.explode(F.sequence(F.lit(lo), F.lit(FINEST)))
     p, q = xyz(points, "point"), xyz(queries, "query")
-    enough, done = min(k, points.count()), None
-    while enough:
-        cube = lambda a, r=reach: F.floor(F.col(a) / r).cast("int")
-        near = F.sequence(F.lit(-1), F.lit(1))
-        asked = q.withColumns({f"c{a}": cube(a) for a in "xyz"})
-        for a in ("cx", "cy", "cz"):
-            asked = asked.withColumn("near", F.explode(near)).withColumn(a, F.col(a) + F.col("near")).drop("near")
-        held = p.select("point", *[F.col(a).alias(f"p{a}") for a in "xyz"], *[cube(a).alias(f"c{a}") for a in "xyz"])
-        d = F.sqrt(sum((F.col(a) - F.col(f"p{a}")) * (F.col(a) - F.col(f"p{a}")) for a in "xyz"))
-        found = asked.join(held, ["cx", "cy", "cz"]).select("query", "point", d.alias("d")).where(F.col("d") <= reach)
-        w = Window.partitionBy("query").orderBy("d", "point")
-        found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        full = found.withColumn("n", F.count("*").over(Window.partitionBy("query"))).where(F.col("n") >= enough).drop("n")
-        done = full if done is None else done.unionByName(full)
-        q = q.join(full.select("query").distinct(), "query", "left_anti")
-        reach *= 2
-        if reach > 4 or q.isEmpty():
-            break
-    return done if done is not None else spark.createDataFrame([], "query long, point long, d double, rank int")
+    held = at_level(p.withColumn("level", levels(-1)))
+    dense = held.groupBy(*cubes).agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    asked = at_level(q.withColumn("level", levels(0)))
+    best = asked.join(dense.select(*cubes), list(cubes)).groupBy("query").agg(F.max("level").alias("best"))
+    asked = q.join(best, "query", "left").withColumn("level", F.coalesce(F.col("best") - 1, F.lit(-1)))
+    asked = at_level(asked.withColumn("bound", F.coalesce(F.pow(F.lit(2.0), -F.col("best")) * 3**0.5 + 1e-12, F.lit(3.0))))
+    for a in ("cx", "cy", "cz"):
+        asked = asked.withColumn("near", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(a, F.col(a) + F.col("near")).drop("near")
+    other = held.select(*cubes, "point", *[F.col(a).alias(f"p{a}") for a in "xyz"])
+    d = F.sqrt(sum((F.col(a) - F.col(f"p{a}")) * (F.col(a) - F.col(f"p{a}")) for a in "xyz"))
+    found = asked.join(other, list(cubes)).select("query", "point", d.alias("d"), "bound").where(F.col("d") <= F.col("bound")).drop("bound")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "point"))).where(F.col("rank") <= k)
 
 
 def inverse_weights(near: DataFrame, how: str = "inverse", sigma2: float | None = None) -> DataFrame:
@@ -187,27 +193,53 @@ def land_mask(grid: DataFrame, land: DataFrame, step: float) -> DataFrame:
     return rows.drop("a", "b").withColumn("is_land", F.coalesce("is_land", F.lit(False)))
 
 
+#: Cells of a tile's side in the local windows.
+SIDE = 256
+
+
 def local_moments(field: DataFrame, window: int, n_sigma: float, keys: Sequence[str] | None = None, **values: Column) -> DataFrame:
     """Gaussian means over the present cells of a square window, for each named value.
 
-    Rows first and then columns, so a cell makes 2 * window rows and not window squared."""
+    Cells are dealt into square tiles, each with the cells about it that its windows reach, so there is
+    one shuffle of little more than the rows; a tile is a small dense array, weighted by rows and then
+    by columns."""
     half, sigma = window // 2, (window - 1) / (2 * n_sigma)
-    weight = F.exp(-F.col("o") * F.col("o") / (2 * sigma * sigma))
     keys = list(keys or [c for c in field.columns if c not in ("i", "j", "value")])
-    some = F.when(F.col("value").isNotNull(), 1.0)
-    rows = field.select(*keys, "i", "j", some.alias("w"), *[v.alias(n) for n, v in values.items()])
+    wanted = list(values)
+    names = ["present", *wanted]
+    rows = field.select(*keys, "i", "j", F.col("value").isNotNull().cast("double").alias("present"), *[v.cast("double").alias(n) for n, v in values.items()])
     for axis in ("i", "j"):
-        moved = rows.withColumn("o", F.explode(F.sequence(F.lit(-half), F.lit(half)))).withColumn(axis, (F.col(axis) + F.col("o")).cast("int"))
-        rows = moved.groupBy(*keys, "i", "j").agg(*[F.sum(F.col(n) * weight).alias(n) for n in ("w", *values)])
-    cells = field.select(*keys, "i", "j").distinct()
-    return cells.join(rows, [*keys, "i", "j"]).select(*keys, "i", "j", *[F.when(F.col("w") > 0, F.col(n) / F.col("w")).alias(n) for n in values])
+        reach = [F.floor((F.col(axis) + o) / SIDE) for o in (-half, half)]
+        rows = rows.withColumn(f"tile_{axis}", F.explode(F.sequence(*reach)))
+    band = lambda n: np.exp(-0.5 * (np.subtract.outer(np.arange(n), np.arange(n)) / sigma) ** 2) * (abs(np.subtract.outer(np.arange(n), np.arange(n))) <= half)
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = (table[c].to_numpy().astype(np.int64) for c in "ij")
+        y, x = i - i.min(), j - j.min()
+        high, wide = y.max() + 1, x.max() + 1
+        rows_of, cols_of, found = band(high), band(wide), {}
+        for n in names:
+            dense = np.zeros((high, wide))
+            np.add.at(dense, (y, x), table[n].fill_null(0.0).to_numpy())
+            found[n] = rows_of @ dense @ cols_of
+        own = np.flatnonzero((i // SIDE == table["tile_i"][0].as_py()) & (j // SIDE == table["tile_j"][0].as_py()))
+        own = own[np.unique(y[own] * wide + x[own], return_index=True)[1]]
+        some = found["present"][y[own], x[own]]
+        part = table.select([*keys, "i", "j"]).take(pa.array(own))
+        for n in wanted:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                part = part.append_column(n, pa.array(found[n][y[own], x[own]] / some, pa.float64(), mask=some <= 0))
+        return part
+
+    schema = T.StructType([*(f for k in (*keys, "i", "j") for f in field.schema if f.name == k), *(T.StructField(n, T.DoubleType()) for n in wanted)])
+    return rows.groupBy(*keys, "tile_i", "tile_j").applyInArrow(run, schema)
 
 
 def local_std(field: DataFrame, window: int = 21, n_sigma: float = 3.0, eps: float = 1e-8, masked: bool = False) -> DataFrame:
     """Local standard deviation by cell; with ``masked`` missing where the cell itself is."""
     v = F.col("value")
-    m = local_moments(field, window, n_sigma, m1=v, m2=v * v, own=F.when(v.isNotNull(), 1.0))
-    out = m.withColumn("value", F.sqrt(F.greatest(F.col("m2") - F.col("m1") * F.col("m1"), F.lit(0.0)) + eps)).drop("m1", "m2", "own")
+    m = local_moments(field, window, n_sigma, m1=v, m2=v * v)
+    out = m.withColumn("value", F.sqrt(F.greatest(F.col("m2") - F.col("m1") * F.col("m1"), F.lit(0.0)) + eps)).drop("m1", "m2")
     if masked:
         keys = [c for c in field.columns if c != "value"]
         out = out.join(field.where("value IS NOT NULL").select(*keys), keys, "left_semi")

@@ -76,6 +76,8 @@ def g03_corners(spark, sf_dir):
 
 
 QUERIES |= {"g03_corners": g03_corners, "z07_geodesic": z07_geodesic}
+SQLS["z07_geodesic"] = sql("SELECT q, k, round(metres / 1000, 6) AS km, round(azimuth, 6) AS azimuth FROM geo", V.GRID_PT, V.PART_PT, "pairs AS (SELECT q, k, g.lat AS lat1, g.lon AS lon1, p.lat AS lat2, p.lon AS lon2 FROM part_pt p JOIN grid_pt g ON g.k = q % 100 + 1)", *V.geodesic_sql("pairs"))
+SQLS["g03_corners"] = sql("SELECT i, j, " + ", ".join(f"round(max({c}) FILTER (k = {k}), 3) AS {c}{k}" for c in "xy" for k in range(4)) + " FROM corner GROUP BY i, j HAVING count(*) = 4", V.FIELD_LI, *V.CORNERS)
 
 
 def m17_drift_success(spark, sf_dir):
@@ -84,8 +86,10 @@ def m17_drift_success(spark, sf_dir):
     v = V.vec_ev(spark, sf_dir)
     old = v.select("dataset", F.date_add("date", 1).alias("date"), "i", "j", F.col("u").alias("u0"), F.col("v").alias("v0"))
     change = v.join(old, ["dataset", "date", "i", "j"])
-    std = [G.local_std(change.select("dataset", "date", "i", "j", (F.col(c) - F.col(f"{c}0")).alias("value")), 5, 2.0, 0.0).withColumnRenamed("value", f"s{c}") for c in ("u", "v")]
-    local = std[0].join(std[1], ["dataset", "date", "i", "j"]).select(F.col("dataset").alias("d2"), "date", "i", "j", M.vector_norm(F.col("su"), F.col("sv")).alias("local"))
+    du, dv = F.col("u") - F.col("u0"), F.col("v") - F.col("v0")
+    m = G.local_moments(change.select("dataset", "date", "i", "j", (du + dv).alias("value"), du.alias("du"), dv.alias("dv")), 5, 2.0, ["dataset", "date"], u=F.col("du"), v=F.col("dv"), uu=F.col("du") * F.col("du"), vv=F.col("dv") * F.col("dv"))
+    std = lambda a: F.sqrt(F.greatest(F.col(a * 2) - F.col(a) * F.col(a), F.lit(0.0)))
+    local = m.select(F.col("dataset").alias("d2"), "date", "i", "j", M.vector_norm(std("u"), std("v")).alias("local"))
     joined = rows.join(local, ["d2", "date", "i", "j"], "left")
     return M.drift_success(joined, F.col("local"), 5.0).select("combo", "date", "i", "j", "value")
 

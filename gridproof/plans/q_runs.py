@@ -63,14 +63,22 @@ _hour = "CAST(date_trunc('hour', {}) AS TIMESTAMP)"
 _HOURS = f"hours AS (SELECT buoy_id, unnest(generate_series({_hour.format('min(ts)')}, CASE WHEN {_hour.format('max(ts)')} = max(ts) THEN max(ts) ELSE {_hour.format('max(ts)')} + INTERVAL 1 HOUR END, INTERVAL 1 HOUR)) AS h FROM track_ev GROUP BY buoy_id)"
 _query("p04_hourly", lambda s, d: P.hourly(tr(s, d), 45, ["lat", "event_id"]), "SELECT buoy_id, h AS ts, t.ts AS sample_ts, round(t.lat, 9) AS lat, t.event_id FROM hours JOIN track_ev t USING (buoy_id) WHERE abs(epoch_us(t.ts) - epoch_us(h)) <= 2700000000 QUALIFY row_number() OVER (PARTITION BY buoy_id, h ORDER BY abs(epoch_us(t.ts) - epoch_us(h)), t.ts DESC) = 1", V.TRACK_EV, _HOURS, cols=("lat",))
 _hr = lambda s, d: P.hourly(tr(s, d), 1440, ["lat", "lon"]).drop("sample_ts").withColumn("lat", F.when(F.col("lat") < 79.5, F.col("lat")))
-_HR = "hr AS (SELECT buoy_id, h AS ts, CASE WHEN lat < 79.5 THEN lat END AS lat, lon FROM hours JOIN track_ev t USING (buoy_id) WHERE abs(epoch_us(t.ts) - epoch_us(h)) <= 86400000000 QUALIFY row_number() OVER (PARTITION BY buoy_id, h ORDER BY abs(epoch_us(t.ts) - epoch_us(h)), t.ts DESC) = 1)"
+_HR = """hr AS (SELECT buoy_id, h AS ts, CASE WHEN lat < 79.5 THEN lat END AS lat, lon FROM (
+  SELECT h.buoy_id, h, CASE WHEN after THEN a.lat ELSE b.lat END AS lat, CASE WHEN after THEN a.lon ELSE b.lon END AS lon, CASE WHEN after THEN a.ts ELSE b.ts END AS sample
+  FROM hours h ASOF LEFT JOIN track_ev b ON h.buoy_id = b.buoy_id AND h.h >= b.ts ASOF LEFT JOIN track_ev a ON h.buoy_id = a.buoy_id AND h.h <= a.ts
+  CROSS JOIN LATERAL (SELECT b.ts IS NULL OR coalesce(epoch_us(a.ts) - epoch_us(h) <= epoch_us(h) - epoch_us(b.ts), FALSE) AS after)) WHERE abs(epoch_us(sample) - epoch_us(h)) <= 86400000000)"""
 _GOOD = "good AS (SELECT buoy_id, ts AS start_ts FROM (SELECT *, count(lat) OVER w AS n, count(*) OVER w AS c, max(ts) OVER w AS last FROM hr WINDOW w AS (PARTITION BY buoy_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)) WHERE n = 6 AND c = 6 AND last = ts + INTERVAL 5 HOUR)"
 _query("p06_starts", lambda s, d: P.window_starts(_hr(s, d), 6, ["lat", "lon"]), "SELECT * FROM good", V.TRACK_EV, _HOURS, _HR, _GOOD, cols=())
 _query("p07_windows", lambda s, d: P.windows(_hr(s, d), P.window_starts(_hr(s, d), 6, ["lat"]), 6), "SELECT buoy_id, start_ts, step, start_ts + to_hours(step) AS ts, round(lat, 9) AS lat, round(lon, 9) AS lon FROM good CROSS JOIN (SELECT unnest(range(6))::INT AS step) JOIN hr USING (buoy_id) WHERE hr.ts = start_ts + to_hours(step)", V.TRACK_EV, _HOURS, _HR, _GOOD, cols=("lat", "lon"))
 _query("p10_first", lambda s, d: P.first_positions(P.windows(_hr(s, d), P.window_starts(_hr(s, d), 6, ["lat"]), 6)), "SELECT buoy_id, start_ts, round(lat, 9) AS lat, round(lon, 9) AS lon FROM good JOIN hr ON good.buoy_id = hr.buoy_id AND start_ts = ts".replace("SELECT buoy_id", "SELECT good.buoy_id"), V.TRACK_EV, _HOURS, _HR, _GOOD, cols=("lat", "lon"))
 _steps = lambda s, d: tr(s, d).select("buoy_id", (F.hour("ts")).alias("step"), "value").groupBy("buoy_id", "step").agg(F.max("value").alias("value"))
 _query("p12_pad", lambda s, d: P.padded(_steps(s, d), 12), "SELECT buoy_id, step, round(v, 9) AS value FROM (SELECT DISTINCT buoy_id FROM track_ev) CROSS JOIN (SELECT unnest(range(12))::INT AS step) LEFT JOIN (SELECT buoy_id, hour(ts)::INT AS step, max(value) AS v FROM track_ev GROUP BY ALL) USING (buoy_id, step)", V.TRACK_EV)
-_query("p05_drift", lambda s, d: P.drift(tr(s, d)).select("buoy_id", "event_id", "ts", "u_cm_s", "v_cm_s", "speed_cm_s"), None, cols=())
+_query(
+    "p05_drift", lambda s, d: P.drift(tr(s, d)).select("buoy_id", "event_id", "ts", "u_cm_s", "v_cm_s", "speed_cm_s"),
+    "SELECT buoy_id, event_id, ts, round(k * sin(radians(azimuth)), 2) AS u_cm_s, round(k * cos(radians(azimuth)), 2) AS v_cm_s, round(k, 2) AS speed_cm_s FROM (SELECT *, CASE WHEN dt > 0 THEN metres / dt * 100 END AS k FROM geo)",
+    V.TRACK_EV, "pairs AS (SELECT *, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6::DOUBLE AS dt, lat AS lat1, lon AS lon1, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM track_ev WINDOW w AS (PARTITION BY buoy_id ORDER BY ts))",
+    *V.geodesic_sql("pairs"), digits=2, cols=("u_cm_s", "v_cm_s", "speed_cm_s"),
+)
 _query("p11_order", lambda s, d: P.lat_lon_order(tr(s, d).select("event_id", F.col("lon").alias("a"), F.col("lat").alias("b")), "a", "b"), "SELECT event_id, round(lat, 9) AS lat, round(lon, 9) AS lon FROM track_ev", V.TRACK_EV, cols=("lat", "lon"))
 _query("p16_numeric", lambda s, d: V.table(s, d, "events").select("event_id", P.numeric_time(F.col("event_id") * 3600 + 7).alias("t")), "SELECT event_id, TIMESTAMP '1900-01-01' + to_seconds(event_id * 3600 + 7) AS t FROM events", cols=())
 _obs = lambda s, d: tr(s, d).withColumnRenamed("buoy_id", "station_id")
@@ -184,6 +192,15 @@ def g04_area(spark, sf_dir):
 
 
 QUERIES["g04_area"] = g04_area
+_lat, _lon = V.from_polar_sql("x", "y")
+_det = "p{0} * (q{1} * r{2} - r{1} * q{2}) - q{0} * (p{1} * r{2} - r{1} * p{2}) + r{0} * (p{1} * q{2} - q{1} * p{2})"
+_dot = "(p{0} * p{1} + q{0} * q{1} + r{0} * r{1})"
+_tri = lambda a, b, c: f"2 * atan2(abs({_det.format(a, b, c)}), 1 + {_dot.format(a, b)} + {_dot.format(b, c)} + {_dot.format(a, c)})"
+SQLS["g04_area"] = sql(
+    f"SELECT i, j, round(({_tri(0, 1, 2)} + {_tri(0, 2, 3)}) * {J.EARTH_KM}::DOUBLE ** 2, 4) AS area FROM flat",
+    V.FIELD_LI, *V.CORNERS, f"sphere AS (SELECT i, j, k, cos(radians(lat)) * cos(radians(lon)) AS p, cos(radians(lat)) * sin(radians(lon)) AS q, sin(radians(lat)) AS r FROM (SELECT i, j, k, {_lat} AS lat, {_lon} AS lon FROM corner))",
+    "flat AS (SELECT i, j, " + ", ".join(f"max({c}) FILTER (k = {k}) AS {c}{k}" for c in "pqr" for k in range(4)) + " FROM sphere GROUP BY i, j HAVING count(*) = 4)",
+)
 _LATTICE = "lattice AS (SELECT (s_suppkey - m)::INT AS i, n_nationkey::INT AS j, (70 + (s_suppkey - m) * 0.01::DOUBLE) AS lat, n_nationkey * 0.4::DOUBLE + 10 AS lon FROM supplier CROSS JOIN nation CROSS JOIN (SELECT min(s_suppkey) AS m FROM supplier)), size AS (SELECT max(i) AS h, max(j) AS w FROM lattice)"
 _lattice = lambda s, d: G.mesh(V.table(s, d, "supplier").crossJoin(F.broadcast(V.table(s, d, "supplier").agg(F.min("s_suppkey").alias("m")))).select((F.col("s_suppkey") - F.col("m")).cast("int").alias("i"), (F.lit(70) + (F.col("s_suppkey") - F.col("m")) * 0.01).alias("lat")), V.table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("j"), (F.col("n_nationkey") * 0.4 + 10).alias("lon")))
 _query("g10d_outline", lambda s, d: G.outline(_lattice(s, d)), "SELECT o::INT AS ring_order, i, j, round(lat, 9) AS lat, round(lon, 9) AS lon FROM size CROSS JOIN LATERAL (SELECT unnest(range(2 * (h + w) + 1)) AS o) JOIN lattice ON i = CASE WHEN o <= w THEN 0 WHEN o <= w + h THEN o - w WHEN o <= 2 * w + h THEN h ELSE 2 * (w + h) - o END AND j = CASE WHEN o <= w THEN o WHEN o <= w + h THEN w WHEN o <= 2 * w + h THEN 2 * w + h - o ELSE 0 END", _LATTICE, cols=("lat", "lon"))

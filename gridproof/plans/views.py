@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridproof.functions import projection as J
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -125,5 +127,60 @@ triples AS (SELECT a.dataset || '|' || b.dataset || '|' || d.dataset AS combo, c
   LEFT JOIN field_ev z ON z.dataset = d.dataset AND z.date = c.date AND z.i = c.i AND z.j = c.j)"""
 
 
+#: Steps of the geodesic's iteration in SQL; points that are not nearly opposite need fewer than ten.
+_STEPS = 14
+
+
+def geodesic_sql(source: str) -> list[str]:
+    """Views up to ``geo``: the rows of ``source`` (lat1, lon1, lat2, lon2) with metres and azimuth on the ellipsoid."""
+    f, a = J.FLATTENING, J.A
+    b = a * (1 - f)
+    views = [f"geo_0 AS (SELECT *, atan({1 - f}::DOUBLE * tan(radians(lat1))) AS u1, atan({1 - f}::DOUBLE * tan(radians(lat2))) AS u2, radians(lon2) - radians(lon1) AS span, radians(lon2) - radians(lon1) AS lam FROM {source})"]
+    for k in range(_STEPS):
+        views += [
+            f"geo_{k}a AS (SELECT * REPLACE (lam AS lam), cos(u2) * sin(lam) AS gx, cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam) AS gy, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM geo_{k})",
+            f"geo_{k}b AS (SELECT *, sqrt(gx * gx + gy * gy) AS ss, atan2(sqrt(gx * gx + gy * gy), cs) AS sigma FROM geo_{k}a)",
+            f"geo_{k}c AS (SELECT *, CASE WHEN ss = 0 THEN 0 ELSE cos(u1) * cos(u2) * sin(lam) / ss END AS sa FROM geo_{k}b)",
+            f"geo_{k}d AS (SELECT *, 1 - sa * sa AS c2, CASE WHEN 1 - sa * sa = 0 THEN 0 ELSE cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) END AS mid FROM geo_{k}c)",
+            f"geo_{k}e AS (SELECT *, {f / 16}::DOUBLE * c2 * (4 + {f}::DOUBLE * (4 - 3 * c2)) AS c FROM geo_{k}d)",
+        ]
+        if k < _STEPS - 1:
+            views.append(f"geo_{k + 1} AS (SELECT * EXCLUDE (gx, gy, cs, ss, sigma, sa, c2, mid, c) REPLACE (span + (1 - c) * {f}::DOUBLE * sa * (sigma + c * ss * (mid + c * cs * (2 * mid * mid - 1))) AS lam) FROM geo_{k}e)")
+    k2 = f"(c2 * {(a * a - b * b) / (b * b)}::DOUBLE)"
+    views.append(f"geo_f AS (SELECT *, 1 + {k2} / 16384 * (4096 + {k2} * (-768 + {k2} * (320 - 175 * {k2}))) AS big, {k2} / 1024 * (256 + {k2} * (-128 + {k2} * (74 - 47 * {k2}))) AS small FROM geo_{_STEPS - 1}e)")
+    views.append(f"geo AS (SELECT *, degrees(atan2(gx, gy)) AS azimuth, {b}::DOUBLE * big * (sigma - small * ss * (mid + small / 4 * (cs * (2 * mid * mid - 1) - small / 6 * mid * (4 * ss * ss - 3) * (4 * mid * mid - 3)))) AS metres FROM geo_f)")
+    return views
+
+
+def to_polar_sql(lat: str, lon: str) -> tuple[str, str]:
+    e = f"{J.ECC}::DOUBLE"
+    t = f"(tan(pi() / 4 - radians({lat}) / 2) / pow((1 - {e} * sin(radians({lat}))) / (1 + {e} * sin(radians({lat}))), {J.ECC / 2}::DOUBLE))"
+    turn = f"radians({lon} - {J.CENTRE_LON}::DOUBLE)"
+    return f"{J.SCALE}::DOUBLE * {t} * sin({turn})", f"-{J.SCALE}::DOUBLE * {t} * cos({turn})"
+
+
+def from_polar_sql(x: str, y: str) -> tuple[str, str]:
+    e2 = J.E2
+    chi = f"(pi() / 2 - 2 * atan(sqrt({x} * {x} + {y} * {y}) / {J.SCALE}::DOUBLE))"
+    terms = (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360, 7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520, 7 * e2**3 / 120 + 81 * e2**4 / 1120, 4279 * e2**4 / 161280)
+    return f"degrees({chi} + " + " + ".join(f"{c}::DOUBLE * sin({2 * (k + 1)} * {chi})" for k, c in enumerate(terms)) + ")", f"(degrees(atan2({x}, -{y})) + {J.CENTRE_LON}::DOUBLE)"
+
+
+def _padded(source: str, to: str, axis: str, other: str) -> list[str]:
+    """Views that add a row before the first and after the last along an axis, by a linear step."""
+    near = f"{to}_n AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY {other}) AS n, lead(x) OVER w AS a_x, lead(y) OVER w AS a_y, lag(x) OVER w AS b_x, lag(y) OVER w AS b_y FROM {source} WINDOW w AS (PARTITION BY {other} ORDER BY {axis}))"
+    edge = lambda k, step, d: f"SELECT {'i' if axis != 'i' else f'i + {step}'} AS i, {'j' if axis != 'j' else f'j + {step}'} AS j, 2 * x - {d}_x AS x, 2 * y - {d}_y AS y FROM {to}_n WHERE k = {k}"
+    return [near, f"{to} AS (SELECT i, j, x, y FROM {source} UNION ALL {edge(1, -1, 'a')} UNION ALL {edge('n', 1, 'b')})"]
+
+
+_X, _Y = to_polar_sql("(70 + i * 0.2::DOUBLE)", "(j * 0.4::DOUBLE + 10)")
+#: corner: the four corners (k, x, y) of each cell of field_li's lattice.
+CORNERS = [
+    f"centre AS (SELECT i, j, {_X} AS x, {_Y} AS y FROM (SELECT DISTINCT i, j FROM field_li))", *_padded("centre", "pad_i", "i", "j"), *_padded("pad_i", "pad_j", "j", "i"),
+    "node AS (SELECT i + a AS i, j + b AS j, avg(x) AS x, avg(y) AS y FROM pad_j, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b) GROUP BY ALL HAVING count(*) = 4)",
+    "corner AS (SELECT c.i, c.j, o.k, n.x, n.y FROM centre c, (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0)) o(k, a, b) JOIN node n ON n.i = c.i + o.a AND n.j = c.j + o.b)",
+]
+
+
 def sql(select: str, *views: str) -> str:
     return f"WITH {', '.join(views)} {select}" if views else select

@@ -232,3 +232,33 @@ def test_similarity(spark):
     assert S.ms_ssim(other, ["k"], n, n, window=3).first().value < 0.2
     with pytest.raises(ValueError):
         S.ms_ssim(same, ["k"], n, n)
+
+
+def test_local_moments_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(G, "SIDE", 7)
+    rng = np.random.default_rng(3)
+    rows = [("a", i, j, None if rng.random() < 0.2 else float(rng.normal())) for i in range(-9, 15) for j in range(20) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "dataset string, i int, j int, value double")
+    got = {(r.i, r.j): r.m for r in G.local_moments(df, 5, 2.0, m=F.col("value")).collect()}
+    assert set(got) == {(i, j) for _, i, j, _ in rows}
+    for i, j in got:
+        near = [(v, math.exp(-0.5 * ((i - a) ** 2 + (j - b) ** 2))) for _, a, b, v in rows if v is not None and abs(i - a) <= 2 and abs(j - b) <= 2]
+        want = sum(v * w for v, w in near) / sum(w for _, w in near) if near else None
+        assert (got[i, j] is None) if want is None else math.isclose(got[i, j], want, abs_tol=1e-12)
+
+
+def test_nearest_dense_and_sparse(spark):
+    points = [(k, 80 + (k * 7 % 90) / 10, (k * 37 % 3600) / 10 - 180) for k in range(200)] + [(500, -10.0, 20.0), (501, -10.0, 20.0), (502, 90.0, 0.0)]
+    queries = [(0, 85.0, 10.0), (1, -60.0, -100.0), (2, -10.0, 20.0), (3, 90.0, 50.0), (4, 0.0, 0.0), (5, 89.9999, 179.9999)]
+
+    def at(lat, lon):
+        p, o = math.radians(lat), math.radians(lon)
+        return math.cos(p) * math.cos(o), math.cos(p) * math.sin(o), math.sin(p)
+
+    for k in (1, 5, 300):
+        got = G.nearest(spark.createDataFrame(points, "point long, lat double, lon double"), spark.createDataFrame(queries, "query long, lat double, lon double"), k).collect()
+        for q, lat, lon in queries:
+            far = {p: math.dist(at(lat, lon), at(a, b)) for p, a, b in points}
+            mine = sorted((r["rank"], r.point, r.d) for r in got if r.query == q)
+            assert [m[0] for m in mine] == list(range(1, min(k, len(points)) + 1)) and len({m[1] for m in mine}) == len(mine), (q, k)
+            assert all(math.isclose(d, far[p], abs_tol=1e-9) and math.isclose(d, w, abs_tol=1e-9) for (_, p, d), w in zip(mine, sorted(far.values()), strict=False)), (q, k)
