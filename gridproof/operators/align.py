@@ -90,3 +90,9 @@ def nearest_time(times: DataFrame, queries: DataFrame, keys: Sequence[str], ts:
     gap = lambda a, b: F.timestamp_diff("MICROSECOND", F.col(a), F.col(b))
     pick = F.when(F.col("ahead").isNull() | (gap("back", "t") <= gap("t", "ahead")), F.col("back")).otherwise(F.col("ahead"))
     return line.select(*keys, F.col("t").alias(at), pick.alias("nearest"))
+
+
+def zipped(left: DataFrame, right: DataFrame, keys: Sequence[str], f: Callable[..., Column], how: str = "inner") -> DataFrame:
+    """keys, value: ``f`` of the keys' columns and the values of both sides; a side that lacks a key is missing."""
+    both = left.select(*keys, F.col("value").alias("v1")).join(right.select(*keys, F.col("value").alias("v2")), list(keys), how)
+    return both.select(*keys, f(*map(F.col, keys), F.col("v1"), F.col("v2")).alias("value"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,3 +121,9 @@ def value_range(rows: DataFrame) -> DataFrame:
     top = F.greatest(F.abs("lo"), F.abs("hi"))
     across = (F.col("lo") < 0) & (F.col("hi") > 0)
     return both.select(F.when(across, -top).otherwise(F.col("lo")).alias("lo"), F.when(across, top).otherwise(F.col("hi")).alias("hi"))
+
+
+def transformed(field: DataFrame, f: Callable[[Column], Column], datasets: Sequence[str] | None = None) -> DataFrame:
+    """The field with ``f`` of its values, of the named datasets alone if they are given; missing stays missing."""
+    own = F.col("value").isNotNull() & (F.lit(True) if datasets is None else F.col("dataset").isin(list(datasets)))
+    return field.withColumn("value", F.when(own, f(F.col("value"))).otherwise(F.col("value")))

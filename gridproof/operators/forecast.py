@@ -76,3 +76,45 @@ def analysis_lead(ts: Column) -> tuple[Column, Column]:
     back = F.when(h < 6, -12).when(h < 18, 0).otherwise(12)
     lead = h - back
     return F.timestamp_add("HOUR", back, day), F.when(lead.isin(6, 12), lead)
+
+
+def checked(forecast: DataFrame, expected_max: int, expected_step: int, strict: bool = True) -> DataFrame:
+    """The forecast as it is; a negative lead is an error, with ``strict`` an unexpected last lead or step too."""
+    flags = lead_report(forecast, expected_max, expected_step)
+    wrong = F.when(F.col("negative"), F.lit("a negative lead in run "))
+    if strict:
+        wrong = wrong.when(~F.col("max_ok"), F.lit("an unexpected last lead in run ")).when(~F.col("step_ok"), F.lit("an unexpected step of leads in run "))
+    told = flags.select("init_time", wrong.otherwise(F.lit(None)).alias("wrong"))
+    bad = F.raise_error(F.concat("wrong", F.col("init_time").cast("string"))).cast("timestamp_ntz")
+    # the reports are a row per run; the forecast's rows of a run meet it once
+    return forecast.join(told, "init_time").withColumn("init_time", F.when(F.col("wrong").isNull(), F.col("init_time")).otherwise(bad)).select(*forecast.columns)
+
+
+def runs_with(forecast: DataFrame, leads: Sequence[int]) -> DataFrame:
+    """init_time of the runs that have all the leads."""
+    have = forecast.where(F.col("lead_h").isin(list(leads))).groupBy("init_time").agg(F.count_distinct("lead_h").alias("n"))
+    return have.where(F.col("n") == len(set(leads))).select("init_time")
+
+
+def leads_of(forecast: DataFrame, inits: DataFrame, leads: Sequence[int]) -> DataFrame:
+    """init_time, place, lead_h and the rest for each wanted run, in the order of the wanted leads; a lead that a run lacks is an error."""
+    wanted = inits.select("init_time", F.posexplode(F.array(*map(F.lit, leads))).alias("place", "lead_h"))
+    rows = wanted.join(forecast.withColumn("found", F.lit(True)), ["init_time", "lead_h"], "left")
+    bad = F.raise_error(F.concat(F.lit("the run has no lead "), F.col("lead_h").cast("string"))).cast("int")
+    rest = [c for c in forecast.columns if c not in ("init_time", "lead_h")]
+    return rows.select("init_time", "place", F.when(F.col("found"), F.col("lead_h")).otherwise(bad).alias("lead_h"), *rest)
+
+
+def for_valid(forecast: DataFrame, times: DataFrame) -> DataFrame:
+    """All forecasts for each wanted valid time (times: valid_time), with their place in order of init."""
+    place = F.row_number().over(Window.partitionBy("valid_time").orderBy("init_time", "lead_h")) - 1
+    return forecast.join(times.select("valid_time").distinct(), "valid_time", "left_semi").withColumn("place", place)
+
+
+def analyses(forecast: DataFrame, times: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """ts, init_time, lead_h, variable, value of six-hourly analyses (times: ts); a time that lacks one of the variables is left out."""
+    init, lead = analysis_lead(F.col("ts"))
+    asked = times.select("ts", init.alias("init_time"), lead.alias("lead_h")).where("lead_h IS NOT NULL")
+    rows = asked.join(forecast.where(F.col("variable").isin(list(variables))), ["init_time", "lead_h"])
+    whole = rows.groupBy("ts").agg(F.count_distinct("variable").alias("n")).where(F.col("n") == len(set(variables))).select("ts")
+    return rows.join(whole, "ts").select("ts", "init_time", "lead_h", "variable", "value")

@@ -211,24 +211,32 @@ def local_moments(field: DataFrame, window: int, n_sigma: float, keys: Sequence[
     for axis in ("i", "j"):
         reach = [F.floor((F.col(axis) + o) / SIDE) for o in (-half, half)]
         rows = rows.withColumn(f"tile_{axis}", F.explode(F.sequence(*reach)))
-    band = lambda n: np.exp(-0.5 * (np.subtract.outer(np.arange(n), np.arange(n)) / sigma) ** 2) * (abs(np.subtract.outer(np.arange(n), np.arange(n))) <= half)
+    weights = np.exp(-0.5 * (np.arange(-half, half + 1, dtype=np.longdouble) / sigma) ** 2)
+
+    def along(x: np.ndarray, axis: int) -> np.ndarray:
+        """Weighted sums along an axis; extended precision, as the result is a quotient of sums."""
+        out, n = np.zeros_like(x), x.shape[axis]
+        own, other = (np.moveaxis(y, axis, 0) for y in (out, x))
+        for o, w in zip(range(-half, half + 1), weights, strict=True):
+            own[max(0, -o) : max(0, n - max(0, o))] += w * other[max(0, o) : max(0, n + min(0, o))]
+        return out
 
     def run(table: pa.Table) -> pa.Table:
         i, j = (table[c].to_numpy().astype(np.int64) for c in "ij")
         y, x = i - i.min(), j - j.min()
         high, wide = y.max() + 1, x.max() + 1
-        rows_of, cols_of, found = band(high), band(wide), {}
+        found = {}
         for n in names:
-            dense = np.zeros((high, wide))
+            dense = np.zeros((high, wide), np.longdouble)
             np.add.at(dense, (y, x), table[n].fill_null(0.0).to_numpy())
-            found[n] = rows_of @ dense @ cols_of
+            found[n] = along(along(dense, 0), 1)
         own = np.flatnonzero((i // SIDE == table["tile_i"][0].as_py()) & (j // SIDE == table["tile_j"][0].as_py()))
         own = own[np.unique(y[own] * wide + x[own], return_index=True)[1]]
         some = found["present"][y[own], x[own]]
         part = table.select([*keys, "i", "j"]).take(pa.array(own))
         for n in wanted:
             with np.errstate(invalid="ignore", divide="ignore"):
-                part = part.append_column(n, pa.array(found[n][y[own], x[own]] / some, pa.float64(), mask=some <= 0))
+                part = part.append_column(n, pa.array((found[n][y[own], x[own]] / some).astype(float), pa.float64(), mask=some <= 0))
         return part
 
     schema = T.StructType([*(f for k in (*keys, "i", "j") for f in field.schema if f.name == k), *(T.StructField(n, T.DoubleType()) for n in wanted)])
@@ -256,3 +264,65 @@ def outline(grid: DataFrame) -> DataFrame:
     closed = ring.unionByName(ring.where("ring_order = 0").withColumn("ring_order", F.col("last")))
     bad = F.raise_error(F.lit("the grid's edge has missing coordinates")).cast("double")
     return closed.drop("last").withColumn("lat", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("lat")).otherwise(bad))
+
+
+def axis_overlaps(src: DataFrame, dst: DataFrame, width: float) -> DataFrame:
+    """s, d, share: the share of each destination interval (d, lo, hi) that a source interval (s, lo, hi) covers.
+
+    Intervals are dealt into buckets of a width, so the join is one of equality."""
+    bucket = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)))
+    a = src.withColumn("bucket", bucket)
+    b = dst.withColumn("bucket", bucket).select("d", "bucket", F.col("lo").alias("lo_"), F.col("hi").alias("hi_"))
+    share = (F.least("hi", "hi_") - F.greatest("lo", "lo_")) / (F.col("hi_") - F.col("lo_"))
+    # a pair that meets in several buckets has the same share in each
+    return a.join(b, "bucket").select("s", "d", share.alias("share")).where("share > 0").distinct()
+
+
+def area_weights(rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """Conservative weights of two grids whose axes are parallel: the product of the overlaps of rows and columns."""
+    i = rows.select(F.col("s").alias("src_i"), F.col("d").alias("dst_i"), F.col("share").alias("a"))
+    j = cols.select(F.col("s").alias("src_j"), F.col("d").alias("dst_j"), F.col("share").alias("b"))
+    return i.crossJoin(j).select("src_i", "src_j", "dst_i", "dst_j", (F.col("a") * F.col("b")).alias("w"))  # the product is the result
+
+
+def regrid_method(src_area: DataFrame, dst_area: DataFrame) -> str:
+    """conservative for a source finer than the destination by the mean area of cells, else bilinear."""
+    a, b = (df.agg(F.avg("area")).first()[0] for df in (src_area, dst_area))  # two numbers
+    return "conservative" if a < b else "bilinear"
+
+
+def onto(field: DataFrame, cells: DataFrame, sites: DataFrame, k: int = 4, how: str = "inverse", skip_missing: bool = True) -> DataFrame:
+    """dataset, date, channel, query, value: each date of a field at the sites, by the distances of the nearest cells.
+
+    cells: i, j, lat, lon; sites: query, lat, lon. The weights are made once for all dates."""
+    near = nearest(cells.select(F.struct("i", "j").alias("point"), "lat", "lon"), sites, k)
+    w = inverse_weights(near, how).select("query", "point.i", "point.j", "w")
+    some = F.when(F.col("value").isNotNull(), F.col("w"))
+    rows = field.join(w, ["i", "j"]).groupBy("dataset", "date", "channel", "query")
+    out = rows.agg(F.sum(F.col("value") * F.col("w")).alias("a"), F.sum(some).alias("b"), F.count("value").alias("c"))
+    ok = F.col("b") > 0 if skip_missing else F.col("c") == k
+    return out.select("dataset", "date", "channel", "query", F.when(ok, F.col("a") / (F.col("b") if skip_missing else F.lit(1.0))).alias("value"))
+
+
+#: Names of latitude and longitude columns.
+LAT_NAMES, LON_NAMES = ("lat", "latitude", "nav_lat", "XLAT"), ("lon", "longitude", "nav_lon", "XLONG")
+
+
+def lat_lon(grid: DataFrame) -> DataFrame:
+    """The grid with its coordinates called lat and lon, whichever of the known names they have."""
+    for name, known in (("lat", LAT_NAMES), ("lon", LON_NAMES)):
+        found = [c for c in grid.columns if c in known]
+        if len(found) != 1:
+            raise ValueError(f"one column of {known} is needed, not {found}")
+        grid = grid.withColumnRenamed(found[0], name)
+    return grid
+
+
+def lat_lon_grid(lats: DataFrame, lons: DataFrame) -> DataFrame:
+    """i, j, lat, lon from two tables of coordinates: of axes (i) and (j) the mesh, of cells (i, j) the rows that both have; other shapes are an error."""
+    y, x = (set(df.columns) & {"i", "j"} for df in (lats, lons))
+    if (y, x) == ({"i"}, {"j"}):
+        return mesh(lats, lons)
+    if y == x == {"i", "j"}:
+        return lats.join(lons, ["i", "j"]).select("i", "j", "lat", "lon")
+    raise ValueError(f"the coordinates have different shapes: {sorted(y)} and {sorted(x)}")

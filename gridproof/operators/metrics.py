@@ -118,13 +118,24 @@ def angle_error(u1: Column, v1: Column, u2: Column, v2: Column, sensitivity: flo
     return F.when(~((a < sensitivity) & (b < sensitivity)), acos_degrees(cos))
 
 
-def drift_success(rows: DataFrame, local: Column, least: float = 0.1, share: float = 0.674) -> DataFrame:
+def drift_success(rows: DataFrame, local: Column, least: float = 0.1, share: float = 0.674, mask: Column | None = None) -> DataFrame:
     """``rows`` (u1, v1 forecast; u2, v2 observed) with ``value``: hit within a share of the local spread.
 
-    local: norm of the local standard deviation of the observed change."""
-    error = vector_norm(F.col("u1") - F.col("u2"), F.col("v1") - F.col("v2"))
-    valid = all_present(F.col("u1"), F.col("v1"), F.col("u2"), F.col("v2"), local)
-    return rows.withColumn("value", F.when(valid, flag(error <= greatest_of(local * share, least))))
+    local: norm of the local standard deviation of the observed change. Cells outside the mask are missing."""
+    return rows.withColumn("value", _drift_hit("u1", "v1", local, least, share, mask))
+
+
+def _drift_hit(u: str, v: str, local: Column, least: float, share: float, mask: Column | None) -> Column:
+    error = vector_norm(F.col(u) - F.col("u2"), F.col(v) - F.col("v2"))
+    valid = all_present(F.col(u), F.col(v), F.col("u2"), F.col("v2"), local)
+    return F.when(valid if mask is None else valid & mask, flag(error <= greatest_of(local * share, least)))
+
+
+def drift_efficiency(rows: DataFrame, local: Column, least: float = 0.1, share: float = 0.674, mask: Column | None = None) -> DataFrame:
+    """``rows`` (u1, v1 forecast; u2, v2 observed; u0, v0 first state) with ``value``: success of the forecast
+    beyond that of the first state."""
+    hit = lambda u, v: _drift_hit(u, v, local, least, share, mask)
+    return rows.withColumn("value", hit("u1", "v1") - hit("u0", "v0"))
 
 
 def ssim_of(mx: Column, my: Column, mxx: Column, myy: Column, mxy: Column, reach: float, clamp: bool = False) -> tuple[Column, Column]:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gridproof.functions.projection import geodesic
 
+from .grid import nearest
+
 HOUR = "INTERVAL 1 HOUR"
 
 
@@ -122,3 +124,57 @@ def wide(obs: DataFrame, variables: Sequence[str], key: str = "station_id") -> D
 
 def long(rows: DataFrame, variables: Sequence[str], key: str = "station_id") -> DataFrame:
     return rows.unpivot([key, "hour"], list(variables), "variable", "value")
+
+
+def to_grid(records: DataFrame, nodes: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """date, point and the mean of each variable over the records nearest to a node; other nodes are missing.
+
+    records: record, date, lat, lon, variables; nodes: point, lat, lon. A date without records has no rows."""
+    own = nearest(nodes, records.select(F.col("record").alias("query"), "lat", "lon")).select(F.col("query").alias("record"), "point")
+    means = records.drop("lat", "lon").join(own, "record").groupBy("date", "point").agg(*[F.avg(v).alias(v) for v in variables])
+    field = records.select("date").distinct().crossJoin(nodes.select("point"))  # the field is the result
+    return field.join(means, ["date", "point"], "left")
+
+
+def whole_hours(track: DataFrame) -> DataFrame:
+    """The track as it is; a time that is no whole hour is an error."""
+    bad = F.raise_error(F.concat(F.lit("not a whole hour: "), F.col("ts").cast("string"))).cast("timestamp_ntz")
+    return track.withColumn("ts", F.when(F.date_trunc("HOUR", "ts") == F.col("ts"), F.col("ts")).otherwise(bad))
+
+
+def ingested(track: DataFrame, order: str, tolerance_min: int | None = None, with_drift: bool = False, required: Sequence[str] = ("lat", "lon"), key: str = "buoy_id") -> DataFrame:
+    """A prepared track: one row of each time, the last by ``order``; hourly with a tolerance, else all times
+    must be whole hours; with the drift to the next position if asked for."""
+    if lacking := [c for c in (key, "ts", *required) if c not in track.columns]:
+        raise ValueError(f"the track lacks the columns {lacking}")
+    one = keep_last(track, order, key)
+    rows = whole_hours(one) if tolerance_min is None else hourly(one, tolerance_min, [c for c in one.columns if c not in (key, "ts")], key)
+    return drift(rows, key) if with_drift else rows
+
+
+def batch(wins: DataFrame, variables: Sequence[str], buoys: Sequence | None = None, places: Sequence[int] | None = None, key: str = "buoy_id") -> DataFrame:
+    """Windows of the wanted buoys, or of the buoys at the wanted places in order of their ids, with the
+    wanted variables; an unknown variable is an error."""
+    if lacking := [v for v in variables if v not in wins.columns]:
+        raise KeyError(f"no such variables: {lacking}")
+    rows = wins if buoys is None else wins.where(F.col(key).isin(list(buoys)))
+    if places is not None:
+        # ids are a short list beside their windows
+        ids = rows.select(key).distinct().withColumn("place", F.row_number().over(Window.orderBy(key)) - 1)
+        rows = rows.join(ids.where(F.col("place").isin(list(places))).select(key), key, "left_semi")
+    return rows.select(key, "start_ts", "step", *variables)
+
+
+def decoded_time(value: Column, units: Column) -> Column:
+    """Time of a number in "units since epoch"; other units give a missing time."""
+    parts = lambda k: F.regexp_extract(units, r"^(second|minute|hour|day)s? since (\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2})?)?)", k)
+    size = F.when(parts(1) == "second", 1).when(parts(1) == "minute", 60).when(parts(1) == "hour", 3600).when(parts(1) == "day", 86400)
+    epoch = F.nullif(parts(2), F.lit("")).cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.round(value * size * 1_000_000).cast("long"), epoch)
+
+
+def constant_step_time(axis: DataFrame, keys: Sequence[str], place: str = "place", value: str = "value", epoch: str = "1900-01-01 00:00:00") -> DataFrame:
+    """axis with ``ts``: seconds since the epoch, from the first value on by the step between the first two."""
+    first = axis.where(F.col(place) < 2).groupBy(*keys).agg(F.max(F.when(F.col(place) == 0, F.col(value))).alias("v0"), F.max(F.when(F.col(place) == 1, F.col(value))).alias("v1"))
+    seconds = F.col("v0") + F.when(F.col(place) > 0, F.col(place) * (F.col("v1") - F.col("v0"))).otherwise(0)
+    return axis.join(first, list(keys)).withColumn("ts", numeric_time(seconds, epoch)).drop("v0", "v1")

@@ -35,10 +35,10 @@ def ssim(rows: DataFrame, keys: Sequence[str], height: int, width: int, reach: f
     return out.withColumns({c: F.greatest(c, F.lit(0.0)) for c in ("ssim", "cs")}) if clamp else out
 
 
-def halved(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Means of 2 x 2 cells; an odd last row or column is averaged over what it has."""
-    half = lambda c: F.floor(F.col(c) / 2).cast("int").alias(c)
-    return rows.groupBy(*keys, half("i"), half("j")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+def halved(rows: DataFrame, keys: Sequence[str], height: int, width: int) -> DataFrame:
+    """Means of 2 x 2 cells. An odd side is padded by a zero at both ends, which count."""
+    half = lambda c, n: F.floor((F.col(c) + n % 2) / 2).cast("int").alias(c)
+    return rows.groupBy(*keys, half("i", height), half("j", width)).agg((F.sum("x") / 4).alias("x"), (F.sum("y") / 4).alias("y"))
 
 
 def ms_ssim(rows: DataFrame, keys: Sequence[str], height: int, width: int, reach: float = 1.0, window: int = WINDOW, weights: Sequence[float] = WEIGHTS) -> DataFrame:
@@ -51,6 +51,6 @@ def ms_ssim(rows: DataFrame, keys: Sequence[str], height: int, width: int, reach
     for k, w in enumerate(weights):
         s = ssim(rows, keys, height, width, reach, window, clamp=True)
         parts.append(s.select(*keys, F.pow(F.col("ssim" if k == len(weights) - 1 else "cs"), F.lit(w)).alias(f"p{k}")))
-        rows, height, width = halved(rows, keys), -(-height // 2), -(-width // 2)
+        rows, height, width = halved(rows, keys, height, width), -(-height // 2), -(-width // 2)
     joined = reduce(lambda a, b: a.join(b, list(keys)), parts)
     return joined.select(*keys, reduce(lambda a, b: a * b, [F.col(f"p{k}") for k in range(len(weights))]).alias("value"))

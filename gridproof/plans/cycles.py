@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridproof.operators.aggregators import global_temporal
+from gridproof.operators.align import combos
+from gridproof.operators.metrics import IDENTITY, IDENTITY_OVER, applied
+
 #: Day of the year on which each month of a common year begins.
 MONTH_STARTS = (1, 32, 60, 91, 121, 152, 182, 213, 244, 274, 305, 335)
 
@@ -109,3 +113,10 @@ def of_several(maps: DataFrame) -> DataFrame:
 def on_times(times: DataFrame, sources: DataFrame) -> DataFrame:
     """Each source at each time, missing where absent. times: date; sources: dataset, date, value."""
     return times.crossJoin(sources.select("dataset").distinct()).join(sources, ["dataset", "date"], "left")  # datasets: a short list
+
+
+def over_reference(field: DataFrame, reference: str) -> DataFrame:
+    """By date: the reference's mean, and those of the other datasets where the reference is present."""
+    own = applied(combos(field.where(F.col("dataset") == reference), 1, [reference]), IDENTITY)
+    others = applied(combos(field, 2, combinator=lambda names, _: [(n, reference) for n in names if n != reference]), IDENTITY_OVER)
+    return global_temporal(own.unionByName(others))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from gridproof.functions import projection as J
@@ -224,8 +221,7 @@ def v02_run(spark, sf_dir):
 
 def v03_resume(spark, sf_dir):
     """The run in two parts, the second resuming the first's stored states."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridproof-")
-    store = R.Store(spark, f"{shared}/{uuid.uuid4().hex}")
+    store = R.Store(spark, R.shared_folder(spark))
     field = V.field_ev(spark, sf_dir)
     store.add(R.in_range(field, "2024-01-01", "2024-01-12"), [M.MAE], _ALL)
     store.add(field, [M.MAE], _ALL)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import tempfile
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -112,3 +113,14 @@ class Store:
 
     def summary(self) -> DataFrame:
         return summary(self.read("partials"))
+
+
+def shared_folder(spark) -> str:
+    """A new name in the folder of spark.checkpoint.dir, which driver and executors share. Where it is unset a
+    local session gets a temporary one; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="gridproof-")
+    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"

@@ -69,3 +69,12 @@ def unique_layers(inventory: DataFrame, keys: Sequence[str]) -> DataFrame:
     n = inventory.groupBy(*keys).agg(F.count("*").alias("n"), F.first(F.struct(*[c for c in inventory.columns if c not in keys])).alias("r"))
     bad = F.raise_error(F.lit("a layer isn't unique")).cast("long")
     return n.withColumn("n", F.when(F.col("n") == 1, F.col("n")).otherwise(bad)).where("n = 1").select(*keys, "r.*")
+
+
+def layers(inventory: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The inventory's row of each wanted layer; one that matches none or several is an error."""
+    rest = [c for c in inventory.columns if c not in keys]
+    found = wanted.select(*keys).distinct().join(inventory.withColumn("hit", F.lit(1)), list(keys), "left")
+    one = found.groupBy(*keys).agg(F.count("hit").alias("n"), F.first(F.struct(*rest)).alias("r"))
+    bad = F.raise_error(F.concat(F.lit("layers that match: "), F.col("n").cast("string"))).cast("long")
+    return one.withColumn("n", F.when(F.col("n") == 1, F.col("n")).otherwise(bad)).where("n = 1").select(*keys, "r.*")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridproof.functions.scalars import CHART_SPEED, wrap_longitude
+from gridproof.operators.align import nearest_time
 
 
 def buoy_csv(spark: SparkSession, path: str, values: Sequence[str], time: str = "time_stamp (UTC)", time_format: str = "M/d/yy H:mm") -> DataFrame:
@@ -136,3 +137,47 @@ def sequence_steps(steps: DataFrame, starts: DataFrame, length: int, every_h: in
     have = need.join(steps.select("ts").distinct(), "ts")
     whole = have.groupBy("start_ts").agg(F.count("*").alias("n")).where(F.col("n") == length).select("start_ts")
     return have.join(whole, "start_ts").join(steps, "ts")
+
+
+def absent(spark: SparkSession, schema: str = "dataset string, date date, channel int, i int, j int, value double") -> DataFrame:
+    """A source that has nothing; what is joined to it keeps its rows."""
+    return spark.createDataFrame([], schema)
+
+
+def earliest_file(rows: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
+    """Of rows that several files hold, those of the first file in order."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), path).alias("r")).select(*keys, "r.*")
+
+
+def nearest_slice(rows: DataFrame, requests: DataFrame, hours: int) -> DataFrame:
+    """request and the rows from the time nearest to its own (requests: request, at) to hours - 1 later, ends included; of two as near, the earlier.
+
+    A slice meets the rows of the hours it touches, by an equality join."""
+    one = F.lit(0).alias("all")
+    first = nearest_time(rows.select("ts", one).distinct(), requests.select("at", one), ["all"]).where("nearest IS NOT NULL")
+    asked = requests.join(first.select("at", "nearest"), "at")
+    hour = F.date_trunc("HOUR", "nearest").cast("timestamp_ntz")
+    asked = asked.select("request", "nearest", F.explode(F.sequence(F.lit(0), F.lit(hours))).alias("k"), hour.alias("h")).withColumn("hour", F.expr("h + make_dt_interval(0, k, 0, 0)"))
+    found = rows.withColumn("hour", F.date_trunc("HOUR", "ts").cast("timestamp_ntz")).join(asked.select("request", "nearest", "hour"), "hour")
+    return found.where((F.col("ts") >= F.col("nearest")) & (F.col("ts") <= F.timestamp_add("HOUR", F.lit(hours - 1), F.col("nearest")))).drop("hour")
+
+
+def write_grid(grid: DataFrame, path: str, title: str) -> None:
+    """Store i, j, lat, lon with the units and the title as comments of the columns."""
+    notes = {"lat": "degrees_north", "lon": "degrees_east"}
+    grid.select("i", "j", *[F.col(c).alias(c, metadata={"comment": u, "title": title}) for c, u in notes.items()]).write.mode("overwrite").parquet(path)
+
+
+def periods(times: DataFrame, period: str, ts: str = "ts") -> DataFrame:
+    """period, n, first, last: the times of each period (a day, month or number of hours such as 6h)."""
+    if period.endswith("h"):
+        start = F.window(F.col(ts).cast("timestamp"), f"{int(period[:-1])} hours").getField("start")
+    else:
+        start = F.date_trunc({"D": "DAY", "M": "MONTH"}[period], ts)
+    return times.groupBy(start.cast("timestamp_ntz").alias("period")).agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+
+
+def fused(field: DataFrame, name: str) -> DataFrame:
+    """One dataset of the means over all datasets that have a date; missing values are left out."""
+    return field.groupBy("date", "channel", "i", "j").agg(F.avg("value").alias("value")).select(F.lit(name).alias("dataset"), "date", "channel", "i", "j", "value")

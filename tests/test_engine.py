@@ -262,3 +262,68 @@ def test_nearest_dense_and_sparse(spark):
             mine = sorted((r["rank"], r.point, r.d) for r in got if r.query == q)
             assert [m[0] for m in mine] == list(range(1, min(k, len(points)) + 1)) and len({m[1] for m in mine}) == len(mine), (q, k)
             assert all(math.isclose(d, far[p], abs_tol=1e-9) and math.isclose(d, w, abs_tol=1e-9) for (_, p, d), w in zip(mine, sorted(far.values()), strict=False)), (q, k)
+
+
+def test_strict_fetches(spark):
+    """What a fetch can't give is an error, as is a layer that isn't unique."""
+    t0 = dt.datetime(2024, 1, 1)
+    fc = FC.with_valid_time(spark.createDataFrame([(t0, 0, 1.0), (t0, 6, 2.0), (t0 + dt.timedelta(days=1), 0, 3.0)], "init_time timestamp_ntz, lead_h int, value double"))
+    assert [r.lead_h for r in FC.leads_of(fc, FC.runs_with(fc, [6, 0]), [6, 0]).orderBy("place").collect()] == [6, 0]
+    with pytest.raises(Exception, match="no lead 6"):
+        FC.leads_of(fc, FC.runs(fc), [0, 6]).collect()
+    assert FC.checked(fc, 6, 6, strict=False).count() == 3
+    with pytest.raises(Exception, match="last lead"):
+        FC.checked(fc, 6, 6).collect()
+    with pytest.raises(Exception, match="negative lead"):
+        FC.checked(fc.withColumn("lead_h", F.col("lead_h") - 1), 6, 6, strict=False).collect()
+    layers = spark.createDataFrame([("t", 1), ("u", 2), ("u", 3)], "name string, level int")
+    ask = lambda *names: catalog.layers(layers, spark.createDataFrame([(n,) for n in names], "name string"), ["name"])
+    assert [tuple(r) for r in ask("t").collect()] == [("t", 1)]
+    for n in ("u", "v"):
+        with pytest.raises(Exception, match="layers that match"):
+            ask(n).collect()
+
+
+def test_ingestion_and_columns(spark):
+    track = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 0, 30), 70.0, 10.0, 1)], "buoy_id int, ts timestamp_ntz, lat double, lon double, n int")
+    with pytest.raises(Exception, match="not a whole hour"):
+        P.ingested(track, "n").collect()
+    with pytest.raises(ValueError, match="lacks"):
+        P.ingested(track.drop("lat"), "n")
+    with pytest.raises(KeyError):
+        P.batch(track, ["depth"])
+    with pytest.raises(ValueError, match="column"):
+        G.lat_lon(track.withColumnRenamed("lat", "phi"))
+    with pytest.raises(ValueError, match="shapes"):
+        G.lat_lon_grid(track.select("lat", F.lit(0).alias("i")), track.select("lon", F.lit(0).alias("i")))
+    fine, coarse = (spark.createDataFrame([(a,)], "area double") for a in (1.0, 4.0))
+    assert G.regrid_method(fine, coarse) == "conservative" and G.regrid_method(coarse, fine) == "bilinear"
+    assert readers.absent(spark).count() == 0
+    r = spark.createDataFrame([(1.0, None)], "a double, units string").select(P.decoded_time(F.col("a"), F.col("units")).alias("t")).first()
+    assert r.t is None
+
+
+def test_ms_ssim_against_numpy(spark):
+    """Odd sides are padded by zeros at both ends, which count."""
+    from gridproof.operators import similarity as S
+
+    rng = np.random.default_rng(8)
+    x, y = rng.random((2, 18, 21))
+    rows = [("k", i, j, float(x[i, j]), float(y[i, j])) for i in range(18) for j in range(21)]
+    got = S.ms_ssim(spark.createDataFrame(rows, "k string, i int, j int, x double, y double"), ["k"], 18, 21, 1.0, 3, S.WEIGHTS[:4]).first().value
+    half = 1
+    w = np.exp(-0.5 * (np.arange(-half, half + 1) / S.SIGMA) ** 2)
+    w = np.outer(w, w) / np.outer(w, w).sum()
+
+    def mean(a):
+        return sum(w[p, q] * a[p : a.shape[0] - 2 + p, q : a.shape[1] - 2 + q] for p in range(3) for q in range(3))
+
+    want, c1, c2 = 1.0, 0.01**2, 0.03**2
+    for k, power in enumerate(S.WEIGHTS[:4]):
+        mx, my = mean(x), mean(y)
+        cs = (2 * (mean(x * y) - mx * my) + c2) / (mean(x * x) - mx * mx + mean(y * y) - my * my + c2)
+        ssim = (2 * mx * my + c1) / (mx * mx + my * my + c1) * cs
+        want *= max((ssim if k == 3 else cs).mean(), 0.0) ** power
+        pad = lambda a: np.pad(a, [(n % 2, n % 2) for n in a.shape])[: (a.shape[0] + a.shape[0] % 2) // 2 * 2, : (a.shape[1] + a.shape[1] % 2) // 2 * 2]
+        x, y = (pad(a).reshape(pad(a).shape[0] // 2, 2, -1, 2).mean(axis=(1, 3)) for a in (x, y))
+    assert math.isclose(got, want, rel_tol=1e-9)
