@@ -9,8 +9,10 @@ the product so far and that of the lengths of what remains cannot reach the thre
 reach it are measured again on the vectors as given, in double precision. The search is exact.
 
 Scale: tiles meet through an equality join on strips of the first component as wide as the
-threshold allows, so work grows with pairs of near tiles; within a pair of tiles links are counted
-in the task, and what leaves it is a row per linked vector: its number of links and one link of a
+threshold allows, so work grows with pairs of near tiles. How many are near depends on the vectors:
+where a few components hold most of the moments, most pairs of tiles fall away; where all components
+hold as much, none does, and an exact search compares all pairs in their first components. Tiles are
+as large as a task's memory allows, as each vector is sent once for each tile that its own meets. Within a pair of tiles links are counted in the task, and what leaves it is a row per linked vector: its number of links and one link of a
 spanning forest. No pair of a group of copies is written.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and those
@@ -33,9 +35,11 @@ from .common import written
 from .components import components
 
 THRESHOLD = 0.9
-TILE = 3000
+#: Vectors of a tile at most, and about their numbers at most.
+TILE, TILE_NUMBERS = 8000, 1 << 20
 STEPS = (8, 16, 32)
-LEAD = 3
+#: Leading components that cells are cut along, one bit each, and those that tiles have boxes in.
+AXES, LEAD = 16, 8
 SLACK = 1e-6
 
 
@@ -85,7 +89,7 @@ def axes(classes: DataFrame) -> dict[int, np.ndarray]:
 def _leading(classes: DataFrame, turn: dict[int, np.ndarray]) -> DataFrame:
     """The classes with their length and leading components ``c0``, ``c1``, ..."""
     kind = classes.schema["id"].dataType.simpleString()
-    names = [f"c{k}" for k in range(len(STEPS) + LEAD)]
+    names = [f"c{k}" for k in range(AXES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,14 +106,14 @@ def _leading(classes: DataFrame, turn: dict[int, np.ndarray]) -> DataFrame:
 def tiled(classes: DataFrame, turn: dict[int, np.ndarray]) -> DataFrame:
     """The classes with ``tile``: length of vectors, cell, and part of the cell."""
     lead = written(_leading(classes, turn), "leading")
-    bits = min(len(STEPS) + LEAD, max(0, math.ceil(math.log2(max(lead.count(), 1) / TILE))))
+    bits = min(AXES, max(0, math.ceil(math.log2(max(lead.count(), 1) / TILE))))
     names = [f"c{k}" for k in range(bits)]
     medians = lead.approxQuantile(names, [0.5], 0.02) if bits else []
     cell = F.lit(0)
     for k, (c, m) in enumerate(zip(names, medians, strict=True)):
         cell = cell + F.when(F.col(c) > m[0], 1 << k).otherwise(0)
     lead = lead.withColumn("cell", cell)
-    sizes = lead.groupBy("d", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    sizes = lead.groupBy("d", "cell").agg(F.ceil(F.greatest(F.count("*") / TILE, F.count("*") * F.col("d") / TILE_NUMBERS)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
     return written(lead.join(sizes, ["d", "cell"]).withColumn("tile", F.concat_ws("-", "d", "cell", part)).drop("cell", "parts"), "tiles")
 

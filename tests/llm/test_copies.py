@@ -156,11 +156,12 @@ def test_vectors(spark):
             seen.update(new)
             todo += new
         want.append((i if i is not None else -1, len(links[k]), min(rows[j][0] for j in seen) if i is not None else -1))
-    for tile in (3000, 40):
+    whole = vectors.TILE
+    for tile in (whole, 40):
         vectors.TILE = tile
         got = [(r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id if r.component_id is not None else -1) for r in vectors.groups(df).collect()]
         assert sorted(got) == sorted(want)
-    vectors.TILE = 3000
+    vectors.TILE = whole
     assert vectors.groups(df.where("false")).count() == 0
 
 
