@@ -11,9 +11,10 @@ reach it are measured again on the vectors as given, in double precision. The se
 Scale: tiles meet through an equality join on strips of the first component as wide as the
 threshold allows, so work grows with pairs of near tiles. How many are near depends on the vectors:
 where a few components hold most of the moments, most pairs of tiles fall away; where all components
-hold as much, none does, and an exact search compares all pairs in their first components. Tiles are
-as large as a task's memory allows, as each vector is sent once for each tile that its own meets. Within a pair of tiles links are counted in the task, and what leaves it is a row per linked vector: its number of links and one link of a
-spanning forest. No pair of a group of copies is written.
+hold as much, none does, and an exact search compares all pairs in their first components. A vector
+is sent once for each tile that its own meets, so tiles are large. Within a pair of tiles links are
+counted in the task, and what leaves it is a row per linked vector: its number of links and one link
+of a spanning forest. No pair of a group of copies is written.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and those
 with a null id, are linked with nothing; vectors of different lengths are not compared; rows that
@@ -36,7 +37,7 @@ from .components import components
 
 THRESHOLD = 0.9
 #: Vectors of a tile at most, and about their numbers at most.
-TILE, TILE_NUMBERS = 8000, 1 << 20
+TILE, TILE_NUMBERS = 4000, 1 << 20
 STEPS = (8, 16, 32)
 #: Leading components that cells are cut along, one bit each, and those that tiles have boxes in.
 AXES, LEAD = 16, 8
