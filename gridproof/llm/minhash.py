@@ -53,9 +53,9 @@ SIGNATURE = [f"s{k}" for k in range(HASHES * LANE_BITS // 64)]
 LEAST_LANES = 84
 PERCENT = 75
 #: Members of a tile at most, and about their shingles at most.
-TILE, TILE_SHINGLES = 500, 2_000_000
+TILE, TILE_SHINGLES = 250, 2_000_000
 #: Tiles from which a cluster is confirmed by band.
-MANY_TILES = 16
+MANY_TILES = 32
 GROUPS = 256
 
 
