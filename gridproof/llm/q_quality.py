@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import quality
 from .common import table
 
-POLICY = "v2"
+POLICY = quality.LATEST
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,5 +38,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
-QUERIES = {"op3_quality_rules": op3_quality_rules}
-SQLS = {"op3_quality_rules": SQL}
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per rule of the policy: documents that break it, and those that it alone rejects."""
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")), POLICY)
+
+
+_MASK = quality.mask(POLICY)
+_EACH = ", ".join(f"('{rule}', {1 << list(quality.RULES).index(rule)})" for rule in quality.POLICIES[POLICY])
+ABLATION = f"SELECT rule, count(*) FILTER (fail_bits & bit <> 0)::BIGINT AS n_fail, count(*) FILTER (fail_bits & {_MASK} = bit)::BIGINT AS n_only FROM ({SQL}) CROSS JOIN (VALUES {_EACH}) r(rule, bit) GROUP BY rule"
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "quality_ablation": quality_ablation}
+SQLS = {"op3_quality_rules": SQL, "quality_ablation": ABLATION}

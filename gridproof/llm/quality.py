@@ -22,18 +22,22 @@ RULES: dict[str, str] = {
     "min_words": "n_words < 50",
     "repeated_windows": "100 * n_repeat_words > 50 * n_words",
     "symbols": "10 * n_symbols > 3 * n_words",
-    "duplicate_lines": "100 * n_dup_lines > 60 * n_lines",
+    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
     "shouting": "n_letters > 0 AND 100 * n_upper > 60 * n_letters",
     "exclamations": "100 * n_bangs > 50 * n_words",
     "word_length": "word_chars < 2 * n_words OR word_chars > 20 * n_words",
+    "most_lines_duplicate": "100 * n_dup_lines > 60 * n_lines",
 }
 BASE_RULES = ("min_words", "repeated_windows")
 #: Versioned policies; a version is never edited once published.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": BASE_RULES,
     "v1": (*BASE_RULES, "symbols", "duplicate_lines"),
-    "v2": tuple(RULES),
+    "v2": (*BASE_RULES, "symbols", "duplicate_lines", "shouting", "exclamations", "word_length"),
+    # as v2, but duplicate lines count only where they are most of a text
+    "v3": (*BASE_RULES, "symbols", "most_lines_duplicate", "shouting", "exclamations", "word_length"),
 }
+LATEST = "v3"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_bangs")
 
 
@@ -90,12 +94,12 @@ def fails(policy: str, policies: dict[str, tuple[str, ...]] = POLICIES, rules: d
     return F.col("fail_bits").bitwiseAND(F.lit(mask(policy, policies, rules)).cast("long")) != 0
 
 
-def apply_policy(book: DataFrame, policy: str = "v2", policies: dict[str, tuple[str, ...]] = POLICIES, rules: dict[str, str] = RULES) -> DataFrame:
+def apply_policy(book: DataFrame, policy: str = LATEST, policies: dict[str, tuple[str, ...]] = POLICIES, rules: dict[str, str] = RULES) -> DataFrame:
     """``kept`` and ``policy`` beside the ledger's columns."""
     return book.withColumn("kept", ~fails(policy, policies, rules)).withColumn("policy", F.lit(policy))
 
 
-def ablation(book: DataFrame, policy: str = "v2", policies: dict[str, tuple[str, ...]] = POLICIES, rules: dict[str, str] = RULES) -> DataFrame:
+def ablation(book: DataFrame, policy: str = LATEST, policies: dict[str, tuple[str, ...]] = POLICIES, rules: dict[str, str] = RULES) -> DataFrame:
     """Per rule of the policy: documents that break it, and those that only it rejects.
 
     The texts' rows meet as one row per distinct bit pattern before anything is exploded."""

@@ -35,11 +35,13 @@ def test_quality_cases(spark):
         want.append((i or -1, *n, not bad))
     assert got == sorted(want)
     assert quality.ledger(df.where("false")).count() == 0
-    told = {r.rule: (r.n_fail, r.n_only) for r in quality.ablation(book).collect()}
-    bits = [r.fail_bits for r in book.collect()]
-    for k, rule in enumerate(quality.RULES):
-        fail = sum(b >> k & 1 for b in bits)
-        assert told.get(rule, (0, 0)) == (fail, sum(b == 1 << k for b in bits)) or not fail
+    for policy in ("v2", "v3"):
+        told = {r.rule: (r.n_fail, r.n_only) for r in quality.ablation(book, policy).collect()}
+        assert set(told) == set(quality.POLICIES[policy])
+        bits = [r.fail_bits & quality.mask(policy) for r in book.collect()]
+        for k, rule in enumerate(quality.RULES):
+            fail = sum(b >> k & 1 for b in bits)
+            assert told.get(rule, (0, 0)) == (fail, sum(b == 1 << k for b in bits))
 
 
 def spans(text):
@@ -150,3 +152,14 @@ def test_live(spark):
     assert all("[REDACTED]" in after[k] and t.split("=")[-1].split(" ")[-1].strip("'") not in after[k] for k, t in enumerate(live))
     assert [after[len(live) + k] for k in range(len(dull))] == [f"a {t} b" for t in dull]
     assert all(after[50 + k] == "[REDACTED] x" for k in range(6)) and all(after[60 + k] == "token=Zz9Yy8Xx7 x" for k in range(3))
+
+
+def test_policies_keep_their_limits(spark):
+    """Published versions reject from 30 in 100 duplicate lines on, the latest from 60 on."""
+    lines = [f"line {k} has its own words and some more of them to read" for k in range(12)]
+    df = spark.createDataFrame([(n, "\n".join(lines + lines[:1] * n)) for n in (0, 6, 30)], "doc_id long, text string")
+    book = quality.ledger(df).cache()
+    bits = lambda *names: sum(1 << list(quality.RULES).index(n) for n in names)
+    dup = bits("duplicate_lines", "most_lines_duplicate")
+    assert {r.doc_id: r.fail_bits & dup for r in book.collect()} == {0: 0, 6: bits("duplicate_lines"), 30: dup}
+    assert quality.mask("v1") & dup == quality.mask("v2") & dup == bits("duplicate_lines") and quality.mask("v3") & dup == bits("most_lines_duplicate")
