@@ -305,9 +305,10 @@ def _grouped(docs: DataFrame, text: str, doc_id: str, percent: int, n: int) -> D
     # copies of a text are linked with the least id of their class, and ids with their own
     lead = book.where("id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("id").alias("lead"))
     roots = links(docs, book, text, doc_id, percent, n)
-    known = lead.join(roots.withColumnRenamed("node", "lead"), "lead", "left").select("key", F.coalesce("root", "lead").alias("root"))
+    # stored, so that the join with a hot class's rows stands alone and can be split
+    known = written(lead.join(roots.withColumnRenamed("node", "lead"), "lead", "left").select("key", F.coalesce("root", "lead").alias("root")), "class-roots")
     rows = written(book.select("row", "id", "key", "n_shingles").join(known, "key", "left"), "rows")
-    discard(book, roots)
+    discard(book, roots, known)
     # rows without words belong to the node of their id as well
     blank = rows.where("key IS NULL AND id IS NOT NULL").select("id").distinct()
     own = written(rows.where("root IS NOT NULL").join(blank, "id").groupBy("id").agg(F.min("root").alias("own")), "blank-ids")
