@@ -327,3 +327,9 @@ def test_ms_ssim_against_numpy(spark):
         pad = lambda a: np.pad(a, [(n % 2, n % 2) for n in a.shape])[: (a.shape[0] + a.shape[0] % 2) // 2 * 2, : (a.shape[1] + a.shape[1] % 2) // 2 * 2]
         x, y = (pad(a).reshape(pad(a).shape[0] // 2, 2, -1, 2).mean(axis=(1, 3)) for a in (x, y))
     assert math.isclose(got, want, rel_tol=1e-9)
+
+
+def test_names_with_backticks(spark):
+    rows = [(n, dt.date(2024, 1, 1), 0, 0, 0, v) for n, v in (("a`b", 1.0), ("c.d", 3.0))]
+    field = spark.createDataFrame(rows, "dataset string, date date, channel int, i int, j int, value double")
+    assert [(r.combo, r.v1, r.v2) for r in X.combos(field).collect()] == [("a`b|c.d", 1.0, 3.0)]
