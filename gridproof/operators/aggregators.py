@@ -51,13 +51,16 @@ def regional_temporal(rows: DataFrame, regions: DataFrame, ids: Sequence[int] |
     regions = regions.where("region_id <> 0")
     if ids is not None:
         regions = regions.where(F.col("region_id").isin(list(ids)))
-    inside = rows.join(regions.select("i", "j", "region_id"), ["i", "j"])
+    # the rows are read once: those of no region keep their date's place under a missing region
+    inside = rows.join(regions.select("i", "j", "region_id"), ["i", "j"], "left")
     value = F.col("value")
     if area is not None:
-        inside, value = inside.join(area.select("i", "j", "area"), ["i", "j"]), F.col("value") * F.col("area")
+        inside, value = inside.join(area.select("i", "j", "area"), ["i", "j"], "left"), F.col("value") * F.col("area")
     parts = partial(inside, *RUN, "region_id", "date", "channel", value=value)
-    spine = rows.select(*RUN, "date", "channel").distinct().crossJoin(regions.select("region_id").distinct())  # regions: a short list
-    parts = spine.join(parts, [*RUN, "region_id", "date", "channel"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    state = F.when(F.col("region_id").isNotNull(), F.struct("region_id", F.struct("sum", "cnt")))
+    dates = parts.groupBy(*RUN, "date", "channel").agg(F.map_from_entries(F.collect_list(state)).alias("of"))  # an entry for each region
+    every = dates.crossJoin(regions.select("region_id").distinct()).withColumn("p", F.try_element_at("of", "region_id"))  # regions: a short list
+    parts = every.select(*RUN, "region_id", "date", "channel", F.col("p.sum").alias("sum"), F.coalesce("p.cnt", F.lit(0)).alias("cnt"))
     return _total(parts) if integrated else mean_of(parts)
 
 

@@ -28,10 +28,15 @@ def combos(field: DataFrame, arity: int = 2, datasets: Sequence[str] | None = No
     One pivot brings the datasets of a cell together; combinations are exploded from that row, so
     their number costs no further shuffle. A cell that a dataset lacks gives a missing value."""
     datasets = datasets or names(field)
+    if bad := [d for d in datasets if "|" in d]:
+        raise ValueError(f"a combination joins its names by |, which these hold: {bad}")
     wide = field.groupBy(*CELL).pivot("dataset", list(datasets)).agg(F.first("value"))
     has = field.groupBy("date").agg(*[F.max(F.when(F.col("dataset") == d, True)).alias(f"has_{k}") for k, d in enumerate(datasets)])
     at = {d: k for k, d in enumerate(datasets)}
     each = [F.when(_all(F.col(f"has_{at[d]}") for d in c), F.struct(F.lit("|".join(c)).alias("combo"), *[F.col("`" + d.replace("`", "``") + "`").alias(f"v{k + 1}") for k, d in enumerate(c)])) for c in combinator(datasets, arity)]
+    if not each:  # fewer datasets than a combination takes
+        of = dict(field.dtypes)["value"]
+        each = [F.lit(None).cast(f"struct<combo:string,{','.join(f'v{k + 1}:{of}' for k in range(arity))}>")]
     # a row of flags for each date; its size is known when the plan runs
     rows = wide.join(has, "date").select(*CELL, F.explode(F.array_compact(F.array(*each))).alias("c"))
     return rows.select("c.combo", *CELL, *[f"c.v{k + 1}" for k in range(arity)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridproof.functions.missing import flag
@@ -43,10 +43,13 @@ def daily_mean(steps: DataFrame, only: list[int] | None = None) -> DataFrame:
 
 def scaled_by_area(field: DataFrame, grid: DataFrame, scale: float | None = None) -> DataFrame:
     """Value times cell area; areas from 1e10 on are missing. A field above 1 anywhere is in percent."""
-    top = F.max("value").over(Window.partitionBy("dataset", "date"))
-    k = F.when(top > 1, 0.01).otherwise(1.0) if scale is None else F.lit(scale)
+    if scale is None:
+        tops = field.groupBy("dataset", "date").agg(F.when(F.max("value") > 1, 0.01).otherwise(1.0).alias("k"))
+        field = field.join(tops, ["dataset", "date"])
+    else:
+        field = field.withColumn("k", F.lit(scale))
     area = F.when(F.col("area") < 1e10, F.col("area"))
-    return field.withColumn("k", k).join(grid.select("i", "j", "area"), ["i", "j"]).select("dataset", *CELL, (F.col("value") * F.col("k") * area).alias("value"))
+    return field.join(grid.select("i", "j", "area"), ["i", "j"]).select("dataset", *CELL, (F.col("value") * F.col("k") * area).alias("value"))
 
 
 def volume(sic: DataFrame, thick: DataFrame, grid: DataFrame, scale: float | None = None) -> DataFrame:

@@ -33,13 +33,19 @@ def keep_last(track: DataFrame, order: str, key: str = "buoy_id") -> DataFrame:
 def hourly(track: DataFrame, tolerance_min: int, values: Sequence[str], key: str = "buoy_id") -> DataFrame:
     """Each whole hour of a track with its nearest sample, if one is within the tolerance.
 
-    Of two as near, the later. Hours run from the first sample's hour to that after the last."""
+    Of two as near, the later. Hours run from the first sample's hour to that after the last. A track is
+    cut into days, and a sample goes to each day that holds an hour within its tolerance, so that a long
+    track is no single task's."""
     hour = F.date_trunc("HOUR", "ts").cast("timestamp_ntz")
     span = track.groupBy(key).agg(F.min(hour).alias("lo"), F.max(F.when(hour == F.col("ts"), hour).otherwise(F.timestamp_add("HOUR", F.lit(1), hour))).alias("hi"))
     spine = span.select(key, F.explode(F.sequence("lo", "hi", F.expr(HOUR))).alias("ts"))
+    day = F.to_date("ts")
+    reach = lambda sign: F.to_date(F.timestamp_add("MINUTE", F.lit(sign * tolerance_min), F.col("ts")))
     row = F.struct("ts", *values)
-    line = track.select(key, "ts", row.alias("r"), F.lit(0).alias("asked")).unionByName(spine.select(key, "ts", F.lit(None).cast(track.select(row).schema[0].dataType).alias("r"), F.lit(1).alias("asked")))
-    w = Window.partitionBy(key).orderBy("ts", "asked")
+    samples = track.select(key, "ts", row.alias("r"), F.lit(0).alias("asked"), F.explode(F.sequence(reach(-1), reach(1))).alias("day"))
+    hours = spine.select(key, "ts", F.lit(None).cast(samples.schema["r"].dataType).alias("r"), F.lit(1).alias("asked"), day.alias("day"))
+    line = samples.unionByName(hours)
+    w = Window.partitionBy(key, "day").orderBy("ts", "asked")
     line = line.withColumn("a", F.last("r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first("r", True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("asked = 1")
     gap = lambda x, y: F.timestamp_diff("MICROSECOND", x, y)
     before, after = gap(F.col("a.ts"), F.col("ts")), gap(F.col("ts"), F.col("b.ts"))

@@ -28,6 +28,8 @@ TEMPORAL = Aggregation("temporal", ("date", "channel"))
 SPATIAL = Aggregation("spatial", ("channel", "i", "j"))
 AVERAGE = Aggregation("average", ())
 KEYS = ("date", "channel", "i", "j")
+#: Beginning of the names of snapshots that come from a stream.
+STREAMED = "stream-"
 
 
 def in_range(field: DataFrame, start: str, end: str) -> DataFrame:
@@ -68,7 +70,9 @@ def missing_dates(field: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Partial states and processed dates in snapshots under a folder; the newest that is marked counts."""
+    """Partial states and processed dates under a folder, in snapshots that are only ever added; those that are marked count.
+
+    It is filled by ``add`` (whole dates) or by ``merge`` (batches of a stream), not by both, and by one writer at a time."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -79,40 +83,72 @@ class Store:
     def _fs(self):
         return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def latest(self) -> str | None:
-        """Name of the newest snapshot whose mark is there."""
+    def marked(self) -> list[str]:
+        """Names of the snapshots whose mark is there."""
         fs, top = self._fs(), self._path("snapshots")
-        if not fs.exists(top):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(top))
-        return next((n for n in reversed(names) if fs.exists(self._path("snapshots", n, "_DONE"))), None)
+        names = sorted(s.getPath().getName() for s in fs.listStatus(top)) if fs.exists(top) else []
+        return [n for n in names if fs.exists(self._path("snapshots", n, "_DONE"))]
 
     def read(self, part: str) -> DataFrame | None:
-        found = self.latest()
-        return self.spark.read.parquet(f"{self.folder}/snapshots/{found}/{part}") if found else None
+        fs = self._fs()
+        found = [n for n in self.marked() if fs.exists(self._path("snapshots", n, part))]
+        return self.spark.read.parquet(*[f"{self.folder}/snapshots/{n}/{part}" for n in found]) if found else None
+
+    def _publish(self, name: str, new: DataFrame | None, dates: DataFrame) -> None:
+        to = f"{self.folder}/snapshots/{name}"
+        if new is not None:
+            new.write.mode("overwrite").parquet(f"{to}/partials")
+        dates.write.mode("overwrite").parquet(f"{to}/dates")
+        self._fs().create(self._path("snapshots", name, "_DONE")).close()
 
-    def add(self, field: DataFrame, metrics: Sequence[Metric], aggregations: Sequence[Aggregation]) -> None:
-        """Process the dates that are not yet done and publish a new snapshot; the old one stays."""
-        done, old = self.read("dates"), self.read("partials")
+    def add(self, field: DataFrame, metrics: Sequence[Metric], aggregations: Sequence[Aggregation], dates: DataFrame | None = None) -> None:
+        """Process the dates that are not yet done, each whole, and publish what they add. ``dates``: dates that
+        are done with this field even where it has no row of them."""
+        if any(n.startswith(STREAMED) for n in self.marked()):
+            raise ValueError("this store is filled by a stream")
+        done = self.read("dates")
+        new = field.select("date") if dates is None else field.select("date").unionByName(dates.select("date"))
         if done is not None:
-            field = field.join(done, "date", "left_anti")
+            field, new = field.join(done, "date", "left_anti"), new.join(done, "date", "left_anti")
         names = X.names(field)
-        dates = field.select("date").distinct()
+        if not names and new.isEmpty():
+            return
         name = f"{datetime.datetime.now(datetime.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
-        to = f"{self.folder}/snapshots/{name}"
-        if names:
-            new = partials(metric_rows(field, metrics, names), aggregations)
-        else:
-            if old is None:
-                return
-            new = old.where("false")
-        whole = new if old is None else A.merged(old.unionByName(new), "aggregator", *A.RUN, *KEYS)
-        whole.write.parquet(f"{to}/partials")
-        (dates if done is None else dates.unionByName(done).distinct()).write.parquet(f"{to}/dates")
-        self._fs().create(self._path("snapshots", name, "_DONE")).close()
+        self._publish(name, partials(metric_rows(field, metrics, names), aggregations) if names else None, new.distinct())
+
+    def merge(self, batch: DataFrame, name: str, metrics: Sequence[Metric], aggregations: Sequence[Aggregation]) -> None:
+        """Add a batch of rows of any dates, also of dates that came before. The batch's rows are stored by date; the
+        states of the dates it touches are made from all rows of these, and those made before are taken off again,
+        so that the sums are those of one run over all rows. A batch of a name that is marked adds nothing."""
+        name, marked = STREAMED + name, self.marked()
+        if any(not n.startswith(STREAMED) for n in marked):
+            raise ValueError("this store is filled by whole dates")
+        if name in marked:
+            return
+        batch.write.mode("overwrite").partitionBy("date").parquet(f"{self.folder}/arrived/{name}")
+        mine = self._arrived([name], batch)
+        touched = mine.select("date").distinct()
+        before = self._arrived(marked, batch).join(touched, "date", "left_semi") if marked else None
+        rows = mine if before is None else mine.unionByName(before)
+        names = X.names(rows)
+        if not names:
+            return self._publish(name, None, touched)
+        new = partials(metric_rows(rows, metrics, names), aggregations)
+        if before is not None and (then := X.names(before)):
+            off = partials(metric_rows(before, metrics, then), aggregations).withColumns({"sum": -F.col("sum"), "cnt": -F.col("cnt")})
+            new = A.merged(new.unionByName(off), "aggregator", *A.RUN, *KEYS)
+        self._publish(name, new, touched)
+
+    def _arrived(self, names: Sequence[str], like: DataFrame) -> DataFrame:
+        """Stored rows of batches; each has a folder of its own, so that the date is found in its path."""
+        parts = [self.spark.read.schema(like.schema).option("basePath", f"{self.folder}/arrived/{n}").parquet(f"{self.folder}/arrived/{n}") for n in names]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out.select(*like.columns)
 
     def summary(self) -> DataFrame:
-        return summary(self.read("partials"))
+        return summary(A.merged(self.read("partials"), "aggregator", *A.RUN, *KEYS))
 
 
 def shared_folder(spark) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -12,10 +13,11 @@ from gridproof.plans.validate import Aggregation, Store
 
 
 def follow(fields: DataFrame, store: Store, metrics: Sequence[Metric], aggregations: Sequence[Aggregation], checkpoint: str) -> StreamingQuery:
-    """Process what has arrived, whole dates at a time, and stop. A batch that runs again adds
-    nothing, as its dates are done by then."""
+    """Process what has arrived and stop. Rows of one date may come in several batches, in any order: a
+    date is made anew from all its rows when more of them come. A batch that runs again adds nothing."""
+    of = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
-    def merge(batch: DataFrame, _: int) -> None:
-        store.add(batch, metrics, aggregations)
+    def merge(batch: DataFrame, number: int) -> None:
+        store.merge(batch, f"{of}-{number:012d}", metrics, aggregations)
 
     return fields.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

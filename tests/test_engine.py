@@ -187,6 +187,41 @@ def test_stream(spark, tmp_path):
     assert store.summary().first().value == 2.0
 
 
+def test_stream_of_parts(spark, tmp_path):
+    """Rows of a date that come in several batches, a dataset at a time, give what one run over all gives."""
+    from gridproof.streaming.incremental import follow
+
+    f = field(spark, ("a", D1, 0, 0, 1.0), ("b", D1, 0, 0, 4.0), ("a", D1, 0, 1, 1.0), ("b", D1, 0, 1, None), ("a", D2, 0, 0, 1.0), ("b", D2, 0, 0, 2.0), ("c", D2, 0, 0, 7.0))
+    store, all_of = R.Store(spark, str(tmp_path / "store")), [R.AVERAGE, R.TEMPORAL, R.SPATIAL]
+    parts = ["dataset = 'a' and j = 0", "dataset = 'b' and date = '%s'" % D1, "j = 1 and dataset = 'a'", "dataset = 'b' and date = '%s'" % D2, "dataset = 'c'"]
+    for part in parts:
+        f.where(part).write.mode("append").parquet(str(tmp_path / "in"))
+        follow(spark.readStream.schema(f.schema).parquet(str(tmp_path / "in")), store, [M.MAE], all_of, str(tmp_path / "ck")).awaitTermination()
+    want = R.run(f, [M.MAE], all_of)
+    assert sorted(map(str, store.summary().collect())) == sorted(map(str, want.select(*store.summary().columns).collect()))
+    store.merge(f, store.marked()[0].removeprefix(R.STREAMED), [M.MAE], all_of)
+    assert store.summary().count() == want.count()
+    with pytest.raises(ValueError):
+        store.add(f, [M.MAE], all_of)
+
+
+def test_dates_without_rows(spark, tmp_path):
+    f = field(spark, ("a", D1, 0, 0, 1.0), ("b", D1, 0, 0, 4.0))
+    store = R.Store(spark, str(tmp_path / "store"))
+    expected = spark.createDataFrame([(D1,), (D2,)], "date date")
+    store.add(f.where("false"), [M.MAE], [R.AVERAGE], expected.where(f"date = '{D2}'"))
+    assert [r.date for r in store.read("dates").collect()] == [D2] and store.read("partials") is None
+    store.add(f, [M.MAE], [R.AVERAGE], expected)
+    assert sorted(r.date for r in store.read("dates").collect()) == [D1, D2] and store.summary().first().value == 3.0
+    with pytest.raises(ValueError):
+        store.merge(f, "x", [M.MAE], [R.AVERAGE])
+
+
+def test_odd_names(spark):
+    with pytest.raises(ValueError):
+        X.combos(field(spark, ("a|b", D1, 0, 0, 1.0), ("c", D1, 0, 0, 1.0)), 2)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "x.csv").write_text("time_stamp (UTC),latitude,longitude,h\n1/2/20 3:04,80,10,1.5\n1577934240,81,11,2\nbad,1,2,3\n1/2/20 5:00,x,1,1\n")
