@@ -125,7 +125,7 @@ class Store:
             raise ValueError("this store is filled by whole dates")
         if name in marked:
             return
-        batch.write.mode("overwrite").partitionBy("date").parquet(f"{self.folder}/arrived/{name}")
+        batch.write.mode("overwrite").partitionBy("date").parquet(f"{self.folder}/arrived/__arrived={name}")
         mine = self._arrived([name], batch)
         touched = mine.select("date").distinct()
         before = self._arrived(marked, batch).join(touched, "date", "left_semi") if marked else None
@@ -140,12 +140,9 @@ class Store:
         self._publish(name, new, touched)
 
     def _arrived(self, names: Sequence[str], like: DataFrame) -> DataFrame:
-        """Stored rows of batches; each has a folder of its own, so that the date is found in its path."""
-        parts = [self.spark.read.schema(like.schema).option("basePath", f"{self.folder}/arrived/{n}").parquet(f"{self.folder}/arrived/{n}") for n in names]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out.select(*like.columns)
+        """Stored rows of batches, by one scan whatever their number; batch and date are found in the paths."""
+        top = f"{self.folder}/arrived"
+        return self.spark.read.schema(like.schema).option("basePath", top).parquet(*[f"{top}/__arrived={n}" for n in names]).select(*like.columns)
 
     def summary(self) -> DataFrame:
         return summary(A.merged(self.read("partials"), "aggregator", *A.RUN, *KEYS))
