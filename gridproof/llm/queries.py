@@ -1,10 +1,10 @@
-"""Registered queries of the ten operators, one module each, and their SQL."""
+"""Registered queries of the operators, one module each, and their SQL."""
 
 from __future__ import annotations
 
-from . import q_bpe, q_langid, q_minhash, q_packing, q_quality, q_secrets, q_substrings, q_toxicity, q_training_order, q_vectors
+from . import q_bpe, q_langid, q_minhash, q_packing, q_quality, q_secrets, q_substrings, q_tokencounts, q_toxicity, q_training_order, q_vectors
 
-_MODULES = (q_packing, q_bpe, q_quality, q_toxicity, q_training_order, q_vectors, q_secrets, q_langid, q_minhash, q_substrings)
+_MODULES = (q_packing, q_bpe, q_quality, q_toxicity, q_training_order, q_vectors, q_secrets, q_langid, q_minhash, q_substrings, q_tokencounts)
 
 
 def queries() -> dict:
