@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_bpe, q_clusters, q_langid, q_minhash, q_packing, q_quality, q_secrets, q_substrings, q_tokencounts, q_toxicity, q_training_order, q_vectors
+from . import q_bpe, q_clusters, q_divergence, q_langid, q_minhash, q_packing, q_quality, q_secrets, q_substrings, q_tokencounts, q_toxicity, q_training_order, q_vectors
 
-_MODULES = (q_packing, q_bpe, q_quality, q_toxicity, q_training_order, q_vectors, q_secrets, q_langid, q_minhash, q_substrings, q_clusters, q_tokencounts)
+_MODULES = (q_packing, q_bpe, q_quality, q_toxicity, q_training_order, q_vectors, q_secrets, q_langid, q_minhash, q_substrings, q_divergence, q_clusters, q_tokencounts)
 
 
 def queries() -> dict:
