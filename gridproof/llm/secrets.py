@@ -51,10 +51,13 @@ PEM_FRAME = rf"-----(?:BEGIN|END) [A-Z ]*+-*+|{_GAP}"
 WIDER = {
     "pem": (PEM, "-----"),
     "github": (r"gh[pousr]_[A-Za-z0-9]{36,}", "gh"),
-    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "eyJ"),
+    # a token starts a run of its letters (or follows an escaped line end), so a run is looked at once
+    "jwt": (r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nrt]))eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", "eyJ"),
     "login": (r"://[A-Za-z0-9._-]+:[^ /@\t-\r]{6,}@", "://"),
 }
 WIDER_PATTERN = "|".join(p for p, _ in WIDER.values())
+#: Without any of these a text has no match of a wider kind, or of an access key.
+WIDER_MARKS, ACCESS_MARKS = ("-----BEGIN ", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "eyJ", "://"), ("AKIA",)
 KINDS = (*BASE, *WIDER)
 
 
@@ -118,7 +121,16 @@ def _candidates(text: Column, kind: str) -> Column:
     pattern, group, least = BASE[kind]
     value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
     kept = F.filter(matches(text, pattern), lambda x: F.length(value(x["match"])) >= least)
-    return F.transform(kept, lambda x: _span(x, F.lit(KINDS.index(kind)), value(x["match"]), _live(value(x["match"]), kind)))
+    spans = F.transform(kept, lambda x: _span(x, F.lit(KINDS.index(kind)), value(x["match"]), _live(value(x["match"]), kind)))
+    return _marked(text, ACCESS_MARKS, spans) if kind == "access" else spans
+
+
+def _marked(text: Column, marks: tuple[str, ...], spans: Column) -> Column:
+    """``spans`` where the text holds one of the marks; a plain search spares most texts the patterns."""
+    some = F.lit(False)
+    for m in marks:
+        some = some | F.contains(text, F.lit(m))
+    return F.when(some, spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def _wider(text: Column) -> Column:
@@ -138,7 +150,8 @@ def _wider(text: Column) -> Column:
     # of a key the body counts; a header alone has none and counts itself
     body = lambda m: _let(F.regexp_replace(m, PEM_FRAME, ""), lambda b: F.when(b != "", b).otherwise(m))
     value = lambda m: F.when(m.startswith(pem), body(m)).otherwise(m)
-    return F.transform(matches(text, WIDER_PATTERN), lambda x: _let(value(x["match"]), lambda v: _span(x, rank(x["match"]), v, told(x["match"], v))))
+    spans = F.transform(matches(text, WIDER_PATTERN), lambda x: _let(value(x["match"]), lambda v: _span(x, rank(x["match"]), v, told(x["match"], v))))
+    return _marked(text, WIDER_MARKS, spans)
 
 
 def _span(x: Column, rank: Column, value: Column, live: Column) -> Column:
