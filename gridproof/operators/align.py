@@ -26,20 +26,41 @@ def combos(field: DataFrame, arity: int = 2, datasets: Sequence[str] | None = No
     """Rows (combo, date, channel, i, j, v1, v2, ...) of each combination available on the date.
 
     One pivot brings the datasets of a cell together; combinations are exploded from that row, so
-    their number costs no further shuffle. A cell that a dataset lacks gives a missing value."""
-    datasets = datasets or names(field)
+    their number costs no further shuffle. A cell that a dataset lacks gives a missing value.
+    ``datasets``: the names where they are known, else they are looked up in the field."""
+    return _combined(field.select("dataset", *CELL, "value"), arity, datasets, combinator, lambda c: c["value"], ("value",))
+
+
+def vector_combos(field: DataFrame, arity: int = 2, datasets: Sequence[str] | None = None, combinator: Callable[[Sequence[str], int], Iterable[tuple]] = combinations, u: int = 0, v: int = 1) -> DataFrame:
+    """Rows (combo, date, channel, i, j, v1, v2, ...) as of ``combos``, each value a struct of the channels u and v; the channel is missing."""
+    none = F.lit(None).cast(dict(field.dtypes)["channel"]).alias("channel")
+    one = field.where(F.col("channel").isin(u, v)).select("dataset", "date", none, "i", "j", *[F.when(F.col("channel") == k, F.coalesce("value", F.lit(float("nan")))).alias(c) for c, k in (("u", u), ("v", v))])
+    return _combined(one, arity, datasets, combinator, lambda c: F.struct(c["u"].alias("u"), c["v"].alias("v")), ("u", "v"))
+
+
+def _combined(rows: DataFrame, arity: int, datasets: Sequence[str] | None, combinator: Callable, value: Callable[[dict[str, Column]], Column], parts: Sequence[str]) -> DataFrame:
+    """Combinations of rows (dataset, cell, parts); what stands for a dataset in them is made of its parts by ``value``.
+
+    In the pivoted row a part is null where the dataset has no row and NaN where it has a missing
+    value, so whether a dataset is there on a date is told by the same columns, and both sides of
+    the plan read one exchange."""
+    datasets = datasets or names(rows)
     if bad := [d for d in datasets if "|" in d]:
         raise ValueError(f"a combination joins its names by |, which these hold: {bad}")
-    wide = field.groupBy(*CELL).pivot("dataset", list(datasets)).agg(F.first("value"))
-    has = field.groupBy("date").agg(*[F.max(F.when(F.col("dataset") == d, True)).alias(f"has_{k}") for k, d in enumerate(datasets)])
-    at = {d: k for k, d in enumerate(datasets)}
-    each = [F.when(_all(F.col(f"has_{at[d]}") for d in c), F.struct(F.lit("|".join(c)).alias("combo"), *[F.col("`" + d.replace("`", "``") + "`").alias(f"v{k + 1}") for k, d in enumerate(c)])) for c in combinator(datasets, arity)]
+    at = {d: {p: F.col(f"d{k}_{p}") for p in parts} for k, d in enumerate(datasets)}
+    there = lambda p: F.coalesce(F.col(p).cast("double"), F.lit(float("nan"))) if len(parts) == 1 else F.col(p).cast("double")
+    wide = rows.groupBy(*CELL).agg(*[F.max(F.when(F.col("dataset") == d, there(p))).alias(f"d{k}_{p}") for k, d in enumerate(datasets) for p in parts])
+    some = lambda d: F.coalesce(*at[d].values()).isNotNull()
+    has = wide.groupBy("date").agg(*[F.max(some(d)).alias(f"has_{k}") for k, d in enumerate(datasets)])
+    on = {d: F.col(f"has_{k}") for k, d in enumerate(datasets)}
+    known = lambda d: value({p: F.when(~F.isnan(c), c) for p, c in at[d].items()})
+    each = [F.when(_all(on[d] for d in c), F.struct(F.lit("|".join(c)).alias("combo"), *[known(d).alias(f"v{k + 1}") for k, d in enumerate(c)])) for c in combinator(datasets, arity)]
     if not each:  # fewer datasets than a combination takes
-        of = dict(field.dtypes)["value"]
-        each = [F.lit(None).cast(f"struct<combo:string,{','.join(f'v{k + 1}:{of}' for k in range(arity))}>")]
+        kind = "double" if len(parts) == 1 else f"struct<{','.join(f'{p}:double' for p in parts)}>"
+        each = [F.lit(None).cast(f"struct<combo:string,{','.join(f'v{k + 1}:{kind}' for k in range(arity))}>")]
     # a row of flags for each date; its size is known when the plan runs
-    rows = wide.join(has, "date").select(*CELL, F.explode(F.array_compact(F.array(*each))).alias("c"))
-    return rows.select("c.combo", *CELL, *[f"c.v{k + 1}" for k in range(arity)])
+    met = wide.join(has, "date").select(*CELL, F.explode(F.array_compact(F.array(*each))).alias("c"))
+    return met.select("c.combo", *CELL, *[f"c.v{k + 1}" for k in range(arity)])
 
 
 def _all(conditions: Iterable[Column]) -> Column:

@@ -13,21 +13,53 @@ from gridproof.functions.missing import all_present, divided, flag, greatest_of,
 from gridproof.functions.scalars import acos_degrees, modulo
 
 
+@dataclass(frozen=True)
+class Spread:
+    """The local deviation, over a Gaussian window, of one dataset of a combination or of the first less the second of two.
+
+    of: their places in the combination, from 0."""
+
+    of: tuple[int, ...]
+    window: int = 21
+    n_sigma: float = 3.0
+    eps: float = 1e-8
+
+    def __post_init__(self) -> None:
+        if len(self.of) not in (1, 2):
+            raise ValueError("a spread is that of one dataset or of the difference of two")
+
+
 @dataclass(frozen=True)
 class Metric:
-    """A name, how many datasets it compares, and the expression over their values."""
+    """A name, how many datasets it compares, and the expression over their values.
+
+    kind: ``cell`` metrics take the value of each channel, ``vector`` metrics take structs of the
+    channels u and v and give one value for both, whose channel is missing. The local deviations that
+    ``spreads`` names follow the values: of each channel, or as structs of u and v."""
 
     name: str
     arity: int
     of: Callable[..., Column]
-
-    def column(self) -> Column:
-        return self.of(*[F.col(f"v{k + 1}") for k in range(self.arity)])
+    kind: str = "cell"
+    spreads: tuple[Spread, ...] = ()
+
+    def __post_init__(self) -> None:
+        if self.kind not in ("cell", "vector"):
+            raise ValueError(f"{self.name}: no such kind of metric: {self.kind}")
+        if any(not 0 <= k < self.arity for s in self.spreads for k in s.of):
+            raise ValueError(f"{self.name}: a spread of a dataset that the combination does not have")
+
+    def column(self, places: dict[Spread, str] | None = None) -> Column:
+        """The expression over columns v1, v2, ... and the columns that hold its spreads."""
+        out = self.of(*[F.col(f"v{k + 1}") for k in range(self.arity)], *[F.col((places or {})[s]) for s in self.spreads])
+        if isinstance(out, (tuple, list)):
+            raise ValueError(f"{self.name} gives {len(out)} values: only as the first of a sequence")
+        return out
 
 
-def applied(rows: DataFrame, *metrics: Metric) -> DataFrame:
+def applied(rows: DataFrame, *metrics: Metric, places: dict[Spread, str] | None = None) -> DataFrame:
     """metric, combo, date, channel, i, j, value of rows of combinations, one pass for all metrics."""
-    each = [F.struct(F.lit(m.name).alias("metric"), m.column().cast("double").alias("value")) for m in metrics]
+    each = [F.struct(F.lit(m.name).alias("metric"), m.column(places).cast("double").alias("value")) for m in metrics]
     return rows.select(F.explode(F.array(*each)).alias("m"), "combo", "date", "channel", "i", "j").select("m.metric", "combo", "date", "channel", "i", "j", "m.value")
 
 
@@ -38,6 +70,7 @@ DIFFERENCE = Metric("difference", 2, lambda a, b: a - b)
 IDENTITY = Metric("identity", 1, lambda a: a)
 TIMES = Metric("times", 2, lambda a, b: a * b)
 NET = Metric("net", 2, lambda a, b: a * (1 - b))
+#: The name is misspelt, as results are known by it.
 SQUARED = Metric("sqared", 1, lambda a: a * a)
 IDENTITY_OVER = Metric("identity_over", 2, lambda a, b: F.when(b.isNotNull(), a))
 
@@ -47,17 +80,27 @@ def transformed(name: str, f: Callable[[Column], Column]) -> Metric:
 
 
 def sequential(first: Metric, *then: Metric) -> Metric:
-    """First any metric, then metrics of one value on what came out."""
+    """First any metric, then metrics on what came out: one value, a vector, or as many values as a metric gave."""
     if not then:
         raise ValueError("a sequence has two metrics or more")
+    if any(m.spreads for m in then):
+        raise ValueError("only the first of a sequence can have local deviations")
 
     def of(*cols: Column) -> Column:
         out = first.of(*cols)
         for m in then:
-            out = m.of(out)
+            args = out if isinstance(out, (tuple, list)) else (out,)
+            if len(args) != m.arity:
+                raise ValueError(f"{m.name} takes {m.arity} values and gets {len(args)}")
+            out = m.of(*args)
         return out
 
-    return Metric("→".join(m.name for m in (first, *then)), first.arity, of)
+    return Metric("→".join(m.name for m in (first, *then)), first.arity, of, first.kind, first.spreads)
+
+
+def componentwise(metric: Metric) -> Metric:
+    """A metric of values as one of vectors that gives a vector, for use as the first of a sequence."""
+    return Metric(metric.name, metric.arity, lambda *vs: F.struct(metric.of(*[x["u"] for x in vs]).alias("u"), metric.of(*[x["v"] for x in vs]).alias("v")), "vector")
 
 
 def sic_success(fraction: bool = False, mask: Column | None = None) -> Metric:
@@ -86,11 +129,11 @@ def thick_success(sensitivity: float = 0.3, least: float = 0.1, require_init: bo
 def efficiency(success: Metric) -> Metric:
     """Success of the forecast beyond that of the first state; success takes (p, o) or (p, o, o0)."""
 
-    def of(p: Column, o: Column, o0: Column) -> Column:
+    def of(p: Column, o: Column, o0: Column, *spreads: Column) -> Column:
         rest = () if success.arity == 2 else (o0,)
-        return success.of(p, o, *rest) - success.of(o0, o, *rest)
+        return success.of(p, o, *rest, *spreads) - success.of(o0, o, *rest, *spreads)
 
-    return Metric(success.name.replace("_success", "_efficiency"), 3, of)
+    return Metric(success.name.replace("_success", "_efficiency"), 3, of, success.kind, success.spreads)
 
 
 # vectors: columns u1, v1, u2, v2
@@ -118,6 +161,41 @@ def angle_error(u1: Column, v1: Column, u2: Column, v2: Column, sensitivity: flo
     return F.when(~((a < sensitivity) & (b < sensitivity)), acos_degrees(cos))
 
 
+def _each(vectors: tuple[Column, ...], f: Callable[[Column, Column], Column]):
+    out = [f(x["u"], x["v"]) for x in vectors]
+    return out[0] if len(out) == 1 else out
+
+
+def of_norm(p: float = 2.0, arity: int = 1) -> Metric:
+    """The norm of a vector; of several as the first of a sequence."""
+    return Metric("norm", arity, lambda *vs: _each(vs, lambda u, v: vector_norm(u, v, p)), "vector")
+
+
+def of_angle(degrees: bool = True, normalize: bool = False, sensitivity: float = 0.1, arity: int = 1) -> Metric:
+    return Metric("angle", arity, lambda *vs: _each(vs, lambda u, v: vector_angle(u, v, degrees, normalize, sensitivity)), "vector")
+
+
+def of_angle_error(sensitivity: float = 0.1) -> Metric:
+    return Metric("angle_error", 2, lambda a, b: angle_error(a["u"], a["v"], b["u"], b["v"], sensitivity), "vector")
+
+
+def of_local_std(window: int = 21, n_sigma: float = 3.0, eps: float = 1e-8, masked: bool = False) -> Metric:
+    """The local deviation of each channel; with ``masked`` missing where the cell itself is."""
+    return Metric("local_spatial_std", 1, lambda x, s: F.when(x.isNotNull(), s) if masked else s, spreads=(Spread((0,), window, n_sigma, eps),))
+
+
+def of_drift_success(window: int = 21, n_sigma: float = 3.0, eps: float = 1e-8, least: float = 0.0, share: float = 0.674, mask: Column | None = None) -> Metric:
+    """Of a forecast, an observation and the first state: 1 where the error is within a share of the local deviation of the
+    observed change, or within ``least``. ``mask``: a condition over i and j outside which it is missing."""
+
+    def of(p: Column, o: Column, o0: Column, s: Column) -> Column:
+        valid = all_present(*[x[c] for x in (p, o, o0) for c in "uv"])
+        hit = vector_norm(p["u"] - o["u"], p["v"] - o["v"]) <= greatest_of(vector_norm(s["u"], s["v"]) * share, least)
+        return F.when(valid if mask is None else valid & mask, flag(F.coalesce(hit, F.lit(False))))
+
+    return Metric("drift_success", 3, of, "vector", (Spread((1, 2), window, n_sigma, eps),))
+
+
 def drift_success(rows: DataFrame, local: Column, least: float = 0.1, share: float = 0.674, mask: Column | None = None) -> DataFrame:
     """``rows`` (u1, v1 forecast; u2, v2 observed) with ``value``: hit within a share of the local spread.
 
