@@ -76,7 +76,7 @@ def regridded(field: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def bilinear_weights(points: DataFrame) -> DataFrame:
-    """Weights of points (dst_i, dst_j, x, y) given in a grid's index space."""
+    """Weights of points (dst_i, dst_j, x, y) given in a grid's index space; ``curvilinear`` has those of points on the sphere."""
     corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
     rows = points.withColumns({"fi": F.floor("y"), "fj": F.floor("x")}).withColumn("c", corner)
     part = lambda f, v, s: F.when(s == 1, F.col(v) - F.col(f)).otherwise(1 - F.col(v) + F.col(f))
@@ -84,17 +84,6 @@ def bilinear_weights(points: DataFrame) -> DataFrame:
     return rows.where("w > 0").select((F.col("fi") + F.col("c.a")).cast("int").alias("src_i"), (F.col("fj") + F.col("c.b")).cast("int").alias("src_j"), "dst_i", "dst_j", "w")
 
 
-def conservative_weights(src: tuple[float, float, int], dst: tuple[float, float, int]) -> list[tuple[int, int, float]]:
-    """(src, dst, share of dst) of two axes of equal cells (first edge, last edge, n): one axis' overlaps."""
-    out, a, b = [], (src[1] - src[0]) / src[2], (dst[1] - dst[0]) / dst[2]
-    for d in range(dst[2]):
-        lo, hi = dst[0] + d * b, dst[0] + (d + 1) * b
-        for s in range(max(0, int((lo - src[0]) // a)), min(src[2], int((hi - src[0]) // a) + 1)):
-            if (share := min(hi, src[0] + (s + 1) * a) - max(lo, src[0] + s * a)) > 0:
-                out.append((s, d, share / b))
-    return out
-
-
 #: Cubes of the nearest search are 2 ** -level wide; the finest ones span about 1.5 km of the Earth.
 FINEST = 12
 

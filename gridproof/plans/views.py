@@ -173,13 +173,19 @@ def _padded(source: str, to: str, axis: str, other: str) -> list[str]:
     return [near, f"{to} AS (SELECT i, j, x, y FROM {source} UNION ALL {edge(1, -1, 'a')} UNION ALL {edge('n', 1, 'b')})"]
 
 
+def corner_views(centre: str, prefix: str = "") -> list[str]:
+    """Views up to ``corner``: the four corners (i, j, k, x, y) of each cell of a grid whose ``centre`` is a select of i, j, x, y."""
+    p = prefix
+    return [
+        f"{p}centre AS ({centre})", *_padded(f"{p}centre", f"{p}pad_i", "i", "j"), *_padded(f"{p}pad_i", f"{p}pad_j", "j", "i"),
+        f"{p}node AS (SELECT i + a AS i, j + b AS j, avg(x) AS x, avg(y) AS y FROM {p}pad_j, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b) GROUP BY ALL HAVING count(*) = 4)",
+        f"{p}corner AS (SELECT c.i, c.j, o.k, n.x, n.y FROM {p}centre c, (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0)) o(k, a, b) JOIN {p}node n ON n.i = c.i + o.a AND n.j = c.j + o.b)",
+    ]
+
+
 _X, _Y = to_polar_sql("(70 + i * 0.2::DOUBLE)", "(j * 0.4::DOUBLE + 10)")
 #: corner: the four corners (k, x, y) of each cell of field_li's lattice.
-CORNERS = [
-    f"centre AS (SELECT i, j, {_X} AS x, {_Y} AS y FROM (SELECT DISTINCT i, j FROM field_li))", *_padded("centre", "pad_i", "i", "j"), *_padded("pad_i", "pad_j", "j", "i"),
-    "node AS (SELECT i + a AS i, j + b AS j, avg(x) AS x, avg(y) AS y FROM pad_j, (VALUES (0), (1)) s(a), (VALUES (0), (1)) t(b) GROUP BY ALL HAVING count(*) = 4)",
-    "corner AS (SELECT c.i, c.j, o.k, n.x, n.y FROM centre c, (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0)) o(k, a, b) JOIN node n ON n.i = c.i + o.a AND n.j = c.j + o.b)",
-]
+CORNERS = corner_views(f"SELECT i, j, {_X} AS x, {_Y} AS y FROM (SELECT DISTINCT i, j FROM field_li)")
 
 
 def sql(select: str, *views: str) -> str:

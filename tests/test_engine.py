@@ -123,7 +123,8 @@ def test_cells(spark):
     assert len(area) == 63 and all(3e4 < a < 1.2e5 for a in area)
     ring = [(r.i, r.j) for r in G.outline(g).orderBy("ring_order").collect()]
     assert ring[0] == ring[-1] == (0, 0) and len(ring) == 29 and ring[8] == (0, 8) and ring[14] == (6, 8)
-    shares = G.conservative_weights((0.0, 6.0, 6), (0.0, 6.0, 4))
+    axis = lambda n, name: spark.range(n).select(F.col("id").alias(name), (F.col("id") * 6.0 / n).alias("lo"), ((F.col("id") + 1) * 6.0 / n).alias("hi"))
+    shares = G.axis_overlaps(axis(6, "s"), axis(4, "d"), 1.0).collect()
     assert [sum(w for _, d, w in shares if d == k) for k in range(4)] == pytest.approx([1] * 4)
 
 
