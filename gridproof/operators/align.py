@@ -102,20 +102,29 @@ def by_id(ids: Column, values: Column, wanted: Column) -> Column:
     return F.get(values, F.array_position(ids, wanted).cast("int") - 1)
 
 
-def nearest_time(times: DataFrame, queries: DataFrame, keys: Sequence[str], ts: str = "ts", at: str = "at") -> DataFrame:
+def nearest_time(times: DataFrame, queries: DataFrame, keys: Sequence[str], ts: str = "ts", at: str = "at", days: int = 1) -> DataFrame:
     """For each query (keys, at) the nearest time of the same keys; of two as near, the earlier.
 
-    Both sides are laid on one line per key and the neighbours carried along it: one shuffle, no
-    range join. A query whose keys have no time gets none."""
+    Times and queries are laid on one line, which is cut into pieces of so many days. Within a piece the
+    neighbours are carried along it, and what lies beyond its ends comes from the line of pieces, a row
+    for each, so a key with a long history is many tasks' work and no range join is needed. A query
+    whose keys have no time, or that is missing itself, gets none."""
     known = times.select(*keys, F.col(ts).alias("t"), F.lit(False).alias("asked")).distinct()
     asked = queries.select(*keys, F.col(at).alias("t"), F.lit(True).alias("asked")).distinct()
+    line = known.where("t IS NOT NULL").unionByName(asked).withColumn("piece", F.floor(F.datediff(F.to_date("t"), F.lit("1970-01-01").cast("date")) / days))
     own = F.when(~F.col("asked"), F.col("t"))
-    w = Window.partitionBy(*keys).orderBy("t", "asked")
-    line = known.unionByName(asked).withColumn("back", F.last(own, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    line = line.withColumn("ahead", F.first(own, True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("asked")
-    gap = lambda a, b: F.timestamp_diff("MICROSECOND", F.col(a), F.col(b))
-    pick = F.when(F.col("ahead").isNull() | (gap("back", "t") <= gap("t", "ahead")), F.col("back")).otherwise(F.col("ahead"))
-    return line.select(*keys, F.col("t").alias(at), pick.alias("nearest"))
+    # frames that end at the row take one step for each; the way ahead is the way back in the other order
+    so_far = lambda w, end=0: w.rowsBetween(Window.unboundedPreceding, end)
+    pieces = line.groupBy(*keys, "piece").agg(F.min(own).alias("first"), F.max(own).alias("last"))
+    w = Window.partitionBy(*keys)
+    pieces = pieces.select(*[F.col(k).alias(f"of_{n}") for n, k in enumerate((*keys, "piece"))], F.last("last", True).over(so_far(w.orderBy("piece"), -1)).alias("before"), F.last("first", True).over(so_far(w.orderBy(F.desc("piece")), -1)).alias("after"))
+    w = Window.partitionBy(*keys, "piece")
+    line = line.withColumn("back", F.last(own, True).over(so_far(w.orderBy("t", "asked")))).withColumn("ahead", F.last(own, True).over(so_far(w.orderBy(F.desc("t"), F.desc("asked"))))).where("asked")
+    met = line.join(pieces, _all(F.col(k).eqNullSafe(F.col(f"of_{n}")) for n, k in enumerate((*keys, "piece"))), "left")
+    back, ahead = F.coalesce("back", "before"), F.coalesce("ahead", "after")
+    gap = lambda a, b: F.timestamp_diff("MICROSECOND", a, b)
+    pick = F.when(ahead.isNull() | (gap(back, F.col("t")) <= gap(F.col("t"), ahead)), back).otherwise(ahead)
+    return met.select(*keys, F.col("t").alias(at), F.when(F.col("t").isNotNull(), pick).alias("nearest"))
 
 
 def zipped(left: DataFrame, right: DataFrame, keys: Sequence[str], f: Callable[..., Column], how: str = "inner") -> DataFrame:

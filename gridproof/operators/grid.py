@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 
 from gridproof.functions.projection import EARTH_KM, from_polar, to_polar
 from gridproof.functions.scalars import unit_sphere
+from gridproof.functions.storage import stored
+
+from .quantiles import quantiles
 
 
 def mesh(lats: DataFrame, lons: DataFrame) -> DataFrame:
@@ -123,7 +126,9 @@ def inverse_weights(near: DataFrame, how: str = "inverse", sigma2: float | None
     gaussian: sigma2 is by default a ninth of the median squared distance."""
     if how == "gaussian":
         if sigma2 is None:
-            sigma2 = near.agg(F.percentile("d", F.lit(0.5))).first()[0] ** 2 / 9  # one number
+            near = stored(near, "near")
+            middle = quantiles(near, (0.5,), value="d").first()  # one number
+            sigma2 = middle.q[0] ** 2 / 9 if middle and middle.q else 1.0
         raw = F.exp(-F.col("d") * F.col("d") / (2 * sigma2))
     else:
         exact = F.min("d").over(Window.partitionBy("query")) == 0

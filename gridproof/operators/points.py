@@ -45,8 +45,10 @@ def hourly(track: DataFrame, tolerance_min: int, values: Sequence[str], key: str
     samples = track.select(key, "ts", row.alias("r"), F.lit(0).alias("asked"), F.explode(F.sequence(reach(-1), reach(1))).alias("day"))
     hours = spine.select(key, "ts", F.lit(None).cast(samples.schema["r"].dataType).alias("r"), F.lit(1).alias("asked"), day.alias("day"))
     line = samples.unionByName(hours)
-    w = Window.partitionBy(key, "day").orderBy("ts", "asked")
-    line = line.withColumn("a", F.last("r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first("r", True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("asked = 1")
+    w = Window.partitionBy(key, "day")
+    # the way ahead is the way back in the other order: frames that end at the row take one step for each
+    so_far = lambda *order: F.last("r", True).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    line = line.withColumn("a", so_far("ts", "asked")).withColumn("b", so_far(F.desc("ts"), F.desc("asked"))).where("asked = 1")
     gap = lambda x, y: F.timestamp_diff("MICROSECOND", x, y)
     before, after = gap(F.col("a.ts"), F.col("ts")), gap(F.col("ts"), F.col("b.ts"))
     pick = F.when(before.isNull() | (after <= before), F.col("b")).otherwise(F.col("a"))

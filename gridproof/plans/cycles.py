@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridproof.functions.storage import stored
 from gridproof.operators.aggregators import global_temporal
 from gridproof.operators.align import combos
 from gridproof.operators.metrics import IDENTITY, IDENTITY_OVER, applied
+from gridproof.operators.quantiles import quantiles
 
 #: Day of the year on which each month of a common year begins.
 MONTH_STARTS = (1, 32, 60, 91, 121, 152, 182, 213, 244, 274, 305, 335)
@@ -42,9 +44,8 @@ def cycle(series: DataFrame, *keys: str, by: str = "month", how: Column | None =
 def bands(series: DataFrame, *keys: str, by: str = "month") -> DataFrame:
     """Deciles and quartiles of each bin."""
     rows, _, _ = _bins(series, by, keys)
-    p = F.percentile("value", F.array(*map(F.lit, (0.1, 0.25, 0.75, 0.9))))
-    out = rows.groupBy(*keys, "bin").agg(p.alias("p"))
-    return out.select(*keys, "bin", *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate(("p10", "p25", "p75", "p90"))])
+    out = quantiles(rows, (0.1, 0.25, 0.75, 0.9), *keys, "bin")
+    return out.select(*keys, "bin", *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("p10", "p25", "p75", "p90"))])
 
 
 def sigma_band(series: DataFrame, *keys: str, by: str = "month", centre: Column | None = None) -> DataFrame:
@@ -68,16 +69,16 @@ def matrix_range(pairs: DataFrame) -> DataFrame:
 
 def robust_range(maps: DataFrame, *keys: str) -> DataFrame:
     """Least first and greatest last percentile over the combinations of each key."""
-    each = maps.groupBy(*keys, "combo").agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
-    return each.groupBy(*keys).agg(F.min(F.get("p", F.lit(0))).alias("lo"), F.max(F.get("p", F.lit(1))).alias("hi"))
+    each = quantiles(stored(maps.select(*keys, "combo", "value"), "maps"), (0.01, 0.99), *keys, "combo")
+    return each.groupBy(*keys).agg(F.min(F.get("q", F.lit(0))).alias("lo"), F.max(F.get("q", F.lit(1))).alias("hi"))
 
 
 def vector_stats(rows: DataFrame, *keys: str) -> DataFrame:
     """Of time-mean vectors by cell: percentiles and range of their lengths."""
     mean = rows.groupBy(*keys, "i", "j").agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
-    n = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))
-    out = mean.groupBy(*keys).agg(F.percentile(n, F.array(F.lit(0.01), F.lit(0.99))).alias("p"), F.min(n).alias("least"), F.max(n).alias("most"))
-    return out.select(*keys, F.get("p", F.lit(0)).alias("p1"), F.get("p", F.lit(1)).alias("p99"), "least", "most")
+    n = stored(mean.select(*keys, F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")).alias("value")), "lengths")
+    out = quantiles(n, (0.0, 0.01, 0.99, 1.0), *keys)
+    return out.select(*keys, *[F.get("q", F.lit(k)).alias(c) for k, c in ((1, "p1"), (2, "p99"), (0, "least"), (3, "most"))])
 
 
 def scatter_stats(errors: DataFrame, *keys: str) -> DataFrame:

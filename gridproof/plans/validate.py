@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import json
-import tempfile
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Sequence
@@ -14,6 +13,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridproof.functions.storage import shared_folder
 from gridproof.operators import aggregators as A
 from gridproof.operators import align as X
 from gridproof.operators.grid import local_moments
@@ -315,14 +315,3 @@ class Store:
     def summary(self) -> DataFrame:
         keys = [k for k in STATE_KEYS if k != "day"]
         return summary(merged(self.read("partials"), self.statistics, keys), self.statistics)
-
-
-def shared_folder(spark) -> str:
-    """A new name in the folder of spark.checkpoint.dir, which driver and executors share. Where it is unset a
-    local session gets a temporary one; on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="gridproof-")
-    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
