@@ -110,7 +110,7 @@ _query("c07_seasonal_range", lambda s, d: C.robust_range(_seasonal(s, d), "seaso
 _query("c09_vector_stats", lambda s, d: C.vector_stats(V.vec_ev(s, d), "dataset"), "SELECT dataset, round(quantile_cont(n, 0.01), 9) AS p1, round(quantile_cont(n, 0.99), 9) AS p99, round(min(n), 9) AS least, round(max(n), 9) AS most FROM (SELECT dataset, sqrt(avg(u) * avg(u) + avg(v) * avg(v)) AS n FROM vec_ev GROUP BY dataset, i, j) GROUP BY dataset", V.VEC_EV, cols=("p1", "p99", "least", "most"))
 _query("c10_weekly_vectors", lambda s, d: C.vector_stats(V.vec_ev(s, d).withColumn("week", F.floor((F.dayofmonth("date") - 1) / 7).cast("int")), "dataset", "week"), "SELECT dataset, week, round(quantile_cont(n, 0.01), 9) AS p1, round(quantile_cont(n, 0.99), 9) AS p99, round(min(n), 9) AS least, round(max(n), 9) AS most FROM (SELECT dataset, ((day(date) - 1) // 7)::INT AS week, sqrt(avg(u) * avg(u) + avg(v) * avg(v)) AS n FROM vec_ev GROUP BY dataset, week, i, j) GROUP BY dataset, week", V.VEC_EV, cols=("p1", "p99", "least", "most"))
 _query("c11_balance", lambda s, d: C.cycle(A.global_temporal(M.applied(X.combos(li(s, d), 1), M.IDENTITY)), "combo", how=F.median("value")), f"SELECT combo, bin, x, round(median(v), 9) AS value FROM (SELECT DISTINCT dataset AS combo FROM field_li) CROSS JOIN (VALUES {_starts}) b(bin, x) LEFT JOIN (SELECT dataset AS combo, month(date)::INT AS bin, date, avg(value) AS v FROM field_li GROUP BY ALL) USING (combo, bin) GROUP BY ALL", V.FIELD_LI)
-_query("c12_regional", lambda s, d: A.regional_temporal(M.applied(X.combos(ev(s, d), 1), M.IDENTITY), V.regions(s, d)).join(V.table(s, d, "region").select(F.col("r_regionkey").alias("region_id"), F.col("r_name").alias("region")), "region_id").where("value IS NOT NULL").select("combo", "region", "date", "value"), "SELECT dataset AS combo, r_name AS region, date, round(avg(value), 9) AS value FROM field_ev JOIN regions USING (i, j) JOIN region ON r_regionkey = region_id WHERE region_id <> 0 GROUP BY ALL", V.FIELD_EV, V.REGIONS)
+_query("c12_regional", lambda s, d: A.regional_temporal(M.applied(X.combos(ev(s, d), 1), M.IDENTITY), V.regions(s, d)).join(V.table(s, d, "region").select(F.col("r_regionkey").alias("region_id"), F.col("r_name").alias("region")), "region_id").select("combo", "region", "date", "value"), "SELECT combo, r_name AS region, date, round(v, 9) AS value FROM (SELECT DISTINCT dataset AS combo, date FROM field_ev) CROSS JOIN (SELECT DISTINCT region_id FROM regions WHERE region_id <> 0) JOIN region ON r_regionkey = region_id LEFT JOIN (SELECT dataset AS combo, date, region_id, avg(value) AS v FROM field_ev JOIN regions USING (i, j) GROUP BY ALL) USING (combo, date, region_id)", V.FIELD_EV, V.REGIONS)
 _query("c13_over", lambda s, d: A.global_temporal(M.applied(X.combos(ev(s, d), 2), M.IDENTITY_OVER).where("combo LIKE '%|view'")), "SELECT 'identity_over' AS metric, combo, date, channel, round(avg(CASE WHEN v2 IS NOT NULL THEN v1 END), 9) AS value FROM pairs WHERE combo LIKE '%|view' GROUP BY ALL", V.FIELD_EV, V.PAIRS)
 _query("c14_pairs", lambda s, d: C.pair_lookup(C.of_several(A.average(_mae(s, d))), ["view", "click"], ["click", "signup", "error"]), "SELECT 'mae' AS metric, combo, r AS row, c AS col, round(avg(value), 9) AS value FROM metric JOIN (VALUES ('view', 'click'), ('view', 'signup'), ('view', 'error'), ('click', 'signup'), ('click', 'error')) t(r, c) ON combo IN (r || '|' || c, c || '|' || r) GROUP BY ALL", *_EV)
 _query("c16_scatter", lambda s, d: C.scatter_stats(_vectors(s, d).select("combo", (F.col("u1") - F.col("u2")).alias("u"), (F.col("v1") - F.col("v2")).alias("v")), "combo"), "SELECT combo, round(avg(u1 - u2), 9) AS mean_u, round(avg(v1 - v2), 9) AS mean_v, round(r, 9) AS radius, round(greatest(15.0, 1.1 * max(greatest(abs(u1 - u2), abs(v1 - v2))), 1.1 * r), 9) AS reach FROM vecs JOIN (SELECT combo, sqrt(stddev_pop(u1 - u2) ^ 2 + stddev_pop(v1 - v2) ^ 2) AS r FROM vecs GROUP BY combo) USING (combo) GROUP BY combo, r", V.VEC_EV, _VEC, cols=("mean_u", "mean_v", "radius", "reach"))
