@@ -19,7 +19,7 @@ A pair of similarity 0.75 shares no band with a chance of 5e-6, and fails the es
 Scale: hot classes collapse before anything is joined; band keys cross the shuffle as two numbers; a
 tile holds a bounded number of members and of shingles and returns a row per member at most, so no
 pair is written. Only the texts of candidates leave their task, once (``sidecar``); they are shuffled
-once for each head they are confirmed with and once for their cluster. Clusters of very many tiles
+once for each head they are confirmed with, and once for each pair of tiles of their cluster that has their own. Clusters of very many tiles
 are confirmed by band instead, so that no text meets all others of a large cluster. The members of a
 class with very many candidates are dealt into 256 groups, each with its own copy of that one text.
 
@@ -44,7 +44,7 @@ from .components import components
 from .shingles import WordHashes, mix, runs, words
 from .sidecar import Places, chosen, ends, put
 from .vectors import link
-from .words import slices
+from .words import give_back, slices
 
 WORDS = 5
 HASHES, BANDS, LANE_BITS = 128, 32, 2
@@ -216,7 +216,9 @@ def _exact(table: pa.Table, percent: int, n: int) -> pa.Table:
     table = table.combine_chunks()
     ids = table["id"].to_numpy()
     _, comp = np.unique(table["root"].to_numpy(), return_inverse=True)
-    sets = [s for s, _ in shingle_sets(table["text"].to_pylist(), WordHashes(), n)]
+    hashes = WordHashes()
+    # a few texts at a time, as words take many times the room of their set
+    sets = [s for _, texts in slices(iter(table.select(["text"]).to_batches())) for s, _ in shingle_sets(texts, hashes, n)]
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     _, right, blocks = _estimates(table)
     a, b = [], []
@@ -236,7 +238,10 @@ def _exact(table: pa.Table, percent: int, n: int) -> pa.Table:
             b += ids[j[first]].tolist()
             comp[np.isin(comp, comp[j])] = comp[i]
     kind = table.schema.field("id").type
-    return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+    out = pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+    del sets, table
+    give_back()
+    return out
 
 
 def _across(members: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
