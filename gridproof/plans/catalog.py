@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_metrics, q_more, q_regrid, q_runs, q_series, q_vector_runs, q_wider
+from . import q_metrics, q_more, q_products, q_regrid, q_runs, q_series, q_vector_runs, q_wider
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (q_metrics, q_series, q_runs, q_more, q_wider, q_vector_runs, q_regrid)
+_MODULES = (q_metrics, q_series, q_runs, q_more, q_wider, q_vector_runs, q_regrid, q_products)
 
 
 def queries() -> dict[str, Query]:
