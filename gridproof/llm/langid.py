@@ -7,7 +7,7 @@ stochastic gradient descent in numpy on a bounded sample of labelled texts (``pe
 of each language, chosen by a hash of their ids); a part of the sample kept out of the training
 calibrates the temperature of the score and the score below which a prediction is not ``accepted``.
 
-Scale: training data are bounded; scoring is one narrow pass. As the layer is linear, embedding and
+Scale: training data are bounded, and their texts stay on the executors; scoring is one narrow pass. As the layer is linear, embedding and
 layer are multiplied once into a table of logits per bucket, and a task sums table rows.
 
 Defined cases: a text that is null, empty or without a letter is ``und`` with score 0; a null id
@@ -23,7 +23,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_hash
@@ -33,6 +34,8 @@ BUCKETS = 1 << 16
 DIMENSIONS = 16
 ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 300
+#: Languages that are learned at most, and about the most texts in all.
+LANGUAGES, TEXTS = 256, 12_000
 EDGE = 0x20
 
 
@@ -102,20 +105,25 @@ def bags(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return np.split(key % BUCKETS, cut), shares
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 8, rate: float = 20.0, batch: int = 16, seed: int = 11) -> Model:
-    """Stochastic gradient descent on the bags of the texts; one text in five only calibrates."""
+def train(texts: list[str], labels: list[str], **how) -> Model:
+    """A model of texts at hand."""
+    idx, share = [], []
+    for at in range(0, len(texts), 100):
+        a, b = bags(texts[at : at + 100])
+        idx, share = idx + a, share + b
+    return learned(idx, share, labels, **how)
+
+
+def learned(idx: list[np.ndarray], share: list[np.ndarray], labels: list[str], epochs: int = 8, rate: float = 20.0, batch: int = 16, seed: int = 11) -> Model:
+    """Stochastic gradient descent on the bags of texts; one text in five only calibrates."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     emb, layer, bias = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.3, (DIMENSIONS, len(languages))), np.zeros(len(languages))
     y = np.array([languages.index(x) for x in labels])
-    idx, share = [], []
-    for at in range(0, len(texts), 100):
-        a, b = bags(texts[at : at + 100])
-        idx, share = idx + a, share + b
-    order = rng.permutation(len(texts))
-    apart = set(order[::5].tolist()) if len(texts) >= 20 else set()
+    order = rng.permutation(len(idx))
+    apart = set(order[::5].tolist()) if len(idx) >= 20 else set()
     learn = np.array([k for k in order if k not in apart])
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -147,21 +155,39 @@ def train(texts: list[str], labels: list[str], epochs: int = 8, rate: float = 20
     return model
 
 
-def sample(docs: DataFrame, learn: Column, text: str, doc_id: str, lang: str, per_language: int) -> tuple[list[str], list[str]]:
-    """About ``per_language`` labelled texts of each language, and twice that at most."""
-    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, lang, F.col(doc_id).alias("__id"))
-    n = dict(rows.groupBy(lang).count().collect())
+def sample(docs: DataFrame, learn: Column, text: str, doc_id: str, lang: str, per_language: int) -> DataFrame | None:
+    """id, lang, text: about ``per_language`` labelled texts of each language, and twice that at most, by a hash of the id.
+
+    Of more languages than ``LANGUAGES`` the most frequent are learned, and of many languages fewer texts each,
+    so that ``TEXTS`` is about the number of texts."""
+    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).cast("string").alias("id"), F.xxhash64(F.col(doc_id), F.lit("language")).alias("hash"))
+    n = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not n:
-        return [], []
-    share = F.create_map(*[F.lit(x) for k, c in n.items() for x in (k, min(1.0, per_language / c))])
-    draw = F.pmod(F.xxhash64(F.col("__id"), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    got = rows.where(draw < F.get(F.array(share), 0)[F.col(lang)]).limit(2 * per_language * len(n)).collect()
-    got.sort(key=lambda r: (str(r["__id"]), r[text]))
-    return [r[text] for r in got], [r[lang] for r in got]
+        return None
+    each = max(1, min(per_language, TEXTS // len(n)))
+    share = F.create_map(*[F.lit(x) for k, c in n.items() for x in (k, min(1.0, each / c))])
+    draw = F.pmod(F.col("hash"), F.lit(1 << 30)) / float(1 << 30)
+    near = rows.where(draw < F.get(F.array(share), 0)[F.col("lang")])
+    # rows of one id are drawn together: of these as well only so many are learned from, the same ones on each run
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id", F.xxhash64("text"), "text"))
+    return near.withColumn("place", place).where(F.col("place") <= 2 * each).select("id", "lang", "text")
 
 
 def fit(docs: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    return train(*sample(docs, learn, text, doc_id, lang, per_language))
+    """Texts stay on the executors: the driver gets the bag of each sampled text, a number for each bucket at most."""
+    rows = sample(docs, learn, text, doc_id, lang, per_language)
+    if rows is None:
+        return learned([], [], [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text", 1_000_000):
+            idx, share = bags(texts)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([xxhash.xxh3_64_hexdigest(x) for x in texts]), pa.array(idx, pa.list_(pa.int64())), pa.array(share, pa.list_(pa.float64()))], ["id", "lang", "text", "bucket", "share"])
+
+    got = rows.mapInArrow(run, "id string, lang string, text string, bucket array<long>, share array<double>").toArrow()
+    got = got.sort_by([("id", "ascending"), ("text", "ascending")]).combine_chunks()
+    parts = lambda c: [x.values.to_numpy(zero_copy_only=False) for x in got[c]]
+    return learned(parts("bucket"), parts("share"), got["lang"].to_pylist())
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

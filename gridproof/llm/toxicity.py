@@ -7,7 +7,8 @@ documents of each class, chosen by a hash of their ids). The trained sentences t
 passages that made a document toxic.
 
 Scale: training data are bounded, and the sampled ids, which are bounded too, are broadcast to the
-texts; scoring is one narrow pass with a table of word weights of fixed size.
+texts; the texts stay on the executors, and the driver learns from the features that tell the classes
+apart alone; scoring is one narrow pass with a table of word weights of fixed size.
 
 Defined cases: a null or empty text has one empty sentence; null labels are not learned from, and a
 document labelled twice counts as toxic if either label says so; a null id counts as an empty one in
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_hash
+from .common import discard, id_hash, written
 from .words import slices
 
 BUCKETS = 1 << 18
@@ -113,32 +114,36 @@ class Model:
         return out
 
 
-def telling(bags: list[tuple], y: np.ndarray, least_texts: int, least_z: float) -> np.ndarray:
+def telling(seen: np.ndarray, n: np.ndarray, least_texts: int, least_z: float) -> np.ndarray:
     """Features seen in ``least_texts`` texts and more often in toxic ones, by ``least_z`` standard errors.
 
-    Others would only mark the texts they were seen in."""
-    own = [np.unique(b[0]) for b in bags]
-    seen = [np.bincount(np.concatenate([x for x, t in zip(own, y, strict=True) if t == k] or [np.zeros(0, np.int64)]), minlength=BUCKETS) for k in (0, 1)]
-    n = np.maximum(np.bincount(y, minlength=2)[:2], 1)
+    seen: of each class and bucket, the texts that have it; n: the texts of each class. Other features
+    would only mark the texts they were seen in."""
+    n = np.maximum(n, 1)
     p = (seen[0] + seen[1]) / n.sum()
     error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n[0] + 1 / n[1]))
     return (seen[0] + seen[1] >= least_texts) & (seen[1] / n[1] - seen[0] / n[0] >= least_z * error)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 12, steps: int = 2000, rate: float = 0.5, batch: int = 32, bias: float = -5.0, decay: float = 1e-4, least_texts: int = 4, least_z: float = 4.0, seed: int = 3) -> Model:
+def bag(text: str, features: Features, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The telling features of a text: bucket and sentence of each; sentences without one are left out."""
+    bucket, sentence, _ = sentences([text], features)
+    keep = some[bucket]
+    return bucket[keep].astype(np.int32), np.unique(sentence[keep], return_inverse=True)[1].astype(np.int32)
+
+
+def learned(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = 12, steps: int = 2000, rate: float = 0.5, batch: int = 32, bias: float = -5.0, decay: float = 1e-4, seed: int = 3) -> Model:
     """Adagrad on the noisy-or likelihood of the document labels, for ``epochs`` or about ``steps`` batches at least.
 
-    ``bias`` is the leak's logit and is not trained."""
+    ``bias`` is the leak's logit and is not trained. A sentence without features is as good as none."""
     model, seen = Model(np.zeros(BUCKETS), bias), np.full(BUCKETS, 1e-2)
-    rng, y, features = np.random.default_rng(seed), np.array(labels, np.int64), Features()
-    bags = [tuple(c.astype(np.int32) for c in sentences([x], features)) for x in texts]
-    some = telling(bags, y, least_texts, least_z)
-    bags = [(b[0][some[b[0]]], b[1][some[b[0]]], b[2]) for b in bags]
-    for _ in range(max(epochs, batch * steps // max(len(texts), 1))):
-        order = rng.permutation(len(texts))
+    rng, y = np.random.default_rng(seed), np.array(labels, np.int64)
+    size = [int(b[1].max()) + 1 if len(b[1]) else 0 for b in bags]
+    for _ in range(max(epochs, batch * steps // max(len(bags), 1))):
+        order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            n = [len(bags[k][2]) for k in rows]
+            n = [size[k] for k in rows]
             first = np.cumsum(n) - n
             bucket = np.concatenate([bags[k][0] for k in rows])
             sentence = np.concatenate([bags[k][1] + f for k, f in zip(rows, first, strict=True)])
@@ -148,28 +153,64 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, steps: int = 20
             slope = np.where(y[rows] > 0, -1 / np.maximum(np.expm1(np.minimum(miss, 30)), 1e-3), 1.0)
             g = slope[text] * (z >= model.bias) / (1 + np.exp(-z))
             words, where = np.unique(bucket, return_inverse=True)
-            gw = np.bincount(where, g[sentence]) + decay * model.weights[words]
+            gw = np.bincount(where, g[sentence], len(words)) + decay * model.weights[words]
             seen[words] += gw * gw
             model.weights[words] -= rate * gw / np.sqrt(seen[words])
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column, text: str, doc_id: str, label: str, per_class: int) -> tuple[list[str], list[int]]:
-    """Texts of ``per_class`` labelled ids of each class at most, the lowest by a hash of the id."""
+def train(texts: list[str], labels: list[int], least_texts: int = 4, least_z: float = 4.0, **how) -> Model:
+    """A model of texts at hand."""
+    features, y = Features(), np.array(labels, np.int64)
+    own = [np.unique(sentences([x], features)[0]) for x in texts]
+    seen = np.stack([np.bincount(np.concatenate([x for x, t in zip(own, y, strict=True) if t == k] or [np.zeros(0, np.int64)]), minlength=BUCKETS) for k in (0, 1)])
+    some = telling(seen, np.bincount(y, minlength=2)[:2], least_texts, least_z)
+    return learned([bag(x, features, some) for x in texts], labels, **how)
+
+
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, text: str, doc_id: str, label: str, per_class: int) -> DataFrame:
+    """id, y, text: of ``per_class`` labelled ids of each class at most, the lowest by a hash of the id."""
     told = labels.where(learn & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y"))
     told = told.withColumn("__h", F.xxhash64("__id", F.lit("toxicity")))
     some = lambda y: told.where(F.col("__y") == y).orderBy("__h", "__id").limit(per_class)
     chosen = some(0).unionByName(some(1)).select("__id", "__y")
     # of rows that share an id one is learned from; ids are bounded, so rows are as well
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(chosen), "__id")
-    got = rows.groupBy("__id", "__y").agg(F.min("__t").alias("__t")).collect()
-    got.sort(key=lambda r: str(r["__id"]))
-    return [r["__t"] for r in got], [r["__y"] for r in got]
+    return rows.groupBy("__id", "__y").agg(F.min("__t").alias("__t")).select(F.col("__id").cast("string").alias("id"), F.col("__y").alias("y"), F.col("__t").alias("text"))
+
 
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_class: int = PER_CLASS, least_texts: int = 4, least_z: float = 4.0) -> Model:
+    """``learn``: condition on the id that says which labels may be learned from.
+
+    Texts stay on the executors: the driver gets how many texts of each class have a bucket, which is
+    bounded, and then the telling features of each sampled text."""
+    rows = written(sample(docs, labels, learn, text, doc_id, label, per_class), "toxicity-sample")
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for part, texts in slices(batches):
+            y = part.column(1).to_numpy()
+            for k in (0, 1):
+                own = [np.unique(sentences([x], features)[0]) for x, t in zip(texts, y, strict=True) if t == k]
+                bucket, n = np.unique(np.concatenate(own or [np.zeros(0, np.int64)]), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"y": np.full(len(bucket), k, np.int32), "bucket": bucket, "n": n})
+
+    counts = rows.mapInArrow(seen, "y int, bucket long, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toArrow()  # a row per class and bucket
+    table, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+    table[counts["y"].to_numpy(), counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    for r in rows.groupBy("y").count().collect():
+        n[r.y] = r["count"]
+    some = telling(table, n, least_texts, least_z)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for part, texts in slices(batches):
+            found = [bag(x, features, some) for x in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([b[k] for b in found], pa.list_(pa.int32())) for k in (0, 1))], ["id", "y", "bucket", "sentence"])
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """``learn``: condition on the id that says which labels may be learned from."""
-    return train(*sample(docs, labels, learn, text, doc_id, label, per_class))
+    got = sorted(rows.mapInArrow(cut, "id string, y int, bucket array<int>, sentence array<int>").collect(), key=lambda r: r.id)
+    discard(rows)
+    return learned([(np.array(r.bucket, np.int32), np.array(r.sentence, np.int32)) for r in got], [r.y for r in got])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
