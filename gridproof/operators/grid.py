@@ -6,16 +6,15 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridproof.functions.projection import EARTH_KM, from_polar, to_polar
 from gridproof.functions.scalars import unit_sphere
 from gridproof.functions.storage import stored
 
 from .quantiles import quantiles
+from .tiles import Tile, over_tiles
 
 
 def mesh(lats: DataFrame, lons: DataFrame) -> DataFrame:
@@ -187,24 +186,10 @@ def land_mask(grid: DataFrame, land: DataFrame, step: float) -> DataFrame:
     return rows.drop("a", "b").withColumn("is_land", F.coalesce("is_land", F.lit(False)))
 
 
-#: Cells of a tile's side in the local windows.
-SIDE = 256
-
-
-def local_moments(field: DataFrame, window: int, n_sigma: float, keys: Sequence[str] | None = None, **values: Column) -> DataFrame:
-    """Gaussian means over the present cells of a square window, for each named value.
-
-    Cells are dealt into square tiles, each with the cells about it that its windows reach, so there is
-    one shuffle of little more than the rows; a tile is a small dense array, weighted by rows and then
-    by columns."""
+def local_moments(field: DataFrame, window: int, n_sigma: float, keys: Sequence[str] | None = None, side: int | None = None, **values: Column) -> DataFrame:
+    """Gaussian means over the present cells of a square window, for each named value; a tile is weighted by rows and then by columns."""
     half, sigma = window // 2, (window - 1) / (2 * n_sigma)
     keys = list(keys or [c for c in field.columns if c not in ("i", "j", "value")])
-    wanted = list(values)
-    names = ["present", *wanted]
-    rows = field.select(*keys, "i", "j", F.col("value").isNotNull().cast("double").alias("present"), *[v.cast("double").alias(n) for n, v in values.items()])
-    for axis in ("i", "j"):
-        reach = [F.floor((F.col(axis) + o) / SIDE) for o in (-half, half)]
-        rows = rows.withColumn(f"tile_{axis}", F.explode(F.sequence(*reach)))
     weights = np.exp(-0.5 * (np.arange(-half, half + 1, dtype=np.longdouble) / sigma) ** 2)
 
     def along(x: np.ndarray, axis: int) -> np.ndarray:
@@ -215,26 +200,14 @@ def local_moments(field: DataFrame, window: int, n_sigma: float, keys: Sequence[
             own[max(0, -o) : max(0, n - max(0, o))] += w * other[max(0, o) : max(0, n + min(0, o))]
         return out
 
-    def run(table: pa.Table) -> pa.Table:
-        i, j = (table[c].to_numpy().astype(np.int64) for c in "ij")
-        y, x = i - i.min(), j - j.min()
-        high, wide = y.max() + 1, x.max() + 1
-        found = {}
-        for n in names:
-            dense = np.zeros((high, wide), np.longdouble)
-            np.add.at(dense, (y, x), table[n].fill_null(0.0).to_numpy())
-            found[n] = along(along(dense, 0), 1)
-        own = np.flatnonzero((i // SIDE == table["tile_i"][0].as_py()) & (j // SIDE == table["tile_j"][0].as_py()))
-        own = own[np.unique(y[own] * wide + x[own], return_index=True)[1]]
-        some = found["present"][y[own], x[own]]
-        part = table.select([*keys, "i", "j"]).take(pa.array(own))
-        for n in wanted:
-            with np.errstate(invalid="ignore", divide="ignore"):
-                part = part.append_column(n, pa.array((found[n][y[own], x[own]] / some).astype(float), pa.float64(), mask=some <= 0))
-        return part
-
-    schema = T.StructType([*(f for k in (*keys, "i", "j") for f in field.schema if f.name == k), *(T.StructField(n, T.DoubleType()) for n in wanted)])
-    return rows.groupBy(*keys, "tile_i", "tile_j").applyInArrow(run, schema)
+    def of(tile: Tile) -> dict[str, np.ndarray]:
+        dense = {n: along(along(np.where(np.isnan(x), 0, x).astype(np.longdouble), 0), 1) for n, x in tile.values.items()}
+        some = dense.pop("present")
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return {n: np.where(some > 0, x / some, np.nan) for n, x in dense.items()}
+
+    present = F.col("value").isNotNull().cast("double")
+    return over_tiles(field, keys, half, {"present": present, **values}, of, list(values), side)
 
 
 def local_std(field: DataFrame, window: int = 21, n_sigma: float = 3.0, eps: float = 1e-8, masked: bool = False) -> DataFrame:

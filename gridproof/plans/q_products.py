@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from gridproof.operators import tiles
 from gridproof.sources import products as P
 
 from . import views as V
@@ -51,8 +53,23 @@ def s26_products(spark, sf_dir):
     return P.cleaned(rows, P.steps(spark)).select("event_id", "product", F.round("value", 9).alias("value"))
 
 
-QUERIES = {"s04_rules": s04_rules, "s26_products": s26_products}
+def _correction(x, day):
+    """A map drawn a tenth towards the mean about each cell, and a yearly wave: any function of a dense map will do."""
+    some, total = (np.pad(v, 1) for v in (~np.isnan(x), np.where(np.isnan(x), 0, x)))
+    n, near = (sum(v[a : a + x.shape[0], b : b + x.shape[1]].astype(float) for a in range(3) for b in range(3)) for v in (some, total))
+    return x + (near / np.maximum(n, 1) - x) / 10 + np.cos(2 * np.pi * day / 365)
+
+
+def d11_corrected(spark, sf_dir):
+    return tiles.corrected(V.field_li(spark, sf_dir), _correction, halo=1).withColumn("value", F.round("value", 8))
+
+
+QUERIES = {"d11_corrected": d11_corrected, "s04_rules": s04_rules, "s26_products": s26_products}
 SQLS = {
+    "d11_corrected": V.sql(
+        "SELECT a.dataset, a.date, a.channel, a.i, a.j, round(any_value(a.value) + (avg(b.value) - any_value(a.value)) / 10 + cos(2 * pi() * (dayofyear(a.date) - 1) / 365), 8) AS value FROM field_li a JOIN field_li b ON a.dataset = b.dataset AND a.date = b.date AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY a.dataset, a.date, a.channel, a.i, a.j",
+        V.FIELD_LI,
+    ),
     "s04_rules": f"SELECT page_id, {_PRODUCT} AS product, ({_TS})::TIMESTAMP AS ts, ({_TS})::DATE AS date FROM (SELECT page_id, page_id % {len(NAMES)} AS k, (DATE '2019-01-01' + (page_id * 7 % 1500)::INT)::TIMESTAMP AS d FROM pages)",
     "s26_products": "SELECT event_id, product, round(CASE product WHEN 'model_concentration' THEN CASE WHEN NOT land THEN coalesce(v, 0) * 100 END WHEN 'model_thickness' THEN CASE WHEN NOT land THEN coalesce(v, 0) END WHEN 'model_drift' THEN v * 100"
     " WHEN 'reanalysis_drift' THEN CASE WHEN NOT coalesce(max(abs(v)) OVER (PARTITION BY product, dataset, date, i, j) = 0, FALSE) THEN v * 100 END WHEN 'packed_concentration' THEN CASE WHEN v > -32767 THEN v * 0.01::DOUBLE END WHEN 'packed_drift' THEN nullif(v, -32768) * 0.01::DOUBLE"

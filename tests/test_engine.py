@@ -270,12 +270,11 @@ def test_similarity(spark):
         S.ms_ssim(same, ["k"], n, n)
 
 
-def test_local_moments_over_tiles(spark, monkeypatch):
-    monkeypatch.setattr(G, "SIDE", 7)
+def test_local_moments_over_tiles(spark):
     rng = np.random.default_rng(3)
     rows = [("a", i, j, None if rng.random() < 0.2 else float(rng.normal())) for i in range(-9, 15) for j in range(20) if rng.random() < 0.7]
     df = spark.createDataFrame(rows, "dataset string, i int, j int, value double")
-    got = {(r.i, r.j): r.m for r in G.local_moments(df, 5, 2.0, m=F.col("value")).collect()}
+    got = {(r.i, r.j): r.m for r in G.local_moments(df, 5, 2.0, side=7, m=F.col("value")).collect()}
     assert set(got) == {(i, j) for _, i, j, _ in rows}
     for i, j in got:
         near = [(v, math.exp(-0.5 * ((i - a) ** 2 + (j - b) ** 2))) for _, a, b, v in rows if v is not None and abs(i - a) <= 2 and abs(j - b) <= 2]
