@@ -30,8 +30,9 @@ def either_case(word: str) -> str:
 
 KEYWORDS = "|".join(map(either_case, ("password", "passwd", "secret", "token", "api_?key")))
 ASSIGN = rf"""({KEYWORDS})["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)"""
-#: kind: (pattern, group whose text is the value, least characters of the value)
-BASE = {"assign": (ASSIGN, 2, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": (r"[0-9a-f]+", 0, 24)}
+#: kind: (pattern, group whose text is the value, least characters of the value). A run that is too short is no match at
+#: all rather than one to be dropped: as runs end where their letters end, the spans are the same, and prose has no matches.
+BASE = {"assign": (ASSIGN, 2, 6), "access": (r"AKIA[A-Z0-9]{16,}", 0, 20), "hex": (r"[0-9a-f]{24,}", 0, 24)}
 #: What stands between the words of a key: white space, its escapes, quotes and marks of quoted lines.
 _GAP = r"""(?:[ \t-\r"'>#*,|]|\\[nr])"""
 _B64 = "[A-Za-z0-9+/]"
