@@ -13,6 +13,7 @@ from gridproof.functions.projection import EARTH_KM, from_polar, to_polar
 from gridproof.functions.scalars import unit_sphere
 from gridproof.functions.storage import stored
 
+from . import covers
 from .quantiles import quantiles
 from .tiles import Tile, over_tiles
 
@@ -164,12 +165,25 @@ def in_polygons(points: DataFrame, edges: DataFrame, strip: float) -> DataFrame:
     return rows.where(cross).groupBy("point", "poly_id").agg(F.count("*").alias("n")).where("n % 2 = 1").select("point", "poly_id")
 
 
-def labelled(points: DataFrame, edges: DataFrame, order: DataFrame, strip: float) -> DataFrame:
-    """point, label: of the polygons that hold a point the last by poly_order (order: poly_id, poly_order, label); 0 for none."""
-    best = in_polygons(points, edges, strip).join(order, "poly_id").groupBy("point").agg(F.max_by("label", "poly_order").alias("label"))
+def labelled(points: DataFrame, edges: DataFrame, order: DataFrame, strip: float | None = None) -> DataFrame:
+    """point, label: of the polygons that hold a point the last by poly_order (order: poly_id, poly_order, label); 0 for none.
+
+    By covers of cells, which coasts of very many edges need, or for few edges by strips of a width."""
+    held = covers.inside(points, edges) if strip is None else in_polygons(points, edges, strip)
+    best = held.join(order, "poly_id").groupBy("point").agg(F.max_by("label", "poly_order").alias("label"))
     return points.select("point").join(best, "point", "left").select("point", F.coalesce("label", F.lit(0)).alias("label"))
 
 
+def numbered(polygons: DataFrame) -> DataFrame:
+    """poly_id, poly_order, label: labels 1, 2, ... in the order of poly_order; of (poly_id, poly_order, label, n_edges).
+
+    A polygon without edges gets none and uses no number; a given label stays, and 0 is an error, as it stands for none."""
+    own = polygons.where("n_edges > 0").withColumn("place", F.row_number().over(Window.orderBy("poly_order", "poly_id")))  # polygons: a short list
+    label = F.coalesce("label", "place").cast("int")
+    bad = F.raise_error(F.concat(F.lit("label 0 of polygon "), F.col("poly_id").cast("string"))).cast("int")
+    return own.select("poly_id", "poly_order", F.when(label != 0, label).otherwise(bad).alias("label"))
+
+
 def in_convex(corners_ij: list[tuple[float, float]]) -> Column:
     """Whether (i, j) is on the inner side of every edge of a convex polygon, corners in order."""
     inside = F.lit(True)

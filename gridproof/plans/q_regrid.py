@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridproof.functions.projection import EARTH_KM, from_polar
+from gridproof.operators import covers
 from gridproof.operators import curvilinear as U
 from gridproof.operators import grid as G
 
@@ -66,7 +68,33 @@ def g06_integral(spark, sf_dir):
     return total(G.regridded(field, w.drop("area")), "dst_i", "dst_j", "coarse").join(total(field, "src_i", "src_j", "fine"), ["dataset", "date"])
 
 
-QUERIES = {"g05_curvilinear": g05_curvilinear, "g06_turned": g06_turned, "g06_integral": g06_integral}
+def coasts(spark, sf_dir):
+    """A star-shaped ring for each nation, with a corner for each of its suppliers: poly_id, x1, y1, x2, y2."""
+    of = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    s = V.table(spark, sf_dir, "supplier").withColumns({"k": F.row_number().over(of) - 1, "n": F.count("*").over(Window.partitionBy("s_nationkey"))})
+    turn, radius = F.col("k") * (2 * math.pi) / F.col("n"), F.lit(2.0) + F.col("s_suppkey") * 37 % 100 / 25.0
+    corners = s.select("s_nationkey", "k", "n", (F.col("s_nationkey") % 5 * 5.0 + 65 + radius * F.cos(turn)).alias("x1"), (F.floor(F.col("s_nationkey") / 5) * 60.0 - 120 + radius * 9 * F.sin(turn)).alias("y1"))
+    again = corners.select("s_nationkey", F.pmod(F.col("k") - 1, F.col("n")).alias("k"), F.col("x1").alias("x2"), F.col("y1").alias("y2"))
+    return corners.join(again, ["s_nationkey", "k"]).select(F.col("s_nationkey").alias("poly_id"), "x1", "y1", "x2", "y2")
+
+
+def _points(spark, sf_dir):
+    return V.part_pt(spark, sf_dir).select(F.col("q").alias("point"), F.col("lat").alias("x"), F.col("lon").alias("y"))
+
+
+def g10_cover(spark, sf_dir):
+    return covers.inside(_points(spark, sf_dir), coasts(spark, sf_dir))
+
+
+def x15_cover(spark, sf_dir):
+    """The parts by the last nation's ring that holds them; rings of under three corners are none and use no label."""
+    edges = coasts(spark, sf_dir)
+    sizes = edges.groupBy("poly_id").agg(F.count("*").alias("n_edges"))
+    n = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("poly_id"), F.col("n_name").alias("poly_order"), F.lit(None).cast("int").alias("label")).join(sizes.where("n_edges > 2"), "poly_id")
+    return G.labelled(_points(spark, sf_dir), edges, G.numbered(n))
+
+
+QUERIES = {"g10_cover": g10_cover, "x15_cover": x15_cover, "g05_curvilinear": g05_curvilinear, "g06_turned": g06_turned, "g06_integral": g06_integral}
 
 _vec = lambda n: [f"{n}{a}" for a in "xyz"]
 _dot = lambda a, b: "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b, strict=True)) + ")"
@@ -145,3 +173,15 @@ SQLS["g06_integral"] = sql(
     "SELECT dataset, date, round(total, 2) AS coarse, round(total, 2) AS fine FROM (SELECT dataset, date, sum(value * area) AS total FROM share JOIN field_li ON i = fi AND j = fj GROUP BY dataset, date)",
     *_SHARES,
 )
+
+_COASTS = [
+    "sup AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS k, count(*) OVER (PARTITION BY s_nationkey) AS n, 2.0::DOUBLE + (s_suppkey * 37 % 100) / 25.0::DOUBLE AS r FROM supplier)",
+    "corner AS (SELECT s_nationkey, k, n, s_nationkey % 5 * 5.0::DOUBLE + 65 + r * cos(k * (2 * pi()) / n) AS x, floor(s_nationkey / 5) * 60.0::DOUBLE - 120 + r * 9 * sin(k * (2 * pi()) / n) AS y FROM sup)",
+    "edge AS MATERIALIZED (SELECT a.s_nationkey AS poly_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM corner a JOIN corner b ON a.s_nationkey = b.s_nationkey AND b.k = (a.k + 1) % a.n)",
+    "inside AS (SELECT q AS point, poly_id FROM part_pt JOIN edge ON lon >= least(y1, y2) AND lon < greatest(y1, y2) AND lat < x1 + (lon - y1) * (x2 - x1) / (y2 - y1) GROUP BY ALL HAVING count(*) % 2 = 1)",
+]
+SQLS["g10_cover"] = sql("SELECT point, poly_id FROM inside", V.PART_PT, *_COASTS)
+SQLS["x15_cover"] = sql(
+    "SELECT q AS point, coalesce(max(label), 0)::INT AS label FROM part_pt LEFT JOIN (SELECT point, label FROM inside JOIN ranked USING (poly_id)) i ON i.point = q GROUP BY q",
+    V.PART_PT, *_COASTS, "ranked AS (SELECT n_nationkey AS poly_id, row_number() OVER (ORDER BY n_name, n_nationkey) AS label FROM nation WHERE n_nationkey IN (SELECT poly_id FROM edge GROUP BY poly_id HAVING count(*) > 2))",
+)
