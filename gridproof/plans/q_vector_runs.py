@@ -29,8 +29,8 @@ def _names(spark, sf_dir):
 
 
 def _rounded(df):
-    """Metrics of differences of squares to six digits, the plain one to nine."""
-    return df.select("aggregator", "metric", "combo", "date", "channel", F.when(F.col("metric") == "mae", F.round("value", 9)).otherwise(F.round("value", 6)).alias("value"))
+    """Metrics of differences of squares to six digits, the plain one to ten."""
+    return df.select("aggregator", "metric", "combo", "date", "channel", F.when(F.col("metric") == "mae", F.round("value", 10)).otherwise(F.round("value", 6)).alias("value"))
 
 
 def v02_vectors(spark, sf_dir):
@@ -90,7 +90,7 @@ _NEAR = "sqrt((u{k} - u2) ** 2 + (v{k} - v2) ** 2) <= greatest(0.674::DOUBLE * s
 _RATE = f"CASE WHEN {_OK} THEN ({_NEAR.format(k='{k}', least=LEAST)})::INT::DOUBLE END"
 SQLS = {}
 SQLS["v02_vectors"] = SQLS["v03_vectors"] = sql(
-    "SELECT aggregator, metric, combo, date, channel, CASE metric WHEN 'mae' THEN round(value, 9) ELSE round(value, 6) END AS value FROM (SELECT 'temporal' AS aggregator, metric, combo, date, channel, avg(value) AS value FROM every GROUP BY ALL UNION ALL SELECT 'average', metric, combo, NULL, NULL, avg(value) FROM every GROUP BY metric, combo)",
+    "SELECT aggregator, metric, combo, date, channel, CASE metric WHEN 'mae' THEN round(value, 10) ELSE round(value, 6) END AS value FROM (SELECT 'temporal' AS aggregator, metric, combo, date, channel, avg(value) AS value FROM every GROUP BY ALL UNION ALL SELECT 'average', metric, combo, NULL, NULL, avg(value) FROM every GROUP BY metric, combo)",
     V.VEC_EV, "vec AS MATERIALIZED (SELECT * FROM vec_ev)", "av AS (SELECT DISTINCT dataset, date FROM vec)", "cells AS (SELECT DISTINCT date, i, j FROM vec)",
     f"one AS (SELECT *, last AS of FROM ({_combos(1)}))", f"two AS MATERIALIZED ({_combos(2)})", f"three AS MATERIALIZED ({_combos(3)})",
     "own AS (SELECT dataset AS of, date, 0 AS channel, i, j, u AS x FROM vec UNION ALL SELECT dataset, date, 1, i, j, v FROM vec)", _moments("own_std", "own", "of, date, channel"),

@@ -112,7 +112,7 @@ _query(
     f"own AS (SELECT date, k, value, height FROM (SELECT event_id, CAST(ts AS DATE) AS date, value, lat AS height, k, row_number() OVER (PARTITION BY event_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, k) AS rank FROM (SELECT *, {q_runs._XYZ} FROM track_ev) a CROSS JOIN (SELECT k, {q_runs._XYZ} FROM grid_pt) b) WHERE rank = 1)",
     cols=("value", "height"),
 )
-_near45 = q_runs._HR.replace("hr AS (SELECT buoy_id, h AS ts, CASE WHEN lat < 79.5 THEN lat END AS lat, lon FROM", "hr AS (SELECT buoy_id, h AS ts, lat, lon FROM").replace("86400000000", "2700000000")
+_near45 = q_runs._HR.replace("hr AS MATERIALIZED (SELECT buoy_id, h AS ts, CASE WHEN lat < 79.5 THEN lat END AS lat, lon FROM", "hr AS (SELECT buoy_id, h AS ts, lat, lon FROM").replace("86400000000", "2700000000")
 _query(
     "p08_prepared", lambda s, d: P.ingested(V.track_ev(s, d), "event_id", 45, with_drift=True).select("buoy_id", "ts", "lat", "lon", "u_cm_s", "v_cm_s", "speed_cm_s").withColumns({c: F.round(c, 9) for c in ("lat", "lon")}),
     "SELECT buoy_id, ts, round(lat, 9) AS lat, round(lon, 9) AS lon, round(k * sin(radians(azimuth)), 2) AS u_cm_s, round(k * cos(radians(azimuth)), 2) AS v_cm_s, round(k, 2) AS speed_cm_s FROM (SELECT *, CASE WHEN dt > 0 THEN metres / dt * 100 END AS k FROM geo)",
