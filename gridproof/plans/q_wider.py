@@ -196,4 +196,23 @@ def m22_ms_ssim(spark, sf_dir):
     return S.ms_ssim(rows, ["date"], 20, 20, 50.0, 3, S.WEIGHTS[:4])
 
 
-_query("m22_ms_ssim", m22_ms_ssim, None)
+def _scales(sizes: tuple[int, ...]) -> list[str]:
+    """Views s0, s1, ... (date, ssim, cs) of r0 (date, i, j, x, y) and of its halves, for square fields of these sides and windows of three."""
+    views, w = [], f"exp(-((a.i - b.i) ** 2 + (a.j - b.j) ** 2) / {2 * S.SIGMA**2}::DOUBLE)"
+    for k, n in enumerate(sizes):
+        mean = lambda x: f"sum({x} * {w}) / sum({w})"
+        views += [
+            f"m{k} AS (SELECT a.date, a.i, a.j, {mean('b.x')} AS mx, {mean('b.y')} AS my, {mean('b.x * b.x')} AS mxx, {mean('b.y * b.y')} AS myy, {mean('b.x * b.y')} AS mxy FROM r{k} a JOIN r{k} b ON a.date = b.date AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 WHERE a.i BETWEEN 1 AND {n - 2} AND a.j BETWEEN 1 AND {n - 2} GROUP BY a.date, a.i, a.j)",
+            f"c{k} AS (SELECT *, (2 * (mxy - mx * my) + 2.25::DOUBLE) / ((mxx - mx * mx) + (myy - my * my) + 2.25::DOUBLE) AS cs FROM m{k})",
+            f"s{k} AS (SELECT date, greatest(avg((2 * mx * my + 0.25::DOUBLE) / (mx * mx + my * my + 0.25::DOUBLE) * cs), 0) AS ssim, greatest(avg(cs), 0) AS cs FROM c{k} GROUP BY date)",
+            f"r{k + 1} AS MATERIALIZED (SELECT date, (i + {n % 2}) // 2 AS i, (j + {n % 2}) // 2 AS j, sum(x) / 4 AS x, sum(y) / 4 AS y FROM r{k} GROUP BY ALL)",
+        ]
+    return views
+
+
+_query(
+    "m22_ms_ssim", m22_ms_ssim, "SELECT date, round(" + " * ".join(f"pow(s{k}.{'cs' if k < 3 else 'ssim'}, {w}::DOUBLE)" for k, w in enumerate(S.WEIGHTS[:4])) + ", 9) AS value FROM s0 JOIN s1 USING (date) JOIN s2 USING (date) JOIN s3 USING (date)",
+    V.FIELD_LI, "r0 AS MATERIALIZED (SELECT d.date, p.i, q.j, coalesce(x.value, 0) AS x, coalesce(y.value, 0) AS y FROM (SELECT DISTINCT date FROM field_li WHERE dataset IN ('A', 'R')) d CROSS JOIN (SELECT unnest(range(20))::INT AS i) p CROSS JOIN (SELECT unnest(range(20))::INT AS j) q"
+    " LEFT JOIN field_li x ON x.dataset = 'A' AND x.date = d.date AND x.i = p.i AND x.j = q.j LEFT JOIN field_li y ON y.dataset = 'R' AND y.date = d.date AND y.i = p.i AND y.j = q.j)",
+    *_scales((20, 10, 5, 3)),
+)
