@@ -12,7 +12,16 @@ from pyspark.sql import functions as F
 SPACE = r"[ \t-\r]"
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Batches of whole texts of at most so many rows between Spark and Python, where the session has Spark's own 10,000:
+    each is held some times over on both sides, and texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -34,6 +34,8 @@ from .words import slices
 BUCKETS = 1 << 18
 PER_CLASS = 3000
 THRESHOLD = 0.7
+#: Bytes of text scored at one time.
+CHARS = 1_000_000
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 SENTENCE = re.compile(r"[^.!?\n]+")
 STOPS = frozenset(".!?\n")
@@ -220,7 +222,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-        for part, texts in slices(batches, text):
+        for part, texts in slices(batches, text, CHARS):
             p = np.clip(model.scores(texts, features), 0.0, 1.0)
             found = [model.locate(x, features) if s >= threshold else [] for x, s in zip(texts, p, strict=True)]
             ids = part.column(part.schema.get_field_index(doc_id))
@@ -234,7 +236,7 @@ def clean(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for part, texts in slices(batches, text):
+        for part, texts in slices(batches, text, CHARS):
             yield part.filter(pa.array(model.scores(texts, features) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
