@@ -16,24 +16,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridproof.llm import minhash, packing, secrets, substrings, toxicity
-from gridproof.llm.common import discard, quoted, table, unused, written
+from gridproof.llm.common import discard, quoted, small_batches, table, unused, written
 
 VOCABULARY = "word_bpe_49k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the multiple-instance model predicts toxic go."""
+    small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
     return toxicity.clean(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the least id."""
+    small_batches(spark)
     return minhash.representatives(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that occur elsewhere go."""
+    small_batches(spark)
     total, gone = unused(docs, "n_words"), unused(docs, "n_removed")
     done = substrings.cut(docs, n_words=total, n_removed=gone)
     return _counted(docs, done, F.col(gone) > 0)
@@ -41,12 +44,14 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials of few owners are replaced by a mark."""
+    small_batches(spark)
     changed = unused(docs, "changed")
     return _counted(docs, secrets.redact(docs, changed=changed), F.col(changed))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as pieces of windows of several lengths."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path(VOCABULARY))
 
 
