@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridproof.operators import grid as G
+from gridproof.operators import points as P
 
 
 def _plan(df):
@@ -14,3 +15,9 @@ def test_nearest_sends_no_table_to_the_driver(spark):
     near = G.nearest(points, points.withColumnRenamed("point", "query"), 2)
     assert "Broadcast" not in _plan(near)
     assert sorted((r["query"], r["point"]) for r in near.where("rank = 1").collect()) == [(k, k) for k in range(9)]
+
+def test_windows_send_no_table_to_the_driver(spark):
+    hours = spark.range(8).select(F.lit(1).alias("buoy_id"), F.timestamp_add("HOUR", F.col("id").cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"), F.col("id").cast("double").alias("lat"))
+    wins = P.windows(hours, P.window_starts(hours, 6, ["lat"]), 6)
+    assert "Broadcast" not in _plan(wins)
+    assert sorted((r["step"], r["lat"]) for r in wins.collect()) == sorted((s, float(s + k)) for k in range(3) for s in range(6))
