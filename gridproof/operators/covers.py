@@ -1,6 +1,6 @@
 """Points in polygons of any number of edges, by covers of cells.
 
-The plane is cut into square cells about as wide as an edge is long. A cell that an edge passes keeps
+The plane is cut into square cells about as wide as an edge is long, or less where points are many. A cell that an edge passes keeps
 its edges and the parity of one reference point, its left side at a fixed height; a point in it is
 told by the few edges that the way from there crosses. Parities come from one walk along each row of
 cells. Between the cells of a polygon's boundary a row is all inside or all outside; the inner runs are
@@ -32,17 +32,16 @@ def boundary(edges: DataFrame, size: float) -> DataFrame:
     """poly_id, cy, cx, edges, parity: the cells of each polygon's boundary; of edges (poly_id, x1, y1, x2, y2).
 
     parity: whether the cell's left side lies inside at the row's reference height, as 1 or 0."""
-    long = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
-    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(long / size), F.lit(1)).cast("int"))
-    e = edges.withColumn("n", F.size(pieces) - 1)
-    at = lambda a, k: F.col(f"{a}1") + (F.col(f"{a}2") - F.col(f"{a}1")) * k / F.col("n")
-    # a piece is a cell long at most, so it touches two by two of them; a little more is held, as that does no harm
-    reach = lambda a, k: F.sequence(_cell(F.least(at(a, k), at(a, k + 1)) - size * 1e-9, size), _cell(F.greatest(at(a, k), at(a, k + 1)) + size * 1e-9, size))
-    cells = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.flatten(F.transform(reach("x", k), lambda cx: F.transform(reach("y", k), lambda cy: F.struct(cy.alias("cy"), cx.alias("cx")))))))
+    slack, low, high = size * 1e-9, F.least("y1", "y2"), F.greatest("y1", "y2")
+    # an edge is a run of cells in each row that it passes; a little more is held, as that does no harm
+    of_rows = edges.withColumn("cy", F.explode(F.sequence(_cell(low - slack, size), _cell(high + slack, size))))
+    x_at = lambda y: F.col("x1") + F.when(F.col("y2") != F.col("y1"), (y - F.col("y1")) / (F.col("y2") - F.col("y1"))).otherwise(0.0) * (F.col("x2") - F.col("x1"))
+    ends = x_at(F.greatest(low, _low(F.col("cy"), size) - slack)), x_at(F.least(high, _low(F.col("cy") + 1, size) + slack))
+    level = F.col("y1") == F.col("y2")
+    first, last = (F.when(level, f("x1", "x2")).otherwise(f(*ends)) for f in (F.least, F.greatest))
     edge = F.struct("x1", "y1", "x2", "y2")
-    held = e.select("poly_id", edge.alias("edge"), F.explode(F.array_distinct(cells)).alias("c")).select("poly_id", "c.cy", "c.cx", "edge", F.lit(0).alias("crossed"))
+    held = of_rows.select("poly_id", edge.alias("edge"), "cy", F.explode(F.sequence(_cell(first - slack, size), _cell(last + slack, size))).alias("cx")).select("poly_id", "cy", "cx", "edge", F.lit(0).alias("crossed"))
     # where an edge crosses the reference height of a row
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     height = lambda cy: _low(cy + HEIGHT, size)
     rows = edges.withColumn("cy", F.explode(F.sequence(_cell(low, size) - 1, _cell(high, size)))).where((low <= height(F.col("cy"))) & (height(F.col("cy")) < high))
     x = F.col("x1") + (height(F.col("cy")) - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
@@ -69,16 +68,32 @@ def inner(cells: DataFrame) -> DataFrame:
     return runs.select("poly_id", "cy", F.explode(F.concat(*every)).alias("x")).select("poly_id", "cy", "x.level", "x.block")
 
 
+def fitting(points: DataFrame, edges: DataFrame) -> float:
+    """A width of cells for which edges are in few cells and points meet few edges.
+
+    Edges of a length of l together are in l / size cells, and by their number in a cell the n points of an area a
+    meet l * size * n / a of them. The sum is least where a cell has a point; as to store an edge in a cell takes
+    some four times as long as to look at it, cells are twice as wide. Cells wider than an edge save nothing."""
+    each = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    ends = {f"{n}_{a}": f(g(f"{a}1", f"{a}2")) for a in "xy" for n, f, g in (("low", F.min, F.least), ("high", F.max, F.greatest))}
+    box = edges.agg(F.avg(each).alias("long"), *[c.alias(n) for n, c in ends.items()]).first()  # five numbers
+    if not box["long"]:
+        return 1.0
+    n = points.where(F.col("x").between(box["low_x"], box["high_x"]) & F.col("y").between(box["low_y"], box["high_y"])).count()
+    area = (box["high_x"] - box["low_x"]) * (box["high_y"] - box["low_y"])
+    return float(min(box["long"], 2 * (area / n) ** 0.5)) if n and area else float(box["long"])
+
+
 def inside(points: DataFrame, edges: DataFrame, size: float | None = None) -> DataFrame:
     """point, poly_id of points (point, x, y) inside polygons given by edges; odd counts are inside, holes are edges as well.
 
-    size: width of a cell, by default the mean length of an edge."""
+    size: width of a cell, by default the mean length of an edge, or less where that leaves many points to a cell.
+    The joins merge both sides, as sizes estimated before rows are exploded would have them broadcast."""
     edges = edges.where("x1 <> x2 OR y1 <> y2")
-    if size is None:
-        size = edges.agg(F.avg(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))))).first()[0] or 1.0  # one number
+    size = size or fitting(points, edges)
     cells = stored(boundary(edges.select("poly_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]), float(size)), "cover")
     p = points.where("x IS NOT NULL AND y IS NOT NULL").select("point", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumns({"cx": _cell("x", size), "cy": _cell("y", size)})
-    met = p.join(cells.select("poly_id", "cy", "cx", "edges", "parity"), ["cy", "cx"])
+    met = p.join(cells.select("poly_id", "cy", "cx", "edges", "parity").hint("merge"), ["cy", "cx"])
     left, ref = _low(F.col("cx"), size), _low(F.col("cy") + HEIGHT, size)
 
     def crosses(e: Column) -> Column:
@@ -93,5 +108,5 @@ def inside(points: DataFrame, edges: DataFrame, size: float | None = None) -> Da
     odd = F.aggregate("edges", F.col("parity"), lambda a, e: a + crosses(e)) % 2 == 1
     near = met.where(odd).select("point", "poly_id")
     levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("cx") / 4**k).alias("block")) for k in range(BLOCKS + 1)]))
-    far = p.select("point", "cy", levels.alias("l")).select("point", "cy", "l.level", "l.block").join(inner(cells), ["cy", "level", "block"]).select("point", "poly_id")
+    far = p.select("point", "cy", levels.alias("l")).select("point", "cy", "l.level", "l.block").join(inner(cells).hint("merge"), ["cy", "level", "block"]).select("point", "poly_id")
     return near.unionByName(far)

@@ -1,7 +1,10 @@
 """What a task or the driver has to hold at one time, told from plans and from small tables."""
 
+import math
+
 from pyspark.sql import functions as F
 
+from gridproof.operators import covers
 from gridproof.operators import grid as G
 from gridproof.operators import points as P
 
@@ -21,3 +24,15 @@ def test_windows_send_no_table_to_the_driver(spark):
     wins = P.windows(hours, P.window_starts(hours, 6, ["lat"]), 6)
     assert "Broadcast" not in _plan(wins)
     assert sorted((r["step"], r["lat"]) for r in wins.collect()) == sorted((s, float(s + k)) for k in range(3) for s in range(6))
+
+
+def test_cells_of_a_cover_get_smaller_with_more_points(spark, monkeypatch):
+    sizes, made = [], covers.boundary
+    monkeypatch.setattr(covers, "boundary", lambda edges, size: sizes.append(size) or made(edges, size))
+    n = 200
+    corners = [((1 + k % 2 * 9) * math.cos(k * 2 * math.pi / n), (1 + k % 2 * 9) * math.sin(k * 2 * math.pi / n)) for k in range(n)]
+    edges = spark.createDataFrame([(1, *corners[k], *corners[(k + 1) % n]) for k in range(n)], "poly_id int, x1 double, y1 double, x2 double, y2 double")
+    points = spark.range(4000).select(F.col("id").alias("point"), (F.col("id") * 0.618 % 22 - 11).alias("x"), (F.col("id") * 0.414 % 22 - 11).alias("y"))
+    got = {r["point"] for r in covers.inside(points, edges).collect()}
+    assert got == {r["point"] for r in G.in_polygons(points, edges, 1.0).collect()}
+    assert sizes[0] < 1 and len(got) > 100
