@@ -36,3 +36,11 @@ def test_cells_of_a_cover_get_smaller_with_more_points(spark, monkeypatch):
     got = {r["point"] for r in covers.inside(points, edges).collect()}
     assert got == {r["point"] for r in G.in_polygons(points, edges, 1.0).collect()}
     assert sizes[0] < 1 and len(got) > 100
+
+
+def test_hours_are_made_of_sorted_samples(spark):
+    at = lambda s: F.to_timestamp_ntz(F.lit(s))
+    track = spark.range(1).select(F.explode(F.array(at("2024-01-01 23:30:00"), at("2024-01-02 00:30:00"), at("2024-01-02 05:00:00"))).alias("ts")).select(F.lit(1).alias("buoy_id"), "ts", F.col("ts").cast("string").alias("v"))
+    got = P.hourly(track, 30, ["v"])
+    assert "Union" not in _plan(got)
+    assert sorted((str(r["ts"])[8:16], r["v"][8:16]) for r in got.collect()) == [("01 23:00", "01 23:30"), ("02 00:00", "02 00:30"), ("02 01:00", "02 00:30"), ("02 05:00", "02 05:00")]
