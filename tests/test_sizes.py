@@ -2,17 +2,28 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridproof.operators import covers
 from gridproof.operators import grid as G
 from gridproof.operators import points as P
+from gridproof.plans import catalog
 
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("key", ["g09_idw", "g09b_idw_missing", "g09d_coverage"])
+def test_interpolation_sends_no_table_to_the_driver(spark, sf_dir, key):
+    assert "Broadcast" not in _plan(catalog.queries()[key](spark, sf_dir))
+
+
+def test_gaussian_interpolation_sends_no_table_to_the_driver(spark, sf_dir):
+    assert "Broadcast" not in _plan(catalog.queries()["g09_gaussian"](spark, sf_dir))
+
+
 def test_nearest_sends_no_table_to_the_driver(spark):
     points = spark.range(9).select(F.col("id").alias("point"), (F.col("id") * 3.0).alias("lat"), F.lit(1.0).alias("lon"))
     near = G.nearest(points, points.withColumnRenamed("point", "query"), 2)
