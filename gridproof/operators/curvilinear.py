@@ -52,7 +52,9 @@ def centre_quads(grid: DataFrame, wrap: int | None = None) -> DataFrame:
 
     ``wrap``: the number of columns of a grid that closes upon itself, whose last column neighbours the first."""
     step = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(ROUND)]))
-    rows = grid.where("lat IS NOT NULL AND lon IS NOT NULL").select("i", "j", *[c.alias(a) for a, c in zip("xyz", unit_sphere(F.col("lat"), F.col("lon")), strict=True)], step.alias("c"))
+    # asked of values that are made, as a condition on lat and lon is looked at once for each row that a distinct cell comes from
+    placed = _fixed(grid.select("i", "j", "lat", "lon"), dict(zip("xyz", unit_sphere(F.col("lat"), F.col("lon")), strict=True)))
+    rows = placed.where("x IS NOT NULL").select("i", "j", "x", "y", "z", step.alias("c"))
     j = F.col("j") - F.col("c.b")
     rows = rows.withColumn("quad", F.struct((F.col("i") - F.col("c.a")).alias("i"), (j if wrap is None else F.pmod(j, F.lit(wrap))).alias("j")))
     at = {f"k{k}_{a}": F.max(F.when(F.col("c.k") == k, F.col(a))).alias(f"k{k}_{a}") for k in range(4) for a in "xyz"}
@@ -148,8 +150,10 @@ def weights_between(src: DataFrame, dst: DataFrame, n: int = 8) -> DataFrame:
 
 
 def everywhere(regridded: DataFrame, field: DataFrame, dst: DataFrame) -> DataFrame:
-    """The regridded field with all cells of ``dst``: those that nothing reaches are missing."""
-    times = field.select("dataset", "date", "channel").distinct()
+    """The regridded field with all cells of ``dst``: those that nothing reaches are missing.
+
+    The times are counted with their values, so that both sides of the plan read one exchange of the field."""
+    times = field.groupBy("dataset", "date", "channel").agg(F.count("value").alias("n")).where("n >= 0").drop("n")
     full = times.crossJoin(dst.select("i", "j"))  # the product is the result
     return full.join(regridded, ["dataset", "date", "channel", "i", "j"], "left").select("dataset", "date", "channel", "i", "j", "value")
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridproof.operators import covers
+from gridproof.operators import curvilinear as U
 from gridproof.operators import grid as G
 from gridproof.operators import points as P
 from gridproof.plans import catalog
@@ -55,3 +56,19 @@ def test_hours_are_made_of_sorted_samples(spark):
     got = P.hourly(track, 30, ["v"])
     assert "Union" not in _plan(got)
     assert sorted((str(r["ts"])[8:16], r["v"][8:16]) for r in got.collect()) == [("01 23:00", "01 23:30"), ("02 00:00", "02 00:30"), ("02 01:00", "02 00:30"), ("02 05:00", "02 05:00")]
+
+
+def test_regridding_is_dealt_into_the_tasks_of_a_shuffle(spark):
+    field = spark.range(12).select(F.lit("a").alias("dataset"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.lit(0).alias("channel"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("id").cast("double").alias("value"))
+    weights = spark.range(30).select(F.lit(0).alias("src_i"), F.lit(0).alias("src_j"), F.col("id").cast("int").alias("dst_i"), F.lit(0).alias("dst_j"), F.lit(1.0).alias("w"))
+    got = G.regridded(field, weights)
+    assert "REPARTITION_BY_NUM" in _plan(got)
+    assert sorted((r["date"].day, r["i"], r["value"]) for r in got.collect()) == sorted((d + 1, k, float(d)) for d in range(12) for k in range(30))
+
+
+def test_coordinates_are_made_once_for_a_distinct_cell(spark):
+    cells = spark.range(90).select((F.col("id") % 3).cast("int").alias("i"), (F.col("id") % 2).cast("int").alias("j")).distinct()
+    grid = cells.select("i", "j", (F.col("i") + 70.0).alias("lat"), F.when(F.col("i") < 2, F.cos("j")).alias("lon"))
+    quads = U.centre_quads(grid)
+    assert "COS" not in _plan(quads).split("HashAggregate")[-1]
+    assert [r["quad"]["i"] for r in quads.collect()] == [0]
