@@ -200,3 +200,13 @@ def test_field_is_read_once(spark):
     rows = X.combos(f, 2, list("abc"))
     rows.collect()
     assert "ReusedExchange" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tiles_hold_a_row_for_each_cell(spark, monkeypatch):
+    """The names that are asked for add no rows to the passes of tiles."""
+    rows, made = [], R.over_tiles
+    monkeypatch.setattr(R, "over_tiles", lambda field, *args: rows.append(field.count()) or made(field, *args))
+    f = spark.createDataFrame(list(winds(2, 4, "acde")), SCHEMA)
+    found = R.local_variances(f, [M.of_drift_success(5, 2.0), M.of_local_std(5, 2.0)], list("acde"))
+    assert found[5, 2.0].select("of").distinct().count() == 7
+    assert rows == [f.select("date", "channel", "i", "j").distinct().count()]
