@@ -1,5 +1,6 @@
 """What a task or the driver has to hold at one time, told from plans and from small tables."""
 
+import datetime
 import math
 
 import pytest
@@ -58,6 +59,25 @@ def test_hours_are_made_of_sorted_samples(spark):
     assert sorted((str(r["ts"])[8:16], r["v"][8:16]) for r in got.collect()) == [("01 23:00", "01 23:30"), ("02 00:00", "02 00:30"), ("02 01:00", "02 00:30"), ("02 05:00", "02 05:00")]
 
 
+@pytest.mark.parametrize("tolerance", [20, 59, 60, 90])
+def test_hours_of_short_tolerances_need_no_join(spark, tolerance):
+    times = ["2024-01-01 00:59:30", "2024-01-01 01:00:00", "2024-01-01 04:30:00", "2024-01-01 23:10:00", "2024-01-02 00:00:00"]
+    rows = [(key, s) for key in (1, None) for s in times] + [(2, "2024-01-03 12:00:00"), (3, "2024-01-03 23:59:59"), (4, None)]
+    track = spark.createDataFrame(rows, "buoy_id int, s string").select("buoy_id", F.to_timestamp_ntz("s").alias("ts"), F.col("s").alias("v"))
+    hour, wanted = datetime.timedelta(hours=1), {}
+    for key in (1, 2, 3):
+        own = [datetime.datetime.fromisoformat(s) for k, s in rows if k == key]
+        first, end = min(own).replace(minute=0, second=0), max(own)
+        while first < end + hour:
+            near = min((abs(t - first), -t.timestamp(), t) for t in own)
+            if near[0] <= datetime.timedelta(minutes=tolerance):
+                wanted[key, first] = near[2]
+            first += hour
+    got = P.hourly(track, tolerance, ["v"])
+    assert ("Join" in _plan(got)) == (tolerance >= 60)
+    assert {(r["buoy_id"], r["ts"]): r["sample_ts"] for r in got.collect()} == wanted
+
+
 def test_regridding_is_dealt_into_the_tasks_of_a_shuffle(spark):
     field = spark.range(12).select(F.lit("a").alias("dataset"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.lit(0).alias("channel"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("id").cast("double").alias("value"))
     weights = spark.range(30).select(F.lit(0).alias("src_i"), F.lit(0).alias("src_j"), F.col("id").cast("int").alias("dst_i"), F.lit(0).alias("dst_j"), F.lit(1.0).alias("w"))
