@@ -26,6 +26,16 @@ def test_gaussian_interpolation_sends_no_table_to_the_driver(spark, sf_dir):
     assert "Broadcast" not in _plan(catalog.queries()["g09_gaussian"](spark, sf_dir))
 
 
+@pytest.mark.parametrize("key", ["g09_idw"])
+def test_interpolation_that_has_run_broadcast_nothing(spark, sf_dir, key):
+    """The sizes that a run finds may change its joins, so the plan is that of the end."""
+    done = catalog.queries()[key](spark, sf_dir)
+    queries = [r["query"] for r in done.collect()]
+    assert len(set(queries)) == len(queries) == spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    plan = _plan(done)
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
 def test_nearest_sends_no_table_to_the_driver(spark):
     points = spark.range(9).select(F.col("id").alias("point"), (F.col("id") * 3.0).alias("lat"), F.lit(1.0).alias("lon"))
     near = G.nearest(points, points.withColumnRenamed("point", "query"), 2)
