@@ -26,7 +26,7 @@ def test_gaussian_interpolation_sends_no_table_to_the_driver(spark, sf_dir):
     assert "Broadcast" not in _plan(catalog.queries()["g09_gaussian"](spark, sf_dir))
 
 
-@pytest.mark.parametrize("key", ["g09_idw"])
+@pytest.mark.parametrize("key", ["g09_idw", "g09b_idw_missing"])
 def test_interpolation_that_has_run_broadcast_nothing(spark, sf_dir, key):
     """The sizes that a run finds may change its joins, so the plan is that of the end."""
     done = catalog.queries()[key](spark, sf_dir)
