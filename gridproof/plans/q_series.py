@@ -22,7 +22,7 @@ CELL = "dataset, date, channel, i, j"
 def _query(key, query, select, *views, digits=9, cols=("value",)):
     def run(spark, sf_dir):
         df = query(spark, sf_dir)
-        return df.withColumns({c: F.round(c, digits) for c in cols})
+        return df.withColumns({c: V.rounded(c, digits) for c in cols})
 
     QUERIES[key] = run
     SQLS[key] = sql(select, *views)

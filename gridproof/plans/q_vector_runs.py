@@ -30,7 +30,7 @@ def _names(spark, sf_dir):
 
 def _rounded(df):
     """Metrics of differences of squares to six digits, the plain one to ten."""
-    return df.select("aggregator", "metric", "combo", "date", "channel", F.when(F.col("metric") == "mae", F.round("value", 10)).otherwise(F.round("value", 6)).alias("value"))
+    return df.select("aggregator", "metric", "combo", "date", "channel", F.when(F.col("metric") == "mae", V.rounded("value", 10)).otherwise(V.rounded("value", 6)).alias("value"))
 
 
 def v02_vectors(spark, sf_dir):
@@ -56,7 +56,7 @@ STATISTICS = [R.Aggregation(f"{s.name}_{n}", keys, s) for s in (A.LEAST, A.MOST,
 
 def a10_statistics(spark, sf_dir):
     found = _in_thirds(spark, V.field_ev(spark, sf_dir), [M.MAE], STATISTICS, [OVER])
-    return found.select("aggregator", "metric", "combo", "channel", "i", "j", F.round("value", 6).alias("value"))
+    return found.select("aggregator", "metric", "combo", "channel", "i", "j", V.rounded("value", 6).alias("value"))
 
 
 QUERIES = {"v02_vectors": v02_vectors, "v03_vectors": v03_vectors, "a10_statistics": a10_statistics}
