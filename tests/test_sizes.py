@@ -49,6 +49,19 @@ def test_windows_send_no_table_to_the_driver(spark):
     assert sorted((r["step"], r["lat"]) for r in wins.collect()) == sorted((s, float(s + k)) for k in range(3) for s in range(6))
 
 
+def test_first_positions_make_no_rows_of_windows(spark, sf_dir):
+    """The rows of all windows, six for each start, are neither made nor sent."""
+    starts, first = (_plan(catalog.queries()[key](spark, sf_dir)) for key in ("p06_starts", "p10_first"))
+    for what in ("Exchange", "Generate", "Join"):
+        assert first.count(what) == starts.count(what)
+    at = lambda c: F.timestamp_add("HOUR", c, F.lit("2024-01-01").cast("timestamp_ntz"))
+    k = F.col("id").cast("int")
+    hours = spark.range(40).where("id <> 20").select((k % 2).alias("buoy_id"), at(F.floor(k / 2).cast("int")).alias("ts"), F.when(k != 9, F.col("id").cast("double")).alias("lat"), F.when(k != 30, -F.col("id").cast("double")).alias("lon"))
+    wanted = P.first_positions(P.windows(hours, P.window_starts(hours, 3, ["lat"]), 3))
+    got = P.start_positions(hours, 3, ["lat"])
+    assert got.columns == wanted.columns and sorted(got.collect()) == sorted(wanted.collect()) and got.count() == 30
+
+
 def test_cells_of_a_cover_get_smaller_with_more_points(spark, monkeypatch):
     sizes, made = [], covers.boundary
     monkeypatch.setattr(covers, "boundary", lambda edges, size: sizes.append(size) or made(edges, size))
