@@ -11,6 +11,7 @@ from gridproof.operators import curvilinear as U
 from gridproof.operators import grid as G
 from gridproof.operators import points as P
 from gridproof.plans import catalog
+from gridproof.plans import views as V
 
 
 def _plan(df):
@@ -58,10 +59,22 @@ def test_first_positions_make_no_rows_of_windows(spark, sf_dir):
     k = F.col("id").cast("int")
     hours = spark.range(40).where("id <> 20").select((k % 2).alias("buoy_id"), at(F.floor(k / 2).cast("int")).alias("ts"), F.when(k != 9, F.col("id").cast("double")).alias("lat"), F.when(k != 30, -F.col("id").cast("double")).alias("lon"))
     wanted = P.first_positions(P.windows(hours, P.window_starts(hours, 3, ["lat"]), 3))
-    got = P.start_positions(hours, 3, ["lat"])
+    got = P.start_positions(hours.withColumns({"since": F.col("ts"), "until": F.col("ts")}), 3, ["lat"])
     assert got.columns == wanted.columns and sorted(got.collect()) == sorted(wanted.collect()) and got.count() == 30
 
 
+@pytest.mark.parametrize("tolerance", [45, 300, 1440])
+def test_starts_of_runs_are_those_of_hours(spark, sf_dir, tolerance):
+    """Before, all hours were put in order."""
+    track = V.track_ev(spark, sf_dir).where("buoy_id < 4")
+    some = lambda rows: rows.withColumn("lat", F.when(F.col("lat") < 78, F.col("lat")))
+    hours, runs = some(P.hourly(track, tolerance, ["lat", "lon"])).cache(), some(P.hour_runs(track, tolerance, ["lat", "lon"])).cache()
+    assert runs.count() <= hours.count()
+    for length, required in ((1, []), (2, ["lat"]), (6, ["lat", "lon"]), (30, [])):
+        wanted = hours.join(P.window_starts(hours, length, required).withColumnRenamed("start_ts", "ts"), ["buoy_id", "ts"]).select("buoy_id", "ts", "lat", "lon")
+        assert sorted(map(str, map(tuple, P.start_positions(runs, length, required).collect()))) == sorted(map(str, map(tuple, wanted.collect())))
+
+
 def test_cells_of_a_cover_get_smaller_with_more_points(spark, monkeypatch):
     sizes, made = [], covers.boundary
     monkeypatch.setattr(covers, "boundary", lambda edges, size: sizes.append(size) or made(edges, size))
